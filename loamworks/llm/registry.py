@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .mixing import op4_mixing
 from .sentencepieces import op1_sentencepiece
 
 
 def queries() -> dict:
-    return {"op1_sentencepiece": op1_sentencepiece}
+    return {"op1_sentencepiece": op1_sentencepiece, "op4_mixing": op4_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
