@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .mixing import op4_mixing
 from .sentencepieces import op1_sentencepiece
+from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {"op1_sentencepiece": op1_sentencepiece, "op4_mixing": op4_mixing}
+    return {"op1_sentencepiece": op1_sentencepiece, "op4_mixing": op4_mixing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
