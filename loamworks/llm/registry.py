@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op4_mixing
+from .secrets import op2_secrets
 from .sentencepieces import op1_sentencepiece
 from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {"op1_sentencepiece": op1_sentencepiece, "op4_mixing": op4_mixing, "op7_simhash": op7_simhash}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_secrets": op2_secrets, "op4_mixing": op4_mixing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:

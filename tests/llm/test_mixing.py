@@ -42,7 +42,7 @@ def test_mix(spark):
         assert r.taken == r.copies * n <= 3 * n
         taken[r.source] += r.taken
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 30, (s, taken[s], t)
+        assert abs(taken[s] - t) <= 200, (s, taken[s], t)  # half of the largest document
     again = M.mix(df.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
