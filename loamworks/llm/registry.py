@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op3_chat
 from .hilbert import op5_neighbours
 from .kdtree import op9_topk
 from .mixing import op4_mixing
@@ -11,7 +12,7 @@ from .simhash import op7_simhash
 
 
 def queries() -> dict:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_secrets": op2_secrets, "op4_mixing": op4_mixing, "op5_neighbours": op5_neighbours, "op7_simhash": op7_simhash, "op9_topk": op9_topk}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_secrets": op2_secrets, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_neighbours": op5_neighbours, "op7_simhash": op7_simhash, "op9_topk": op9_topk}
 
 
 def oracle_sql() -> dict[str, str]:
