@@ -10,7 +10,8 @@ words one bit apart share such an index if one side gives its own and the other
 For a pair of segments, one side spreads the first and the other the second, so a fingerprint gives at most 12 keys a pair of
 segments, all in 24 bits. This finds every link; candidates are verified on the 64 bits.
 
-Groups of many close fingerprints make no pairs: within each key, all are first compared with its least and its greatest
+A key with up to three rows is settled by aggregates: their least, greatest and exclusive-or give all fingerprints. Groups of
+many close fingerprints make no pairs either: within each larger key, all are first compared with its least and its greatest
 fingerprint only, components are made of what links, and then only fingerprints of different components meet, those outside the
 component of the key's least fingerprint with the others.
 
@@ -165,10 +166,16 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     if max_bits > 4:
         raise ValueError("the segments find links of up to four bits")
     rows = keyed(fps)
-    ends = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    rows = stash(rows.join(ends, "key"))
+    ends = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n"), F.bit_xor("fp").alias("all")).filter("low < high")
+    # of up to three rows, the sums tell all fingerprints: no rows need to meet
+    ends = ends.withColumn("middle", F.when(F.col("n") == 3, F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))).otherwise(F.col("low"))).drop("all")
+    pairs = (("low", "high"), ("low", "middle"), ("middle", "high"))
+    near = [(F.col(x) != F.col(y)) & (_differ(x, y) <= max_bits) for x, y in pairs]
+    ends = stash(ends.filter((F.col("n") > 3) | near[0] | near[1] | near[2]))
+    few = [ends.filter((F.col("n") <= 3) & c).select(F.col(x).alias("u"), F.col(y).alias("v")) for c, (x, y) in zip(near, pairs)]
+    rows = stash(rows.join(ends.filter("n > 3").select("key", "low", "high"), "key"))
     first = [rows.filter((F.col("fp") != F.col(p)) & (_differ("fp", p) <= max_bits)).select(F.col("fp").alias("u"), F.col(p).alias("v")) for p in ("low", "high")]
-    links = stash(first[0].unionByName(first[1]).distinct())
+    links = stash(first[0].unionByName(first[1]).unionByName(few[0]).unionByName(few[1]).unionByName(few[2]).distinct())
     comps = stash(components(links))
     rows = rows.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     rows = stash(rows.select("key", "fp", "side", "component"))
