@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op3_chat
 from .hilbert import op5_neighbours
 from .kdtree import op9_topk
+from .licenses import op8_licenses
 from .mixing import op4_mixing
 from .secrets import op2_secrets
 from .sentencepieces import op1_sentencepiece
@@ -14,7 +15,7 @@ from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_secrets": op2_secrets, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_neighbours": op5_neighbours, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_secrets": op2_secrets, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_neighbours": op5_neighbours, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

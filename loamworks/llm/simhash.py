@@ -205,3 +205,13 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", m
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The table with one row of each component: the least by doc_id (null last), then by a hash of the text."""
+    mark = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    marked = df.withColumn("_mark", mark)
+    found = near_duplicates(marked, text, "_mark")
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.to_json("doc_id").alias("_name")).distinct()
+    rows = marked.withColumn("_name", F.to_json("_mark")).join(keep, "_name", "left_semi")
+    return rows.dropDuplicates(["_name"]).select(*[F.col(f"`{c}`") for c in df.columns])
