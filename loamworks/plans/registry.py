@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from . import dialect, mining
+
+SHARED = {**mining.QUERIES}
+
+
+def _run(made, spark, sf_dir):
+    return dialect.run(spark, sf_dir, made)
+
 
 def queries() -> dict:
-    return {}
+    return {name: partial(_run, made) for name, made in SHARED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: dialect.oracle(made) for name, made in SHARED.items()}
