@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import dialect, mining
+from . import dialect, lifecycle, mining
 
-SHARED = {**mining.QUERIES}
+SHARED = {**mining.QUERIES, **lifecycle.QUERIES}
 
 
 def _run(made, spark, sf_dir):
