@@ -38,7 +38,7 @@ from .common import stash, table, without
 
 LENGTH, K = 50, 20
 #: Bytes of text in a batch, and bytes of text for each bucket of entries.
-BATCH, BUCKET = 6_000_000, 32_000_000
+BATCH, BUCKET = 3_000_000, 16_000_000
 #: Entries of one anchor beyond which its strings are dealt out one by one.
 MANY = 4096
 #: Stretches whose suffixes are sorted together.
@@ -190,7 +190,30 @@ SCHEMA = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("a", pa.bina
 
 # -- 2: entries meet
 
-FOUND = "kind int, batch long, doc int, first long, n int, key long, many boolean"
+FOUND = "kind int, batch long, doc int, d long, h long, first binary, n binary, key binary, many binary"
+COLUMNS = ["kind", "batch", "doc", "d", "h", "first", "n", "key", "many"]
+
+
+def pack(kind: int, batch: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, key: np.ndarray | None = None, many: np.ndarray | None = None) -> pd.DataFrame:
+    """One row for each document with its strings as bytes."""
+    order = np.lexsort((doc, batch))
+    batch, doc = batch[order], doc[order]
+    start = np.flatnonzero(np.append(True, (batch[1:] != batch[:-1]) | (doc[1:] != doc[:-1]))) if len(order) else order
+    edges = np.append(start, len(order)).tolist()
+
+    def cut(x: np.ndarray | None, kind: type) -> list[bytes]:
+        if x is None:
+            return [b""] * len(start)
+        raw, size = x[order].astype(kind).tobytes(), np.dtype(kind).itemsize
+        return [raw[i * size : j * size] for i, j in zip(edges, edges[1:])]
+
+    return pd.DataFrame({"kind": kind, "batch": batch[start], "doc": doc[start], "d": 0, "h": 0, "first": cut(first, np.int32), "n": cut(n, np.int32), "key": cut(key, np.int64), "many": cut(many, np.int8)})
+
+
+def unpack(rows: list[dict], *kinds: type) -> list[np.ndarray]:
+    """The strings of packed rows: first, n, and key and many if asked for."""
+    names = ("first", "n", "key", "many")
+    return [np.concatenate([np.frombuffer(r[name], kind) for r in rows]).astype(np.int64) for name, kind in zip(names, kinds)]
 
 
 def meet(pdf: pd.DataFrame, many: int = MANY) -> pd.DataFrame:
@@ -221,18 +244,7 @@ def meet(pdf: pd.DataFrame, many: int = MANY) -> pd.DataFrame:
     mixed = order[differ[group]] if len(order) else order
     sizes = size[group][differ[group]] if len(order) else order
     gone = np.flatnonzero(~keep)
-    rows = np.concatenate([gone, mixed])
-    return pd.DataFrame(
-        {
-            "kind": np.repeat([0, 1], [len(gone), len(mixed)]),
-            "batch": batch[rows],
-            "doc": doc[rows],
-            "first": first[rows],
-            "n": n[rows],
-            "key": anchor[rows].astype(np.int64),
-            "many": np.concatenate([np.zeros(len(gone), bool), sizes > many]),
-        }
-    )
+    return pd.concat([pack(0, batch[gone], doc[gone], first[gone], n[gone]), pack(1, batch[mixed], doc[mixed], first[mixed], n[mixed], anchor[mixed].astype(np.int64), sizes > many)])
 
 
 # -- 3: mixed stretches are sorted
@@ -314,7 +326,7 @@ def sort_mixed(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, texts: li
 # -- the whole
 
 
-def _blob(col: str) -> Column:
+def _all(col: str) -> Column:
     return F.collect_list(F.struct("first", "n", *(["key", "many"] if col == "mixed" else []))).alias(col)
 
 
@@ -334,31 +346,31 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         out = []
         for r in pdf.itertuples(index=False):
             a, b = np.frombuffer(r.a, np.int64), np.frombuffer(r.b, np.int64)
-            n = len(a)
-            if bucket == -1:  # key carries the text hash, first the id
-                out.append(pd.DataFrame({"kind": 2, "batch": r.batch, "doc": np.arange(n), "first": a, "n": 0, "key": b, "many": False}))
+            if bucket == -1:
+                out.append(pd.DataFrame({"kind": 2, "batch": r.batch, "doc": np.arange(len(a)), "d": a, "h": b, "first": b"", "n": b"", "key": b"", "many": b""}))
             else:
-                out.append(pd.DataFrame({"kind": 0, "batch": r.batch, "doc": np.frombuffer(r.idx, np.int64), "first": a, "n": b, "key": 0, "many": False}))
+                out.append(pack(0, np.full(len(a), r.batch), np.frombuffer(r.idx, np.int64), a, b))
         return pd.concat(out)
 
     # the sorts below zero are dealt out by batch
     found = stash(packed.withColumn("spread", F.when(F.col("bucket") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("bucket", "spread").applyInPandas(lambda pdf: gather(pdf.drop(columns="spread")), FOUND))
-    names = found.filter("kind = 2").select("batch", "doc", F.col("first").alias("d"), F.col("key").alias("h"))
-    mixed = found.filter("kind = 1").join(names, ["batch", "doc"]).groupBy("d", "h").agg(_blob("mixed"))
+    names = found.filter("kind = 2").select("batch", "doc", "d", "h")
+    packed_rows = lambda k: found.filter(f"kind = {k}").select("batch", "doc", "first", "n", "key", "many").join(names, ["batch", "doc"])
+    mixed = packed_rows(1).groupBy("d", "h").agg(_all("mixed"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 raw, out = r["text"].encode(), []
-                for m in r["mixed"]:
-                    piece = raw[m["first"] : m["first"] + m["n"] + length - 1]
-                    if m["many"]:
+                for first, n, key, lots in zip(*(x.tolist() for x in unpack(r["mixed"], np.int32, np.int32, np.int64, np.int8))):
+                    piece = raw[first : first + n + length - 1]
+                    if lots:
                         p = Prefixes(np.frombuffer(piece, np.uint8))
-                        at = np.arange(m["n"])
+                        at = np.arange(n)
                         for i, h in enumerate(_mix(p.of(at, at + length)).view(np.int64).tolist()):
-                            out.append({"key": h, "d": r["d"], "h": r["h"], "first": m["first"] + i, "n": 1, "piece": piece[i : i + length]})
+                            out.append({"key": h, "d": r["d"], "h": r["h"], "first": first + i, "n": 1, "piece": piece[i : i + length]})
                     else:
-                        out.append({"key": m["key"], "d": r["d"], "h": r["h"], "first": m["first"], "n": m["n"], "piece": piece})
+                        out.append({"key": key, "d": r["d"], "h": r["h"], "first": first, "n": n, "piece": piece})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=PIECES)
 
@@ -369,7 +381,9 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
         def flush(rows: pd.DataFrame) -> pa.RecordBatch:
             which, place = sort_mixed(rows["key"].to_numpy(), rows["d"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["piece"].tolist(), length)
-            return pa.RecordBatch.from_arrays([pa.array(rows["d"].to_numpy()[which]), pa.array(rows["h"].to_numpy()[which]), pa.array(rows["first"].to_numpy()[which] + place), pa.array(np.ones(len(which), np.int32))], names=["d", "h", "first", "n"])
+            # batch and doc stand for the two keys here
+            out = pack(0, rows["d"].to_numpy()[which], rows["h"].to_numpy()[which], rows["first"].to_numpy()[which] + place, np.ones(len(which), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(out["batch"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["first"], pa.binary()), pa.array(out["n"], pa.binary())], names=["d", "h", "first", "n"])
 
         held = None
         for batch in batches:
@@ -384,9 +398,9 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
             yield flush(held)
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    late = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort_run, "d long, h long, first long, n int")
-    early = found.filter("kind = 0").join(names, ["batch", "doc"]).select("d", "h", "first", "n")
-    cuts = early.unionByName(late).groupBy("d", "h").agg(_blob("cuts")).select(F.col("d").alias("cd"), F.col("h").alias("ch"), "cuts")
+    late = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort_run, "d long, h long, first binary, n binary")
+    early = packed_rows(0).select("d", "h", "first", "n")
+    cuts = early.unionByName(late).groupBy("d", "h").agg(_all("cuts")).select(F.col("d").alias("cd"), F.col("h").alias("ch"), "cuts")
     joined = docs.join(cuts, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")), "left").drop("d", "h", "cd", "ch")
     names_out = [*rest.columns, "n_bytes", "n_removed", "n_spans", cut]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + f", n_bytes long, n_removed long, n_spans long, `{cut}` binary"
@@ -400,8 +414,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 raw = np.frombuffer((t.as_py() or "").encode(), np.uint8)
                 mask = np.zeros(len(raw) + 1, np.int64)
                 if cuts_here.is_valid:
-                    flat = cuts_here.values
-                    first, n = flat.field("first").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
+                    first, n = unpack(cuts_here.as_py(), np.int32, np.int32)
                     np.add.at(mask, first, 1)
                     np.add.at(mask, first + n + length - 1, -1)
                 gone = np.cumsum(mask)[:-1] > 0
