@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import dialect, lifecycle, mining
+from . import dialect, lifecycle, mining, ordered
 
 SHARED = {**mining.QUERIES, **lifecycle.QUERIES}
 
@@ -14,8 +14,8 @@ def _run(made, spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: partial(_run, made) for name, made in SHARED.items()}
+    return {name: partial(_run, made) for name, made in SHARED.items()} | ordered.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.oracle(made) for name, made in SHARED.items()}
+    return {name: dialect.oracle(made) for name, made in SHARED.items()} | ordered.ORACLE
