@@ -113,3 +113,21 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame(HARD, "conv_id long, turn long, role string, text string")
     return digests(read_back(format_chats(rows.unionByName(hard))))
+
+
+def _duck(x: str, role: bool = False) -> str:
+    for plain, code in (*ESCAPES, *(((":", "\\c"),) if role else ())):
+        x = f"replace({x}, '{plain}', '{code}')"
+    return x
+
+
+#: The rows in DuckDB: a block's head and end count once, a joint for each further turn in it.
+ORACLE_SQL = f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT * FROM (VALUES {', '.join(f"({h[0]}, {h[1]}, '{h[2]}', '{h[3]}')" for h in HARD)}) AS h),
+e AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM r)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = '{LEARNT}' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = '{LEARNT}' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(length({_duck('text')}) + CASE WHEN before = role THEN {len(JOINT)} ELSE length({_duck('role', True)}) + {len(HEAD) + 2 + len(END)} END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""

@@ -126,3 +126,11 @@ def exact_top(df: DataFrame, is_query: Column, k: int = 10, vector: str = "embed
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
     return found.select("query_id", "rank", "vec_id", "score")
+
+
+#: The rows in DuckDB, by comparing with all.
+ORACLE_SQL = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) x WHERE place <= 10"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import chat, kdtree
 from .chat import op3_chat
 from .hilbert import op5_neighbours
 from .kdtree import op9_topk
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": chat.ORACLE_SQL, "op9_topk": kdtree.ORACLE_SQL}

@@ -1,0 +1,16 @@
+import duckdb
+import pytest
+from loamworks.llm import registry
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df = registry.queries()[name](spark, SF)
+    cur = con.execute(registry.oracle_sql()[name])
+    at = [[c[0] for c in cur.description].index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in at) for r in cur.fetchall())
