@@ -7,7 +7,7 @@ How links are found, over distinct fingerprints: the 64 bits are cut into segmen
 segment without error, or (1, 1, 1) or (2, 1, 1) in some order, so two segments with one error each. The first case is a join on
 the segment. For the second, each 23-bit word (a segment with zeros in front) has one nearest word of the perfect Golay code, and
 words one bit apart share such an index if one side gives its own and the other those of its neighbours, which are 1 or 6 indices.
-For a pair of segments, one side spreads the first and the other the second, so a fingerprint gives at most 12 keys a pair of
+For a pair of segments, one side spreads the first and the other the second, so a fingerprint gives at most 11 keys a pair of
 segments, all in 24 bits. This finds every link; candidates are verified on the 64 bits.
 
 A key with up to three rows is settled by aggregates: their least, greatest and exclusive-or give all fingerprints. Groups of
@@ -131,11 +131,17 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         side.append(np.full(len(each), 3))
     own, near = [nearest(p) for p in parts], [neighbours(p) for p in parts]
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), 3):
+        # the key of both own indices stands on either side, once
+        rows.append(each)
+        out.append(kind << 32 | own[a] << 12 | own[b])
+        side.append(np.full(len(each), 3))
         r, k = near[a]
+        r, k = r[k != own[a][r]], k[k != own[a][r]]
         rows.append(r)
         out.append(kind << 32 | k << 12 | own[b][r])
         side.append(np.full(len(r), 1))
         r, k = near[b]
+        r, k = r[k != own[b][r]], k[k != own[b][r]]
         rows.append(r)
         out.append(kind << 32 | own[a][r] << 12 | k)
         side.append(np.full(len(r), 2))
