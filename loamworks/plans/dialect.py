@@ -114,3 +114,13 @@ def run(spark: SparkSession, sf_dir: str, made) -> DataFrame:
 
 def oracle(made) -> str:
     return re.sub(r"<(\w+)>", lambda m: m[1] if m[1] in TABLES else m[0], made(Duck))
+
+
+def json_text(d, x: str, path: str) -> str:
+    """A member of a JSON text as text."""
+    return f"get_json_object({x}, '{path}')" if d is Spark else f"json_extract_string({x}, '{path}')"
+
+
+def found(d, x: str, pattern: str, group: int = 1) -> str:
+    """A group of the first match, or an empty text."""
+    return f"regexp_extract({x}, {d.text(pattern)}, {group})"

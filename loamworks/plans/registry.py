@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import dialect, lifecycle, mining, ordered
+from . import dialect, lifecycle, mining, ordered, upkeep
 
-SHARED = {**mining.QUERIES, **lifecycle.QUERIES}
+SHARED = {**mining.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES}
 
 
 def _run(made, spark, sf_dir):
