@@ -43,6 +43,8 @@ BATCH, BUCKET = 3_000_000, 16_000_000
 MANY = 4096
 #: Stretches whose suffixes are sorted together.
 SORTED = 20_000
+#: Strings to remove that a task holds before it writes them out.
+FOUND_AT_ONCE = 1_500_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 LAST = (1 << 63) - 1
 
@@ -295,14 +297,33 @@ def suffix_sort(text: np.ndarray, prefixes: Prefixes, suffixes: np.ndarray, grou
     return order
 
 
+def anchors(prefixes: Prefixes, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Places of the anchors in stretches: the least piece of those that all strings of a stretch hold."""
+    k = min(K, length)
+    if not len(starts):
+        return starts
+    low, high = starts + counts - 1, starts + length - k + 1
+    size = high - low
+    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    packed = (_mix(prefixes.of(at, at + k)) & ~np.uint64((1 << 24) - 1)) | (at - np.repeat(starts, size)).astype(np.uint64)
+    return (np.minimum.reduceat(packed, np.cumsum(size) - size) & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
 def sort_mixed(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Stretch and place of all strings which a smaller document has too. Stretches of one key meet."""
     by = np.argsort(keys, kind="stable")
     text, _, starts = _joined([texts[i] for i in by])
-    each = np.repeat(np.arange(len(by)), counts[by])
-    place = np.arange(len(each)) - np.repeat(np.cumsum(counts[by]) - counts[by], counts[by])
-    suffixes, group = starts[each] + place, keys[by][each]
+    n = counts[by]
     prefixes = Prefixes(text)
+    each = np.repeat(np.arange(len(by)), n)
+    place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    # equal strings have their anchor at the same place, so only those meet
+    rel = anchors(prefixes, starts[:-1], n, length)[each] - place
+    sorted_by = np.lexsort((rel, keys[by][each]))
+    each, place, rel = each[sorted_by], place[sorted_by], rel[sorted_by]
+    key = keys[by][each]
+    group = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (rel[1:] != rel[:-1]))[: len(key)])
+    suffixes = starts[each] + place
     order = suffix_sort(text, prefixes, suffixes, group, length)
     inverse = np.full(len(text) + 1, -1)
     inverse[suffixes] = np.arange(len(suffixes))
@@ -379,11 +400,19 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     def sort_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; whole keys are sorted together, many at a time."""
 
-        def flush(rows: pd.DataFrame) -> pa.RecordBatch:
+        found_here: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def sort(rows: pd.DataFrame) -> None:
             which, place = sort_mixed(rows["key"].to_numpy(), rows["d"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["piece"].tolist(), length)
-            # batch and doc stand for the two keys here
-            out = pack(0, rows["d"].to_numpy()[which], rows["h"].to_numpy()[which], rows["first"].to_numpy()[which] + place, np.ones(len(which), np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(out["batch"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["first"], pa.binary()), pa.array(out["n"], pa.binary())], names=["d", "h", "first", "n"])
+            found_here.append((rows["d"].to_numpy()[which], rows["h"].to_numpy()[which], rows["first"].to_numpy()[which] + place))
+
+        def packed_here() -> Iterator[pa.RecordBatch]:
+            if found_here:
+                d, h, first = (np.concatenate(x) for x in zip(*found_here))
+                # batch and doc stand for the two keys here
+                out = pack(0, d, h, first, np.ones(len(d), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(out["batch"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["first"], pa.binary()), pa.array(out["n"], pa.binary())], names=["d", "h", "first", "n"])
+                found_here.clear()
 
         held = None
         for batch in batches:
@@ -392,10 +421,13 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
             if len(held) >= together:
                 done = held["key"] != held["key"].iloc[-1]
                 if done.any():
-                    yield flush(held[done].reset_index(drop=True))
+                    sort(held[done].reset_index(drop=True))
                     held = held[~done].reset_index(drop=True)
+            if sum(len(x[0]) for x in found_here) > FOUND_AT_ONCE:
+                yield from packed_here()
         if held is not None and len(held):
-            yield flush(held)
+            sort(held)
+        yield from packed_here()
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     late = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort_run, "d long, h long, first binary, n binary")
