@@ -109,7 +109,9 @@ def run(spark: SparkSession, sf_dir: str, made) -> DataFrame:
     text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace(f"<{t}>", "{" + t + "}")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    df = spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    # whole numbers are 64 bits wide in results, whatever a function returns
+    return df.withColumns({c: df[c].cast("bigint") for c, kind in df.dtypes if kind == "int"})
 
 
 def oracle(made) -> str:

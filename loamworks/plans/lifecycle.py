@@ -229,7 +229,7 @@ SELECT a.doc_id, a.line, a.n - coalesce(b.n, 0) AS missing FROM a LEFT JOIN b ON
 
 def q_rule_ci(d):
     tests = [("rules", "codex", "cargo test", 1), ("rules", "codex", "npm", 1), ("rules", "claude", "secret", 0), ("style", "claude", "Keep", 1), ("style", "cursor", "bearer", 0), ("style", "cursor", "zzz", 1)]
-    return f"{corpus(d)}, {_matrix()}, {values('test', 'name, agent, needle, wanted', tests)}, doc AS (SELECT agent, {d.listed('body', 'k')} AS content FROM target WHERE targeted GROUP BY agent) SELECT name, test.agent, sum(CASE WHEN contains(content, needle) = (wanted = 1) THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN contains(content, needle) = (wanted = 1) THEN 0 ELSE 1 END) AS failed FROM test JOIN doc ON doc.agent = test.agent GROUP BY name, test.agent"
+    return f"{corpus(d)}, {_matrix()}, {values('test', 'name, agent, needle, wanted', tests)}, doc AS (SELECT agent, {d.listed('body', 'k')} AS content FROM target WHERE targeted GROUP BY agent) SELECT name, test.agent, CAST(sum(CASE WHEN contains(content, needle) = (wanted = 1) THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN contains(content, needle) = (wanted = 1) THEN 0 ELSE 1 END) AS BIGINT) AS failed FROM test JOIN doc ON doc.agent = test.agent GROUP BY name, test.agent"
 
 
 def q_skill_ids(d):
@@ -281,7 +281,7 @@ SELECT lang, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGI
 def q_votes(d):
     """Three votes a document: the majority, ties keep; the mean of the scores there are."""
     return """WITH v AS (SELECT user_id AS item, event_id % 3 AS vote, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 10 AS DOUBLE) / 10 END AS score FROM <events> WHERE event_id % 50 < 3)
-SELECT item, sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) AS rejects, count(*) AS votes, CASE WHEN 2 * sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) > count(*) THEN 'reject' ELSE 'keep' END AS decision, round(avg(score), 6) AS mean_score FROM v GROUP BY item"""
+SELECT item, CAST(sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) AS BIGINT) AS rejects, count(*) AS votes, CASE WHEN 2 * sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) > count(*) THEN 'reject' ELSE 'keep' END AS decision, round(avg(score), 6) AS mean_score FROM v GROUP BY item"""
 
 
 QUERIES = {

@@ -135,7 +135,7 @@ def q_signals(d):
 
 def q_signal_counts(d):
     r = Rules(d)
-    sums = ", ".join(f"sum(CASE WHEN f_{n} THEN 1 ELSE 0 END) AS n_{n}" for n, _ in r.signals())
+    sums = ", ".join(f"CAST(sum(CASE WHEN f_{n} THEN 1 ELSE 0 END) AS BIGINT) AS n_{n}" for n, _ in r.signals())
     flags = ", ".join(f"{c} AS f_{n}" for n, c in r.signals())
     return f"{_sentence_rows(d)}, f AS (SELECT {r.low_value()} AS low_value, {flags} FROM sent) SELECT low_value, count(*) AS n, {sums} FROM f GROUP BY low_value"
 
@@ -265,7 +265,7 @@ def q_prefilter(d):
     r = Rules(d)
     return f"""{corpus(d)}, w AS (SELECT id, conv_id % 5 AS run, {d.bytes_of}(text) AS bytes, 4 * {r.count(M.PRINCIPLE_TOPICS)} + {r.count(M.EXPLICIT_MEMORY)} AS score FROM chunk),
 o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, id DESC) AS rk, sum(bytes) OVER (PARTITION BY run ORDER BY score DESC, id DESC ROWS UNBOUNDED PRECEDING) AS upto FROM w)
-SELECT run, id, rk, score, upto FROM o WHERE rk <= 40 AND (rk = 1 OR upto <= 4000)"""
+SELECT run, id, rk, CAST(score AS BIGINT) AS score, CAST(upto AS BIGINT) AS upto FROM o WHERE rk <= 40 AND (rk = 1 OR upto <= 4000)"""
 
 
 QUERIES = {

@@ -28,7 +28,7 @@ def q_hooks(d):
 
 def q_recurrence_match(d):
     """The first known signal of equal tokens, or that shares at least half of them."""
-    return f"{_cards(d)} SELECT id, min(card_id) AS signal, max(CASE WHEN similarity = 1 THEN 1 ELSE 0 END) AS exact FROM sim WHERE similarity >= 0.5e0 GROUP BY id"
+    return f"{_cards(d)} SELECT id, min(card_id) AS signal, CAST(max(CASE WHEN similarity = 1 THEN 1 ELSE 0 END) AS BIGINT) AS exact FROM sim WHERE similarity >= 0.5e0 GROUP BY id"
 
 
 def q_discovery(d):
