@@ -52,6 +52,16 @@ class Spark:
     def each(x: str, made: str) -> str:
         return f"transform({x}, e -> {made})"
 
+    @staticmethod
+    def real(x: str) -> str:
+        """A quotient of 32-bit floats as one: Spark divides in 64 bits."""
+        return f"CAST({x} AS FLOAT)"
+
+    @staticmethod
+    def placed(x: str) -> str:
+        """Columns ``place`` (from 0) and ``e`` of an array's elements."""
+        return f"posexplode({x}) AS (place, e)"
+
     @staticmethod
     def listed(x: str, by: str) -> str:
         """x of a group as a string of lines in the order of ``by``."""
@@ -97,6 +107,14 @@ class Duck:
     def each(x: str, made: str) -> str:
         return f"list_transform({x}, lambda e: {made})"
 
+    @staticmethod
+    def real(x: str) -> str:
+        return x
+
+    @staticmethod
+    def placed(x: str) -> str:
+        return f"unnest(range(len({x}))) AS place, unnest({x}) AS e"
+
     @staticmethod
     def listed(x: str, by: str) -> str:
         return f"string_agg({x}, chr(10) ORDER BY {by})"

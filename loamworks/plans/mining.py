@@ -49,24 +49,32 @@ def once(d, x: str) -> str:
     return f"{d.explode}({d.array(x)})"
 
 
-def classified(d) -> str:
-    """The corpus and CTE ``c``: its classification and the gate's reason."""
-    r = Rules(d)
+def _units(d) -> str:
+    """The corpus and CTE ``unit``: its sentences. An id is the text's id and six digits of place."""
     return f"""{corpus(d)},
-c1 AS (SELECT *, {once(d, r.signal())} AS signal, {r.gate()} AS gate FROM chunk),
+u0 AS (SELECT id, conv_id, turn, origin, {sentences(d, 'text')} AS parts FROM chunk),
+u1 AS (SELECT id, conv_id, turn, origin, {d.placed('parts')} FROM u0),
+unit AS (SELECT id * 1000000 + place AS id, conv_id, turn, origin, e AS text, lower(e) AS l FROM u1)"""
+
+
+def classified(d, rows: str = "chunk") -> str:
+    """The corpus and CTE ``c``: classification and the gate's reason of its texts, or of their sentences (``unit``)."""
+    r = Rules(d)
+    return f"""{_units(d) if rows == 'unit' else corpus(d)},
+c1 AS (SELECT *, {once(d, r.signal())} AS signal, {r.gate()} AS gate FROM {rows}),
 c2 AS (SELECT *, {r.artifact('signal')} AS artifact_kind FROM c1),
 c3 AS (SELECT *, {once(d, r.hardness('signal', 'artifact_kind'))} AS hardness, {r.activation('artifact_kind')} AS activation FROM c2),
 c AS (SELECT *, {r.control('signal', 'hardness')} AS control FROM c3)"""
 
 
-def scored(d) -> str:
+def scored(d, rows: str = "chunk") -> str:
     """Classified rows and CTE ``s``: terms, score and disposition. Floats are added in the order of the terms' names."""
     terms = Rules(d).terms()
     total = terms[0][0]
     for name, _ in terms[1:]:
         total = f"({total} + {name})"
     out = "gate IS NOT NULL OR signal = ''"
-    return f"""{classified(d)},
+    return f"""{classified(d, rows)},
 t AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in terms)} FROM c),
 s0 AS (SELECT *, {once(d, f'CASE WHEN {out} THEN CAST(0 AS FLOAT) ELSE {total} END')} AS score FROM t),
 s AS (SELECT *, CASE WHEN {out} THEN 'reject' WHEN score >= CAST(3.2 AS FLOAT) THEN 'candidate' WHEN score >= CAST(2.4 AS FLOAT) THEN 'borderline' ELSE 'reject' END AS disposition,
@@ -74,14 +82,14 @@ s AS (SELECT *, CASE WHEN {out} THEN 'reject' WHEN score >= CAST(3.2 AS FLOAT) T
 
 
 def candidates(d) -> str:
-    """Scored sentences that make a candidate: CTE ``cand``."""
+    """Scored sentences that make a candidate: CTE ``cand``. Every sentence of every text is judged by itself."""
     r = Rules(d)
     body = "replace(replace(text, '；', ';'), '“', '')"
-    return f"""{scored(d)},
+    return f"""{scored(d, 'unit')},
 cand0 AS (SELECT id, conv_id, turn, origin, text, l, matched_signal, artifact_kind, hardness, score,
     {trimmed(d, body)} AS body FROM s WHERE disposition <> 'reject' AND {d.bytes_of}(text) BETWEEN 12 AND 400 AND NOT {r.low_value()}),
 cand AS (SELECT id, conv_id, turn, origin, text, l, matched_signal, artifact_kind, hardness, score, body,
-    greatest(least(score / CAST(5 AS FLOAT), CAST(0.94 AS FLOAT)), CAST(0.7 AS FLOAT)) AS confidence,
+    greatest(least({d.real('score / CAST(5 AS FLOAT)')}, CAST(0.94 AS FLOAT)), CAST(0.7 AS FLOAT)) AS confidence,
     concat('score:', matched_signal) AS template,
     CASE WHEN matched_signal IN ('constraint', 'correction') THEN 'constraint' WHEN matched_signal IN ('procedure', 'template', 'validation') THEN 'workflow' ELSE 'preference' END AS kind,
     CASE WHEN contains(l, '所有项目') OR contains(l, 'for all') OR contains(l, '跨项目') THEN 'global' WHEN contains(l, 'codex') OR contains(l, 'claude') THEN 'agent' ELSE 'project' END AS scope,
