@@ -233,16 +233,6 @@ def q_jaccard_pairs(d):
     return f"{corpus(d)}, card AS (SELECT k, {tokens(d, 'body')} AS tok FROM statement) SELECT a.k AS a, b.k AS b, round({jaccard(d, 'a.tok', 'b.tok')}, 6) AS similarity FROM card a JOIN card b ON a.k < b.k"
 
 
-def q_cosine_top5(d):
-    e = "explode" if d.explode == "explode" else "unnest"
-    pos = "SELECT vec_id, posexplode(embedding) AS (i, x) FROM <embeddings>" if e == "explode" else "SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM <embeddings>"
-    return f"""WITH c AS ({pos}), v AS (SELECT vec_id, i, CAST(x AS DOUBLE) AS x FROM c),
-norm AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id),
-dot AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x) AS d FROM v q JOIN v c ON q.i = c.i AND q.vec_id < 5 AND q.vec_id <> c.vec_id GROUP BY q.vec_id, c.vec_id),
-s AS (SELECT query_id, dot.vec_id, CASE WHEN a.n = 0 OR b.n = 0 THEN 0 ELSE d / (a.n * b.n) END AS similarity FROM dot JOIN norm a ON a.vec_id = query_id JOIN norm b ON b.vec_id = dot.vec_id)
-SELECT query_id, vec_id, rk, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rk FROM s) x WHERE rk <= 5"""
-
-
 # -- ranking
 
 
@@ -302,7 +292,6 @@ QUERIES = {
     "top5_similar": q_similar_top5,
     "existing_dup_match": q_first_duplicate,
     "jaccard_pairs": q_jaccard_pairs,
-    "cosine_top5": q_cosine_top5,
     "candidate_inbox_sort": q_inbox,
     "diverse_topk": q_diverse_topk,
     "preview_truncate": q_preview_truncate,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.atomic import atomic_parts
 from ..operators.balanced import balanced_topk
+from ..operators.cosine import cosine_top
 from ..operators.dedupe import batch_dedupe, greedy_dedupe
 from ..sources.logs import messages
 from ..streaming import observations
@@ -46,6 +47,11 @@ def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_topk(rows).select("run", "place", "seq", "tier")
 
 
+def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row."""
+    return cosine_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as log lines of several shapes, and read back as messages."""
     rows = _chunks(spark, sf_dir)
@@ -63,15 +69,24 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("id", "origin", "body")
 
 
+COSINE_SQL = """WITH c AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings), v AS (SELECT vec_id, i, CAST(x AS DOUBLE) AS x FROM c),
+norm AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id),
+dot AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x) AS d FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id GROUP BY q.vec_id, c.vec_id),
+s AS (SELECT query_id, dot.vec_id, CASE WHEN a.n = 0 OR b.n = 0 THEN 0 ELSE d / (a.n * b.n) END AS similarity FROM dot JOIN norm a ON a.vec_id = query_id JOIN norm b ON b.vec_id = dot.vec_id)
+SELECT query_id, vec_id, rk, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rk FROM s) x WHERE rk <= 5"""
+
+
 QUERIES = {
     "split_atomic": split_atomic,
     "greedy_dedupe": greedy,
     "batch_dedupe": batches,
     "balanced_topk": balanced,
+    "cosine_top5": cosine,
     "ingest_jsonl_messages": ingest,
     "stream_observation_upsert": stream,
 }
 
 ORACLE = {
+    "cosine_top5": COSINE_SQL,
     "stream_observation_upsert": "SELECT DISTINCT 'obs:' || coalesce(role, 'unknown') || ':' || sha256(text) AS id, coalesce(role, 'unknown') AS origin, text AS body FROM conversations",
 }

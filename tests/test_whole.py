@@ -1,6 +1,8 @@
 """Queries see whole inputs, compared with what plain Python finds."""
 
+import numpy as np
 import pytest
+from loamworks.operators.cosine import cosine_top
 from loamworks.plans import registry
 
 RULE = "Never push to main without a review because a broken build blocks everyone"
@@ -29,3 +31,16 @@ def test_candidates_by_sentence(spark, long_rows):
     got = {r["body"] for r in registry.queries()["candidates_local"](spark, folder).collect()}
     assert {f"{RULE} {i}" for i, *_ in rows} <= got
     assert all("\n" not in b for b in got)
+
+
+def test_every_row_is_a_cosine_query(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.integers(-2, 3, (60, 4)).astype(float)  # many ties, and vectors of zeros
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>")
+    long = np.linalg.norm(x, axis=1)
+    sims = np.where(np.outer(long, long) > 0, x @ x.T / np.maximum(np.outer(long, long), 1e-300), 0)
+    want = {(q, c, rk) for q in range(60) for rk, c in enumerate(sorted((c for c in range(60) if c != q), key=lambda c: (-round(sims[q, c], 9), c))[:5], 1)}
+    for block_rows in (2048, 13):
+        assert {(r["query_id"], r["vec_id"], r["rk"]) for r in cosine_top(df, block_rows=block_rows).collect()} == want
+    assert cosine_top(df.filter("false")).count() == 0
