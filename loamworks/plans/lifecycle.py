@@ -107,18 +107,18 @@ def q_preferences(d):
 
 
 def _feedback():
-    """Rejections by statement: every third event, by the user's statement; the event type is the reason."""
-    return f"fb AS (SELECT event_id, user_id % {N} AS k, event_type AS reason, ts FROM <events> WHERE event_id % 3 = 0 AND user_id % {N} > 4)"
+    """Feedback on the user's statement, of every event: errors are rejections; the event type is the reason."""
+    return f"fb AS (SELECT event_id, user_id % {N} AS k, CASE event_type WHEN 'error' THEN 'rejected' ELSE 'accepted' END AS decision, event_type AS reason, ts FROM <events>)"
 
 
 def q_feedback_penalty(d):
-    return f"""WITH {_feedback()}, n AS (SELECT k, reason, count(*) AS c FROM fb GROUP BY k, reason),
+    return f"""WITH {_feedback()}, n AS (SELECT k, reason, count(*) AS c FROM fb WHERE decision = 'rejected' GROUP BY k, reason),
 m AS (SELECT k, reason, c, row_number() OVER (PARTITION BY k ORDER BY c DESC, reason DESC) AS rk, sum(c) OVER (PARTITION BY k) AS rejections FROM n)
 SELECT k, CAST(rejections AS BIGINT) AS rejections, reason, greatest(-0.08e0 * rejections, -0.25e0) AS delta FROM m WHERE rk = 1 AND rejections >= 2"""
 
 
 def q_reflexion(d):
-    return f"WITH {_feedback()}, n AS (SELECT k, count(*) AS c FROM fb GROUP BY k) SELECT k, c, place FROM (SELECT k, c, row_number() OVER (ORDER BY c DESC, k) AS place FROM n WHERE c >= 3) x WHERE place <= 10"
+    return f"WITH {_feedback()}, n AS (SELECT k, count(*) AS c FROM fb WHERE decision = 'rejected' GROUP BY k) SELECT k, c, place FROM (SELECT k, c, row_number() OVER (ORDER BY c DESC, k) AS place FROM n WHERE c >= 3) x WHERE place <= 10"
 
 
 def q_feedback_gate(d):
@@ -144,9 +144,10 @@ SELECT id, sg.signature, n, round(CASE WHEN n >= 3 THEN least(CAST(confidence AS
 
 
 def q_candidate_status(d):
-    """The first transition decides: only a candidate can be hidden, rejected or promoted."""
-    return """WITH t AS (SELECT user_id AS candidate, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rk FROM <events> WHERE event_id % 5 < 3)
-SELECT candidate, CASE event_id % 5 WHEN 0 THEN 'hidden' WHEN 1 THEN 'rejected' ELSE 'promoted' END AS status, event_id AS by_event FROM t WHERE rk = 1"""
+    """The first transition decides: only a candidate can be hidden, rejected or promoted; without any it stays one."""
+    return """WITH e AS (SELECT user_id AS candidate, ts, event_id, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'promoted' WHEN 'view' THEN 'hidden' ELSE 'candidate' END AS status FROM <events>),
+t AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY CASE WHEN status = 'candidate' THEN 1 ELSE 0 END, ts, event_id) AS rk FROM e)
+SELECT candidate, status, CASE WHEN status <> 'candidate' THEN event_id END AS by_event FROM t WHERE rk = 1"""
 
 
 def q_token_use(d):
@@ -279,8 +280,8 @@ SELECT lang, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGI
 
 
 def q_votes(d):
-    """Three votes a document: the majority, ties keep; the mean of the scores there are."""
-    return """WITH v AS (SELECT user_id AS item, event_id % 3 AS vote, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 10 AS DOUBLE) / 10 END AS score FROM <events> WHERE event_id % 50 < 3)
+    """Every vote on an item: the majority, ties keep; the mean of the scores there are."""
+    return """WITH v AS (SELECT user_id AS item, event_id % 3 AS vote, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 10 AS DOUBLE) / 10 END AS score FROM <events>)
 SELECT item, CAST(sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) AS BIGINT) AS rejects, count(*) AS votes, CASE WHEN 2 * sum(CASE WHEN vote = 2 THEN 1 ELSE 0 END) > count(*) THEN 'reject' ELSE 'keep' END AS decision, round(avg(score), 6) AS mean_score FROM v GROUP BY item"""
 
 

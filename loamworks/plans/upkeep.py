@@ -23,7 +23,7 @@ SELECT page_id, name, description, concat(CASE WHEN name = '' THEN 'no-name ' EL
 def q_hooks(d):
     """Hook events and matchers out of tags."""
     tags = "concat('hook:event:', event_type, ' hook:matcher:', CAST(user_id AS VARCHAR(20)), CASE WHEN event_id % 3 = 0 THEN '' ELSE ' plain' END)"
-    return f"WITH t AS (SELECT event_id, {tags} AS tags FROM <events> WHERE event_id % 20 = 0) SELECT {found(d, 'tags', 'hook:event:([a-z]+)')} AS hook_event, {found(d, 'tags', 'hook:matcher:([0-9]+)')} AS matcher, count(*) AS n FROM t GROUP BY 1, 2"
+    return f"WITH t AS (SELECT event_id, {tags} AS tags FROM <events>) SELECT {found(d, 'tags', 'hook:event:([a-z]+)')} AS hook_event, {found(d, 'tags', 'hook:matcher:([0-9]+)')} AS matcher, count(*) AS n FROM t GROUP BY 1, 2"
 
 
 def q_recurrence_match(d):
@@ -38,7 +38,7 @@ def q_discovery(d):
 
 def q_registry(d):
     """Registered and discovered projects; of equal paths the last entry wins."""
-    return """WITH r AS (SELECT source AS path, doc_id AS seq, 'registered' AS origin FROM <documents> WHERE doc_id % 50 < 2 UNION ALL SELECT concat('src', CAST(user_id % 40 AS VARCHAR(20))), 1000000 + event_id, 'discovered' FROM <events> WHERE event_id % 90 = 0)
+    return """WITH r AS (SELECT source AS path, doc_id AS seq, 'registered' AS origin FROM <documents> UNION ALL SELECT concat('src', CAST(user_id % 40 AS VARCHAR(20))), 1000000 + event_id, 'discovered' FROM <events>)
 SELECT path, seq, origin FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS rk FROM r) x WHERE rk = 1"""
 
 
@@ -73,7 +73,7 @@ SELECT id, action, CASE action WHEN 'merge_into_existing' THEN 'update' ELSE act
 
 def q_insight(d):
     """How sure and how stable a subject is, by its kinds of events and approvals."""
-    return f"""WITH n AS (SELECT user_id % {N} AS subject, count(DISTINCT event_type) AS d, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS c FROM <events> WHERE event_id % 40 = 0 GROUP BY user_id % {N})
+    return f"""WITH n AS (SELECT user_id % {N} AS subject, count(DISTINCT event_type) AS d, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS c FROM <events> GROUP BY user_id % {N})
 SELECT subject, round(least(0.95e0, 0.48e0 + 0.07e0 * d + 0.08e0 * a), 6) AS confidence, CAST(c AS BIGINT) AS conflicts, c > a AS disputed FROM n"""
 
 

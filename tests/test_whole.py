@@ -1,5 +1,7 @@
 """Queries see whole inputs, compared with what plain Python finds."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from loamworks.operators.cosine import cosine_top
@@ -44,3 +46,25 @@ def test_every_row_is_a_cosine_query(spark):
     for block_rows in (2048, 13):
         assert {(r["query_id"], r["vec_id"], r["rk"]) for r in cosine_top(df, block_rows=block_rows).collect()} == want
     assert cosine_top(df.filter("false")).count() == 0
+
+
+def test_every_event_counts(spark):
+    """Sums over results against the table itself."""
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("ts", "event_id").collect()
+    run = lambda name: registry.queries()[name](spark, sf).collect()
+    assert sum(r["votes"] for r in run("judge_vote")) == sum(r["n"] for r in run("hooks_compile")) == len(events)
+    rejections = Counter(e["user_id"] % 24 for e in events if e["event_type"] == "error")
+    assert {r["k"]: r["rejections"] for r in run("feedback_penalty")} == {k: n for k, n in rejections.items() if n >= 2}
+    assert [(r["k"], r["c"]) for r in sorted(run("reflexion_patterns"), key=lambda r: r["place"])] == sorted(((k, n) for k, n in rejections.items() if n >= 3), key=lambda x: (-x[1], x[0]))[:10]
+    status, kinds = {e["user_id"]: ("candidate", None) for e in events}, {"error": "rejected", "purchase": "promoted", "view": "hidden"}
+    for e in events:
+        if status[e["user_id"]][0] == "candidate" and e["event_type"] in kinds:
+            status[e["user_id"]] = (kinds[e["event_type"]], e["event_id"])
+    assert {r["candidate"]: (r["status"], r["by_event"]) for r in run("candidate_status")} == status
+    errors = Counter(e["user_id"] % 24 for e in events if e["event_type"] == "error")
+    assert {r["subject"]: r["conflicts"] for r in run("evolution_insight")} == {e["user_id"] % 24: errors[e["user_id"] % 24] for e in events}
+    sources = {r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    last = {f"src{e['user_id'] % 40}": e["event_id"] for e in sorted(events, key=lambda e: e["event_id"])}
+    found = {r["path"]: r["seq"] - 1000000 for r in run("registry_dedupe") if r["origin"] == "discovered"}
+    assert found == last and {r["path"] for r in run("registry_dedupe")} == set(last) | sources
