@@ -128,7 +128,11 @@ SELECT id, coalesce(n, 0) AS rejections, round(greatest(least(CAST(confidence AS
 
 
 def _signed(d):
-    return f"""{candidates(d)}, sg AS (SELECT id, origin, confidence, turn, concat('sig:', substr(replace(concat('sha256:', {d.sha(f"{d.join}({tokens(d, 'substr(body, 1, 40)')}, ' ')")}), ':', '-'), 1, 16)) AS signature FROM cand)"""
+    """Candidates with the signature of their kind and whole body, in normalised words."""
+    text = "concat(kind, ' ', lower(body))"
+    for old, new in M.SIGNED:
+        text = f"replace({text}, {quoted(old)}, {quoted(new)})"
+    return f"""{candidates(d)}, sg AS (SELECT id, origin, confidence, turn, concat('sig:', substr(replace(concat('sha256:', {d.sha(f"{d.join}({tokens(d, text)}, ' ')")}), ':', '-'), 1, 16)) AS signature FROM cand)"""
 
 
 def q_recurrence(d):

@@ -211,10 +211,10 @@ def q_weak_rules(d):
 
 
 def _cards(d):
-    """Cards: the statements; candidates: distinct starts of conversation texts with their statement."""
-    return f"""{corpus(d)},
+    """Cards: the statements; items: all sentences. Both with the tokens of their whole texts; ``sim`` has the pairs that share one."""
+    return f"""{_units(d)},
 card AS (SELECT k AS card_id, body, {tokens(d, 'body')} AS tok FROM statement),
-item AS (SELECT id, text, {tokens(d, 'substr(text, 1, 80)')} AS tok FROM chunk),
+item AS (SELECT id, text, {tokens(d, 'text')} AS tok FROM unit),
 ct AS (SELECT card_id, {d.explode}(tok) AS t FROM card),
 it AS (SELECT id, {d.explode}(tok) AS t FROM item),
 shared AS (SELECT it.id, ct.card_id, count(*) AS n FROM it JOIN ct ON it.t = ct.t GROUP BY it.id, ct.card_id),
@@ -230,7 +230,8 @@ def q_first_duplicate(d):
 
 
 def q_jaccard_pairs(d):
-    return f"{corpus(d)}, card AS (SELECT k, {tokens(d, 'body')} AS tok FROM statement) SELECT a.k AS a, b.k AS b, round({jaccard(d, 'a.tok', 'b.tok')}, 6) AS similarity FROM card a JOIN card b ON a.k < b.k"
+    """Similarity of every sentence and card that share a token; all other pairs have none."""
+    return f"{_cards(d)} SELECT id, card_id, round(similarity, 6) AS similarity FROM sim"
 
 
 # -- ranking

@@ -38,7 +38,7 @@ def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).select(F.col("id").alias("seq"), (F.col("conv_id") % 5).alias("run"), F.substring_index("body", "\n", 1).alias("body"))
+    rows = _candidates(spark, sf_dir).select(F.col("id").alias("seq"), (F.col("conv_id") % 5).alias("run"), "body")
     return batch_dedupe(rows).select("run", "seq")
 
 

@@ -1,11 +1,15 @@
 """Queries see whole inputs, compared with what plain Python finds."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from loamworks.functions import markers
+from loamworks.operators import dedupe
 from loamworks.operators.cosine import cosine_top
 from loamworks.plans import registry
+from loamworks.plans.corpus import STATEMENTS
 
 RULE = "Never push to main without a review because a broken build blocks everyone"
 
@@ -68,3 +72,29 @@ def test_every_event_counts(spark):
     last = {f"src{e['user_id'] % 40}": e["event_id"] for e in sorted(events, key=lambda e: e["event_id"])}
     found = {r["path"]: r["seq"] - 1000000 for r in run("registry_dedupe") if r["origin"] == "discovered"}
     assert found == last and {r["path"] for r in run("registry_dedupe")} == set(last) | sources
+
+
+def test_signatures_of_whole_bodies(spark, tmp_path):
+    start = "Never push to main without a review because"
+    texts = [f"{start} a broken build blocks everyone", f"{start} a broken build annoys customers", f"{start} a broken  build blocks everyone"]
+    spark.createDataFrame([(24, t, "user", x) for t, x in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    ids = {r["id"] // 1000000: r["id"] for r in registry.queries()["candidates_local"](spark, str(tmp_path)).collect() if r["body"].startswith(start)}
+    got = {r["id"]: r["signature"] for r in registry.queries()["recurrence_boost"](spark, str(tmp_path)).collect()}
+    one, other, copy = (got[ids[24000 + t]] for t in range(3))
+    assert one == copy != other
+    # the same signature by hand: 24 replacements, tokens, hash
+    signed = set()
+    for kind in ("constraint", "workflow", "preference"):
+        text = f"{kind} {texts[0].lower()}"
+        for old, new in markers.SIGNED:
+            text = text.replace(old, new)
+        signed.add("sig:sha256-" + hashlib.sha256(" ".join(sorted(dedupe.tokens(text))).encode()).hexdigest()[:9])
+    assert one in signed
+
+
+def test_cards_meet_whole_sentences(spark, long_rows):
+    folder, rows = long_rows
+    pairs = {(r["id"], r["card_id"]): r["similarity"] for r in registry.queries()["jaccard_pairs"](spark, folder).collect()}
+    assert len({i // 1000000 for i, _ in pairs}) == len(rows)
+    want = dedupe.jaccard(dedupe.tokens(f"{RULE} 13"), dedupe.tokens(STATEMENTS[8]))
+    assert any(i // 1000000 == 13000 and c == 8 and abs(s - want) < 1e-6 for (i, c), s in pairs.items())
