@@ -1,7 +1,7 @@
 """Operator 10: toxicity of texts restored through a noisy channel.
 
 Writers hide words by look-alike signs (1d10t), spacing (i d i o t, i.d.i.o.t) and repetition (iiidiot). Each suspect word spans a
-lattice: at each sign the letters it may stand for, at each separator nothing, at each run of one letter one or two of them, all at
+lattice: at each sign the letters it may stand for, at each separator nothing or the end of a word, at each run of one letter one or two of them, all at
 a cost. Viterbi decoding finds the best path under a character language model: trigrams of letters counted over all documents. The
 restored text is then scored.
 
@@ -14,8 +14,8 @@ crc32(doc_id) mod 5 is not 0; all else covers every document and whole texts.
 
 Defined cases: null and empty texts score as texts without evidence; without labels every text scores 0; repeated labels of a
 document count once, as toxic if any is; a null doc_id counts as held out and takes no label; repeated rows give repeated results;
-columns named like an output are replaced; an empty table gives an empty table. Words of more than MOST_SIGNS signs are not
-restored.
+columns named like an output are replaced; an empty table gives an empty table. Words and spaced runs of any
+length are restored; a spaced or dotted run may be read as several words, each with its own evidence.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ from .common import stash, table, without
 TRAIN_ROWS = 12_000
 #: Weight of the overall odds in a feature's odds, and the least toxic texts that hold it.
 PRIOR, LEAST = 6.0, 3
-MOST_SIGNS = 32
 CACHE_WORDS = 600_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 EDGE, OTHER = 0, len(LETTERS) + 1
@@ -103,11 +102,11 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 def lattice(word: str) -> list[list[tuple[int, str, float]]]:
     """For each place its arcs: where they lead, what they say and what they cost."""
     arcs: list[list[tuple[int, str, float]]] = []
-    for i, c in enumerate(word):
+    runs = [1] * len(word)
+    for i in range(len(word) - 2, -1, -1):
+        runs[i] = runs[i + 1] + 1 if word[i] == word[i + 1] else 1
+    for i, (c, run) in enumerate(zip(word, runs)):
         here = []
-        run = 1
-        while i + run < len(word) and word[i + run] == c:
-            run += 1
         if c in LETTERS:
             here.append((i + 1, c, 0.0))
             if run > 1:
@@ -120,7 +119,9 @@ def lattice(word: str) -> list[list[tuple[int, str, float]]]:
             here.append((i + 1, c, COST_KEPT))
         elif c in SEPARATORS or c == " ":
             here.append((i + 1, "", COST_GONE))
-            here.append((i + 1, c, COST_KEPT))
+            here.append((i + 1, " ", COST_GONE))
+            if c != " ":
+                here.append((i + 1, c, COST_KEPT))
         else:
             here.append((i + 1, c, COST_KEPT))
         arcs.append(here)
@@ -128,11 +129,12 @@ def lattice(word: str) -> list[list[tuple[int, str, float]]]:
 
 
 def restore(word: str, costs: np.ndarray) -> str:
-    """The best reading of a suspect word."""
+    """The best reading of a suspect word or run; words of a run come with spaces between them."""
     arcs = lattice(word)
-    number = {c: i for i, c in enumerate(LETTERS, 1)}
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(word) + 1)]
-    best[0][EDGE, EDGE] = (0.0, "")
+    number = {" ": EDGE} | {c: i for i, c in enumerate(LETTERS, 1)}
+    # what was said is a chain of its parts, so that time grows with the length only
+    best: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(len(word) + 1)]
+    best[0][EDGE, EDGE] = (0.0, ())
     for i, here in enumerate(arcs):
         for (a, b), (cost, said) in best[i].items():
             for to, text, more in here:
@@ -143,13 +145,18 @@ def restore(word: str, costs: np.ndarray) -> str:
                     x, y = y, z
                 old = best[to].get((x, y))
                 if old is None or total < old[0]:
-                    best[to][x, y] = (total, said + text)
-    return min((cost + costs[a, b, EDGE], said) for (a, b), (cost, said) in best[-1].items())[1]
+                    best[to][x, y] = (total, (said, text))
+        best[i] = {}
+    said, parts = min(((cost + costs[a, b, EDGE], said) for (a, b), (cost, said) in best[-1].items()), key=lambda x: x[0])[1], []
+    while said:
+        said, text = said
+        parts.append(text)
+    return "".join(reversed(parts))
 
 
 def suspect(word: str) -> bool:
     """Whether a lower-case word may be in disguise."""
-    if len(word) > MOST_SIGNS or not any(c in LETTERS for c in word):
+    if not any(c in LETTERS for c in word):
         return False
     if any(c in LOOKS for c in word) or DOTTED.match(word):
         return True
@@ -163,7 +170,7 @@ class Reader:
 
     def __init__(self, costs: np.ndarray, weights: dict[str, float] | None = None, whole: frozenset[str] | None = None):
         self.costs, self.weights, self.whole = costs, weights, whole
-        self.known: dict[str, object] = {}
+        self.known: dict[str, list] = {}
 
     def plain(self, word: str) -> str:
         low = word.lower().strip(EDGES)
@@ -173,21 +180,24 @@ class Reader:
         return low
 
     def words(self, text: str) -> set[str]:
-        """Distinct words as written, and runs of single signs joined."""
+        """Distinct words as written, and runs of single signs, marked."""
         found = set(text.split())
         for m in SPACED.finditer(text):
-            if len(m[0]) <= 2 * MOST_SIGNS:
-                found.add("".join(m[0].split()) if len(m[0]) > 2 * MOST_SIGNS else "\0" + m[0])
+            found.add("\0" + m[0])
         return found
 
-    def read(self, word: str) -> object:
+    def read(self, word: str) -> list:
+        """Features, or pairs of a word and its evidence, of each word that the word or run is read as."""
         spaced = word[:1] == "\0"
         plain = restore(word[1:].lower().replace("\t", " "), self.costs) if spaced else self.plain(word)
-        features = features_of(plain)
-        if self.weights is None:
-            return features if self.whole is not None and plain not in self.whole else features[:1]
-        best = max((self.weights.get(f, 0.0) for f in features), default=0.0)
-        return (plain, best) if best > 0 else None
+        out: list = []
+        for one in plain.split():
+            features = features_of(one)
+            if self.weights is None:
+                out += features if self.whole is not None and one not in self.whole else features[:1]
+            elif (best := max((self.weights.get(f, 0.0) for f in features), default=0.0)) > 0:
+                out.append((one, best))
+        return out
 
     def each(self, text: str | None) -> list:
         if len(self.known) > CACHE_WORDS:
@@ -198,12 +208,11 @@ class Reader:
                 x = known[w]
             else:
                 x = known[w] = self.read(w)
-            if x:
-                out.append(x)
+            out += x
         return out
 
     def features(self, text: str | None) -> set[str]:
-        return {f for x in self.each(text) for f in x}
+        return set(self.each(text))
 
     def evidence(self, text: str | None) -> float:
         return float(sum(dict(self.each(text)).values()))

@@ -66,3 +66,12 @@ def test_viterbi_equals_all_paths(spark):
         best = min(total(*p) for p in paths(X.lattice(word)))
         said = X.restore(word, costs)
         assert min(total(t, c) for t, c in paths(X.lattice(word)) if t == said) == pytest.approx(best)
+
+
+def test_long_and_joined_runs(spark):
+    docs, labels = corpus(spark)
+    spaced = lambda x: " ".join(x.replace(" ", ""))
+    hidden = ["on " + spaced("another ther stupid"), "an " + spaced("an ther ing on re another ther ing idiot ou ther ing an"), "re " + ".".join("therstupiding"), "on " + "i" * 40 + "diot"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(hidden)] + [(9, "on " + spaced("an ther ing on re another ther ing ou ther ing an"))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in X.score(rows, docs, labels).collect()}
+    assert [i for i in range(4) if got[i] < 0.5] == [] and got[9] < 0.5
