@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loamworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,3 +38,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """The table without columns that an operator is about to add, whatever their case."""
     low = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that no column of the table has, whatever its case."""
+    low, mark = {c.lower() for c in df.columns}, "_own"
+    while any(c.startswith(mark) for c in low):
+        mark += "_"
+    return [f"{mark}_{n}" for n in names]

@@ -7,20 +7,24 @@ Comparing all suffixes of a corpus in one place is impossible, so equal strings
 a string is its piece of K bytes with the least hash. Neighbouring strings mostly share an anchor; such a run (a stretch) is one
 entry of 16 bytes: anchor, hash of the stretch, place. Prefix polynomial hashes give the hash of any piece of text at once.
 
-1. Each batch of documents makes its stretches. Of equal ones within the batch only those of the least document stay.
+1. Each batch of documents makes its stretches. Of equal ones within the batch, compared byte by byte, only those of the least
+   document stay.
 2. Entries meet by anchor. Again, equal stretches leave only the least document's; where an anchor has different stretches from
    different documents, these are mixed and go on.
 3. The texts of mixed stretches meet by anchor and all their strings are suffix-sorted: a merge sort whose comparisons find the
    common extension of two suffixes by binary search over prefix hashes. Neighbours that agree on the whole length are compared
-   byte by byte, so a collision removes nothing. An anchor with very many stretches is dealt out by the strings themselves.
+   byte by byte, so a collision removes nothing. An anchor with very many stretches is dealt out by the strings themselves, and each
+   string once more by a salt: of each salted part only the least documents go on to meet, so no string is gathered whole.
 4. The bytes found are cut out of the texts.
 
-Hashes of equal stretches (40 bits on top of 31 and more of their anchor) are trusted in 1 and 2; only entries, not texts, are
-dealt out there.
+Step 2 sees entries, not texts: there two stretches are equal if their 64-bit hashes and those of their anchors (what 64 bits leave
+beside the place, 31 at least for texts up to 2**28 bytes, and the bucket's number on top) are. With 10**13 entries some 117 bits are
+compared, so that one wrong pair in all is to be expected once in 10**9 such corpora; steps 1 and 3 compare bytes.
 
 Defined cases: a null text counts as empty; texts shorter than the length stay whole; documents of equal id do not remove from
-each other; a null doc_id counts as the greatest; repeated rows give repeated results; other columns do not matter; an empty table
-gives an empty table. Texts may have up to 2**28 bytes.
+each other; a null doc_id counts as the greatest; repeated rows give repeated results; columns named like an output are replaced,
+all others are kept whatever their names; an empty table gives an empty table. The place and the number of strings of a stretch
+share 48 bits; longer texts with longer strings are an error.
 """
 
 from __future__ import annotations
@@ -33,8 +37,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stash, table, without
+from .common import free_names, stash, table, without
 
 LENGTH, K = 50, 20
 #: Bytes of text in a batch, and bytes of text for each bucket of entries.
@@ -117,21 +122,53 @@ def keep_least(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> np.nda
     return keep
 
 
+def equal_bytes(text: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether pieces of the given sizes that start at x and at y are equal, byte by byte."""
+    out = np.ones(len(x), bool)
+    for n in np.unique(size):
+        mine = np.flatnonzero(size == n)
+        for at in range(0, len(mine), 1 << 14):
+            some, span = mine[at : at + (1 << 14)], np.arange(n)
+            out[some] = (text[x[some][:, None] + span] == text[y[some][:, None] + span]).all(axis=1)
+    return out
+
+
+def apart_where_unequal(text: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """The hashes of stretches, changed where a stretch has another one's hash and not its bytes: it is compared in full later."""
+    order = np.lexsort((doc, whole, anchor))
+    if len(order) < 2:
+        return whole
+    a, w = anchor[order], whole[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    same = count[first] == count[order]
+    todo = np.flatnonzero(same & (first != order))
+    same[todo] = equal_bytes(text, start[first[todo]], start[order[todo]], count[order[todo]] + length - 1)
+    whole = whole.copy()
+    odd = order[~same]
+    whole[odd] = _mix(whole[odd] ^ _mix(np.arange(1, len(odd) + 1, dtype=np.uint64) ^ start[odd].astype(np.uint64)))
+    return whole
+
+
 # -- 1: entries of batches
 
-ENTRY = "bucket int, batch long, a binary, b binary, idx binary, ids binary"
+ENTRY = "bucket int, batch long, a binary, b binary, n binary, d binary, h binary"
+SCHEMA = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *[(c, pa.binary()) for c in ("a", "b", "n", "d", "h")]])
 
 
 def _batches(df_batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Documents (id, text hash, bytes) in batches of bounded size; a longer text is one by itself."""
-    rows, size = [], 0
+    """Documents (id, text hash, bytes) in batches of bounded size, each but once in a batch; a longer text is one by itself."""
+    rows, size, seen = [], 0, set()
     for batch in df_batches:
-        for d, h, t in zip(*(batch.column(i) for i in range(3))):
+        for d, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if (d, h) in seen:
+                continue
             raw = (t.as_py() or "").encode()
             if rows and (size + len(raw) > most or len(rows) >= 1 << 20):
                 yield rows
-                rows, size = [], 0
-            rows.append((d.as_py(), h.as_py(), raw))
+                rows, size, seen = [], 0, set()
+            rows.append((d, h, raw))
+            seen.add((d, h))
             size += len(raw)
     if rows:
         yield rows
@@ -143,7 +180,7 @@ def _joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), np.uint8), np.repeat(np.arange(len(rows)), sizes), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _pieces(raws: list[bytes], length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(raws: list[bytes], ids: np.ndarray, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Stretches of the documents: document, first string within it, count, anchor, whole. Texts longer than a batch are taken
     in parts that overlap by one string less a byte."""
     if len(raws) == 1 and len(raws[0]) > 2 * most:
@@ -155,61 +192,91 @@ def _pieces(raws: list[bytes], length: int, most: int) -> Iterator[tuple[np.ndar
     text, doc_of, starts = _joined(raws)
     first, count, anchor, whole = stretches(text, doc_of, Prefixes(text), length)
     doc = doc_of[first] if len(first) else first
+    whole = apart_where_unequal(text, first, count, anchor, whole, ids[doc], length)
     yield doc, first - starts[doc], count, anchor, whole
 
 
-def entries(docs: DataFrame, buckets: int, length: int = LENGTH, most: int = BATCH) -> DataFrame:
-    """Rows of three sorts. bucket >= 0: packed entries and the ids of their documents. -1: documents of a batch (a: ids, b: text
-    hashes). -2: strings that the batch itself removes (a: first strings, b: counts, idx: documents)."""
+class Packing:
+    """How an entry's first word is shared out: anchor, first string and number of strings."""
+
+    def __init__(self, longest: int, length: int):
+        self.count = (length - min(K, length) + 1).bit_length()
+        self.place = max(1, longest).bit_length()
+        self.low = self.count + self.place
+        if self.low > 48:
+            raise ValueError(f"texts of {longest} bytes are too long for strings of {length} bytes")
+
+    def pack(self, anchor: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (_mix(anchor) >> np.uint64(self.low) << np.uint64(self.low)) | (first << self.count | count).astype(np.uint64)
+
+    def unpack(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rest = (a & np.uint64((1 << self.low) - 1)).astype(np.int64)
+        return a >> np.uint64(self.low), rest >> self.count, rest & ((1 << self.count) - 1)
+
+
+def _by_document(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of ascending entries, and how many entries each has."""
+    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+    return doc[start], np.diff(np.append(start, len(doc)))
+
+
+def entries(docs: DataFrame, buckets: int, packing: Packing, length: int = LENGTH, most: int = BATCH) -> DataFrame:
+    """Packed rows, each with entries in the order of their documents, whose ids, text hashes and numbers of entries stand beside.
+    bucket >= 0: entries (a: anchor and place, b: hash). -1: strings that the batch itself removes (a: first strings, b: counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for rows in _batches(batches, most):
-            ids = np.array([r[0] for r in rows], np.int64)
-            out = [(-1, number, ids.tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), b"", b"")]
-            for doc, first, count, anchor, whole in _pieces([r[2] for r in rows], length, most):
+            ids, hashes = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+            out: list[tuple] = []
+
+            def add(bucket: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> None:
+                used, n = _by_document(doc)
+                out.append((bucket, number, a.tobytes(), b.tobytes(), n.astype(np.int32).tobytes(), ids[used].tobytes(), hashes[used].tobytes()))  # noqa: B023
+
+            for doc, first, count, anchor, whole in _pieces([r[2] for r in rows], ids, length, most):
                 keep = keep_least(anchor, whole, ids[doc])
-                out.append((-2, number, first[~keep].tobytes(), count[~keep].tobytes(), doc[~keep].tobytes(), b""))
+                if not keep.all():
+                    add(-1, first[~keep], count[~keep], doc[~keep])
                 doc, first, count, anchor, whole = (x[keep] for x in (doc, first, count, anchor, whole))
                 bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                a = (_mix(anchor) & ~np.uint64((1 << 33) - 1)) | (first << 5 | count).astype(np.uint64)
-                b = (whole & ~np.uint64((1 << 24) - 1)) | doc.astype(np.uint64)
+                a = packing.pack(anchor, first, count)
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(edges)):
                     mine = order[edges[k] : edges[k + 1]]
-                    used = np.unique(doc[mine])
-                    out.append((int(k), number, a[mine].tobytes(), b[mine].tobytes(), used.astype(np.int32).tobytes(), ids[used].tobytes()))
+                    add(int(k), a[mine], whole[mine], doc[mine])
             number += 1
             for at in range(0, len(out), 512):
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "batch", "a", "b", "idx", "ids"), r)) for r in out[at : at + 512]], schema=SCHEMA)
+                columns = list(zip(*out[at : at + 512]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
     return docs.select("d", "h", "text").mapInArrow(run, ENTRY)
 
 
-SCHEMA = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("idx", pa.binary()), ("ids", pa.binary())])
-
-
 # -- 2: entries meet
 
-FOUND = "kind int, batch long, doc int, d long, h long, first binary, n binary, key binary, many binary"
-COLUMNS = ["kind", "batch", "doc", "d", "h", "first", "n", "key", "many"]
+FOUND = "kind int, d long, h long, first binary, n binary, key binary, many binary"
 
 
-def pack(kind: int, batch: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, key: np.ndarray | None = None, many: np.ndarray | None = None) -> pd.DataFrame:
-    """One row for each document with its strings as bytes."""
-    order = np.lexsort((doc, batch))
-    batch, doc = batch[order], doc[order]
-    start = np.flatnonzero(np.append(True, (batch[1:] != batch[:-1]) | (doc[1:] != doc[:-1]))) if len(order) else order
+def pack(kind: int, d: np.ndarray, h: np.ndarray, first: np.ndarray, n: np.ndarray, key: np.ndarray | None = None, many: np.ndarray | None = None) -> pd.DataFrame:
+    """One row for each document with its strings as bytes, each string but once."""
+    order = np.lexsort((first, h, d))
+    d, h, first, n = d[order], h[order], first[order], n[order]
+    other = np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])) if len(order) else order.astype(bool)
+    once = other | np.append(True, (first[1:] != first[:-1]) | (n[1:] != n[:-1]))[: len(other)]
+    order, d, h, other = order[once], d[once], h[once], other[once]
+    start = np.flatnonzero(other)
     edges = np.append(start, len(order)).tolist()
 
     def cut(x: np.ndarray | None, kind: type) -> list[bytes]:
         if x is None:
             return [b""] * len(start)
-        raw, size = x[order].astype(kind).tobytes(), np.dtype(kind).itemsize
+        raw, size = x.astype(kind).tobytes(), np.dtype(kind).itemsize
         return [raw[i * size : j * size] for i, j in zip(edges, edges[1:])]
 
-    return pd.DataFrame({"kind": kind, "batch": batch[start], "doc": doc[start], "d": 0, "h": 0, "first": cut(first, np.int32), "n": cut(n, np.int32), "key": cut(key, np.int64), "many": cut(many, np.int8)})
+    at = lambda x: None if x is None else x[order]
+    return pd.DataFrame({"kind": kind, "d": d[start], "h": h[start], "first": cut(first[once], np.int64), "n": cut(n[once], np.int32), "key": cut(at(key), np.int64), "many": cut(at(many), np.int8)})
 
 
 def unpack(rows: list[dict], *kinds: type) -> list[np.ndarray]:
@@ -218,19 +285,16 @@ def unpack(rows: list[dict], *kinds: type) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(r[name], kind) for r in rows]).astype(np.int64) for name, kind in zip(names, kinds)]
 
 
-def meet(pdf: pd.DataFrame, many: int = MANY) -> pd.DataFrame:
+def _whole(pdf: pd.DataFrame, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in pdf[name]])
+
+
+def meet(pdf: pd.DataFrame, packing: Packing, many: int = MANY) -> pd.DataFrame:
     """Entries of one bucket: kind 0, strings to remove; kind 1, mixed stretches."""
-    part, docs, a, b, ids = [], [], [], [], []
-    for i, r in enumerate(pdf.itertuples(index=False)):
-        x, y = np.frombuffer(r.a, np.uint64), np.frombuffer(r.b, np.uint64)
-        doc = (y & np.uint64((1 << 24) - 1)).astype(np.int64)
-        a.append(x)
-        b.append(y >> np.uint64(24))
-        docs.append(doc)
-        part.append(np.full(len(x), r.batch))
-        ids.append(np.frombuffer(r.ids, np.int64)[np.searchsorted(np.frombuffer(r.idx, np.int32), doc)])
-    a, whole, doc, batch, d = (np.concatenate(x) for x in (a, b, docs, part, ids))
-    anchor, first, n = a >> np.uint64(33), ((a >> np.uint64(5)) & np.uint64((1 << 28) - 1)).astype(np.int64), (a & np.uint64(31)).astype(np.int64)
+    n_of = _whole(pdf, "n", np.int32)
+    d, h = (np.repeat(_whole(pdf, c, np.int64), n_of) for c in ("d", "h"))
+    whole = _whole(pdf, "b", np.uint64)
+    anchor, first, n = packing.unpack(_whole(pdf, "a", np.uint64))
     keep = keep_least(anchor, whole, d)
     # of what stays, anchors with different stretches from different documents
     left = np.flatnonzero(keep)
@@ -246,7 +310,9 @@ def meet(pdf: pd.DataFrame, many: int = MANY) -> pd.DataFrame:
     mixed = order[differ[group]] if len(order) else order
     sizes = size[group][differ[group]] if len(order) else order
     gone = np.flatnonzero(~keep)
-    return pd.concat([pack(0, batch[gone], doc[gone], first[gone], n[gone]), pack(1, batch[mixed], doc[mixed], first[mixed], n[mixed], anchor[mixed].astype(np.int64), sizes > many)])
+    # anchors of different buckets may share what is left of them
+    key = _mix(anchor[mixed] ^ _mix(np.full(len(mixed), pdf["bucket"].iloc[0], np.uint64))).view(np.int64)
+    return pd.concat([pack(0, d[gone], h[gone], first[gone], n[gone]), pack(1, d[mixed], h[mixed], first[mixed], n[mixed], key, sizes > many)])
 
 
 # -- 3: mixed stretches are sorted
@@ -346,96 +412,125 @@ def sort_mixed(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, texts: li
 
 # -- the whole
 
+PIECE = "key long, string long, d long, h long, first long, n int, piece binary"
+PIECES = pa.schema([("key", pa.int64()), ("string", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("piece", pa.binary())])
+SORTED_ROW = f"{PIECE}, firsts binary, ns binary"
+SORTED_ROWS = pa.schema([*PIECES, ("firsts", pa.binary()), ("ns", pa.binary())])
+
 
 def _all(col: str) -> Column:
     return F.collect_list(F.struct("first", "n", *(["key", "many"] if col == "mixed" else []))).alias(col)
 
 
-def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, cut: str = "kept", batch_bytes: int = BATCH, many: int = MANY, together: int = SORTED) -> DataFrame:
-    """The table with n_bytes, n_removed, n_spans and the remaining bytes (binary)."""
-    rest = without(df, "n_bytes", "n_removed", "n_spans", cut, "d", "h")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    docs = rest.withColumns({"d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "h": F.xxhash64(whole)})
-    slim = docs.select("d", "h", whole.alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    packed = entries(slim, max(8, -(-total // BUCKET)), length, batch_bytes)
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = pdf["bucket"].iloc[0]
-        if bucket >= 0:
-            return meet(pdf, many)
-        out = []
-        for r in pdf.itertuples(index=False):
-            a, b = np.frombuffer(r.a, np.int64), np.frombuffer(r.b, np.int64)
-            if bucket == -1:
-                out.append(pd.DataFrame({"kind": 2, "batch": r.batch, "doc": np.arange(len(a)), "d": a, "h": b, "first": b"", "n": b"", "key": b"", "many": b""}))
-            else:
-                out.append(pack(0, np.full(len(a), r.batch), np.frombuffer(r.idx, np.int64), a, b))
-        return pd.concat(out)
-
-    # the sorts below zero are dealt out by batch
-    found = stash(packed.withColumn("spread", F.when(F.col("bucket") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("bucket", "spread").applyInPandas(lambda pdf: gather(pdf.drop(columns="spread")), FOUND))
-    names = found.filter("kind = 2").select("batch", "doc", "d", "h")
-    packed_rows = lambda k: found.filter(f"kind = {k}").select("batch", "doc", "first", "n", "key", "many").join(names, ["batch", "doc"])
-    mixed = packed_rows(1).groupBy("d", "h").agg(_all("mixed"))
+def extract(length: int, salts: int):
+    """Texts of mixed stretches. ``string`` is 0 but for strings that are dealt out one by one, in ``salts`` parts each."""
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 raw, out = r["text"].encode(), []
-                for first, n, key, lots in zip(*(x.tolist() for x in unpack(r["mixed"], np.int32, np.int32, np.int64, np.int8))):
+                for first, n, key, lots in zip(*(x.tolist() for x in unpack(r["mixed"], np.int64, np.int32, np.int64, np.int8))):
                     piece = raw[first : first + n + length - 1]
-                    if lots:
-                        p = Prefixes(np.frombuffer(piece, np.uint8))
-                        at = np.arange(n)
-                        for i, h in enumerate(_mix(p.of(at, at + length)).view(np.int64).tolist()):
-                            out.append({"key": h, "d": r["d"], "h": r["h"], "first": first + i, "n": 1, "piece": piece[i : i + length]})
-                    else:
-                        out.append({"key": key, "d": r["d"], "h": r["h"], "first": first, "n": n, "piece": piece})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=PIECES)
+                    if not lots:
+                        out.append((key, 0, r["d"], r["h"], first, n, piece))
+                        continue
+                    p, at = Prefixes(np.frombuffer(piece, np.uint8)), np.arange(n)
+                    string = _mix(p.of(at, at + length)) | np.uint64(1)
+                    salt = _mix(np.full(n, r["d"] & LAST, np.uint64) ^ np.uint64(r["h"] & LAST)) % np.uint64(salts)
+                    keys = _mix(string + salt * BASE).view(np.int64).tolist()
+                    out += [(k, x, r["d"], r["h"], first + i, 1, piece[i : i + length]) for i, (k, x) in enumerate(zip(keys, string.view(np.int64).tolist()))]
+                for at in range(0, len(out), 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + (1 << 14)]), PIECES)], schema=PIECES)
 
-    pieces = slim.join(mixed, ["d", "h"]).select("d", "h", "text", "mixed").mapInArrow(extract, "key long, d long, h long, first long, n int, piece binary")
+    return run
 
-    def sort_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; whole keys are sorted together, many at a time."""
 
-        found_here: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def sort_run(length: int, together: int, last: bool):
+    """Rows come sorted by key; whole keys are sorted together, many at a time. Out come strings to remove, packed by document, and,
+    if this is not the ``last`` run, the rows of salted strings that are not removed yet."""
 
-        def sort(rows: pd.DataFrame) -> None:
-            which, place = sort_mixed(rows["key"].to_numpy(), rows["d"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["piece"].tolist(), length)
-            found_here.append((rows["d"].to_numpy()[which], rows["h"].to_numpy()[which], rows["first"].to_numpy()[which] + place))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
 
-        def packed_here() -> Iterator[pa.RecordBatch]:
-            if found_here:
-                d, h, first = (np.concatenate(x) for x in zip(*found_here))
-                # batch and doc stand for the two keys here
+        def sort() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).to_pandas()
+            held.clear()
+            which, place = sort_mixed(rows["key"].to_numpy(), rows["d"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["piece"].tolist(), length)
+            found.append((rows["d"].to_numpy()[which], rows["h"].to_numpy()[which], rows["first"].to_numpy()[which] + place))
+            if not last:
+                on = rows["string"].to_numpy() != 0
+                on[which] = False
+                left = rows[on]
+                if len(left):
+                    left = left.assign(key=left["string"], string=0, firsts=None, ns=None)
+                    yield pa.RecordBatch.from_pandas(left, schema=SORTED_ROWS, preserve_index=False)
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            if found:
+                d, h, first = (np.concatenate(x) for x in zip(*found))
                 out = pack(0, d, h, first, np.ones(len(d), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(out["batch"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["first"], pa.binary()), pa.array(out["n"], pa.binary())], names=["d", "h", "first", "n"])
-                found_here.clear()
+                none = [None] * len(out)
+                values = {"key": none, "string": none, "d": out["d"], "h": out["h"], "first": none, "n": none, "piece": none, "firsts": out["first"], "ns": out["n"]}
+                yield pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) for f in SORTED_ROWS], schema=SORTED_ROWS)
+                found.clear()
 
-        held = None
+        size = 0
         for batch in batches:
-            pdf = batch.to_pandas()
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if len(held) >= together:
-                done = held["key"] != held["key"].iloc[-1]
-                if done.any():
-                    sort(held[done].reset_index(drop=True))
-                    held = held[~done].reset_index(drop=True)
-            if sum(len(x[0]) for x in found_here) > FOUND_AT_ONCE:
-                yield from packed_here()
-        if held is not None and len(held):
-            sort(held)
-        yield from packed_here()
+            if not batch.num_rows:
+                continue
+            # the last key of a batch may go on in the next one
+            keys = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                held.append(batch.slice(0, cut))
+                size += cut
+            if held and size >= together and (cut or held[-1].column(0)[-1].as_py() != keys[-1]):
+                yield from sort()
+                size = 0
+            held.append(batch.slice(cut))
+            size += batch.num_rows - cut
+            if sum(len(x[0]) for x in found) > FOUND_AT_ONCE:
+                yield from packed()
+        if held:
+            yield from sort()
+        yield from packed()
+
+    return run
 
+
+def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, cut: str = "kept", batch_bytes: int = BATCH, many: int = MANY, together: int = SORTED) -> DataFrame:
+    """The table with n_bytes, n_removed, n_spans and the remaining bytes (binary)."""
+    rest = without(df, "n_bytes", "n_removed", "n_spans", cut)
+    d_, h_, cuts_ = free_names(rest, "d", "h", "cuts")
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    docs = rest.withColumns({d_: F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)), h_: F.xxhash64(whole)})
+    slim = docs.select(F.col(d_).alias("d"), F.col(h_).alias("h"), whole.alias("text"))
+    facts = slim.agg(F.sum(F.octet_length("text")).alias("n"), F.max(F.octet_length("text")).alias("longest")).first()
+    buckets, packing = max(8, -(-(facts["n"] or 0) // BUCKET)), Packing(facts["longest"] or 0, length)
+    packed = entries(slim, buckets, packing, length, batch_bytes)
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] >= 0:
+            return meet(pdf, packing, many)
+        n = _whole(pdf, "n", np.int32)
+        d, h = (np.repeat(_whole(pdf, c, np.int64), n) for c in ("d", "h"))
+        return pack(0, d, h, _whole(pdf, "a", np.int64), _whole(pdf, "b", np.int64))
+
+    # strings that batches remove themselves are dealt out by batch
+    found = stash(packed.withColumn("spread", F.when(F.col("bucket") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("bucket", "spread").applyInPandas(lambda pdf: gather(pdf.drop(columns="spread")), FOUND))
+    mixed = found.filter("kind = 1").groupBy("d", "h").agg(_all("mixed"))
+    pieces = slim.join(mixed, ["d", "h"]).select("d", "h", "text", "mixed").mapInArrow(extract(length, buckets), PIECE)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    late = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort_run, "d long, h long, first binary, n binary")
-    early = packed_rows(0).select("d", "h", "first", "n")
-    cuts = early.unionByName(late).groupBy("d", "h").agg(_all("cuts")).select(F.col("d").alias("cd"), F.col("h").alias("ch"), "cuts")
-    joined = docs.join(cuts, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")), "left").drop("d", "h", "cd", "ch")
-    names_out = [*rest.columns, "n_bytes", "n_removed", "n_spans", cut]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields) + f", n_bytes long, n_removed long, n_spans long, `{cut}` binary"
+    dealt = lambda rows, last: rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort_run(length, together, last), SORTED_ROW)
+    once = stash(dealt(pieces, False))
+    twice = dealt(once.filter("piece IS NOT NULL").select("key", "string", "d", "h", "first", "n", "piece"), True)
+    late = once.filter("firsts IS NOT NULL").unionByName(twice).select("d", "h", F.col("firsts").alias("first"), F.col("ns").alias("n"))
+    early = found.filter("kind = 0").select("d", "h", "first", "n")
+    cuts = early.unionByName(late).groupBy("d", "h").agg(_all("cuts"))
+    cuts = cuts.select(F.col("d").alias(f"{d_}_"), F.col("h").alias(f"{h_}_"), F.col("cuts").alias(cuts_))
+    joined = docs.join(cuts, (F.col(d_) == F.col(f"{d_}_")) & (F.col(h_) == F.col(f"{h_}_")), "left").select(*[F.col(f"`{c}`") for c in rest.columns], cuts_)
+    schema = T.StructType([*rest.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField(cut, T.BinaryType())])
     at = rest.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +541,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 raw = np.frombuffer((t.as_py() or "").encode(), np.uint8)
                 mask = np.zeros(len(raw) + 1, np.int64)
                 if cuts_here.is_valid:
-                    first, n = unpack(cuts_here.as_py(), np.int32, np.int32)
+                    first, n = unpack(cuts_here.as_py(), np.int64, np.int32)
                     np.add.at(mask, first, 1)
                     np.add.at(mask, first + n + length - 1, -1)
                 gone = np.cumsum(mask)[:-1] > 0
@@ -455,14 +550,11 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 out[2].append(int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(gone) else 0)))
                 out[3].append(raw[~gone].tobytes())
             cols = [pa.array(o, pa.binary() if i == 3 else pa.int64()) for i, o in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=names_out)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=schema.names)
 
     return joined.mapInArrow(apply, schema)
 
 
-PIECES = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("piece", pa.binary())])
-
-
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
