@@ -13,8 +13,8 @@ entry of 16 bytes: anchor, hash of the stretch, place. Prefix polynomial hashes
    different documents, these are mixed and go on.
 3. The texts of mixed stretches meet by anchor and all their strings are suffix-sorted: a merge sort whose comparisons find the
    common extension of two suffixes by binary search over prefix hashes. Neighbours that agree on the whole length are compared
-   byte by byte, so a collision removes nothing. An anchor with very many stretches is dealt out by the strings themselves, and each
-   string once more by a salt: of each salted part only the least documents go on to meet, so no string is gathered whole.
+   byte by byte, so a collision removes nothing. An anchor with very many stretches is dealt out by the strings themselves; of
+   equal strings that a task reads out of texts, only the least document's go on, so few rows of a very common string meet.
 4. The bytes found are cut out of the texts.
 
 Step 2 sees entries, not texts: there two stretches are equal if their 64-bit hashes and those of their anchors (what 64 bits leave
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -412,88 +413,110 @@ def sort_mixed(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray, texts: li
 
 # -- the whole
 
-PIECE = "key long, string long, d long, h long, first long, n int, piece binary"
-PIECES = pa.schema([("key", pa.int64()), ("string", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("piece", pa.binary())])
-SORTED_ROW = f"{PIECE}, firsts binary, ns binary"
-SORTED_ROWS = pa.schema([*PIECES, ("firsts", pa.binary()), ("ns", pa.binary())])
+PIECES = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("piece", pa.binary()), ("firsts", pa.binary()), ("ns", pa.binary())])
+PIECE = "key long, d long, h long, first long, n int, piece binary, firsts binary, ns binary"
+CUTS = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("first", pa.binary()), ("n", pa.binary())])
+CUT = "d long, h long, first binary, n binary"
+#: Strings dealt out one by one that a task holds to compare them with each other.
+STRINGS = 200_000
 
 
 def _all(col: str) -> Column:
     return F.collect_list(F.struct("first", "n", *(["key", "many"] if col == "mixed" else []))).alias(col)
 
 
-def extract(length: int, salts: int):
-    """Texts of mixed stretches. ``string`` is 0 but for strings that are dealt out one by one, in ``salts`` parts each."""
+def _columns(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
+def extract(length: int, text: int, d: int, h: int, mixed: int):
+    """Texts of mixed stretches out of documents, whose columns are told by place. Where strings are dealt out one by one, those
+    that a smaller document read here has too are found at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def strings() -> Iterator[pa.RecordBatch]:
+            string, d_of, h_of, first, piece = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            _, which, count = np.unique(string, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(count[which] > 1)
+            on = np.ones(len(string), bool)
+            if len(again):
+                gone, _ = sort_mixed(string[again].view(np.int64), d_of[again], np.ones(len(again), np.int64), [x.tobytes() for x in piece[again]], length)
+                on[again[gone]] = False
+                out = pack(0, d_of[~on], h_of[~on], first[~on], np.ones((~on).sum(), np.int64))
+                yield _columns(PIECES, len(out), key=out["d"], d=out["d"], h=out["h"], firsts=out["first"], ns=out["n"])
+            for at in range(0, int(on.sum()), 1 << 14):
+                some = np.flatnonzero(on)[at : at + (1 << 14)]
+                yield _columns(PIECES, len(some), key=string[some].view(np.int64), d=d_of[some], h=h_of[some], first=first[some], n=np.ones(len(some), np.int32), piece=[x.tobytes() for x in piece[some]])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                raw, out = r["text"].encode(), []
-                for first, n, key, lots in zip(*(x.tolist() for x in unpack(r["mixed"], np.int64, np.int32, np.int64, np.int8))):
+            out: list[tuple] = []
+            for t, d_, h_, rows in zip(batch.column(text), batch.column(d).to_pylist(), batch.column(h).to_pylist(), batch.column(mixed)):
+                raw = (t.as_py() or "").encode()
+                for first, n, key, lots in zip(*(x.tolist() for x in unpack(rows.as_py(), np.int64, np.int32, np.int64, np.int8))):
                     piece = raw[first : first + n + length - 1]
-                    if not lots:
-                        out.append((key, 0, r["d"], r["h"], first, n, piece))
-                        continue
-                    p, at = Prefixes(np.frombuffer(piece, np.uint8)), np.arange(n)
-                    string = _mix(p.of(at, at + length)) | np.uint64(1)
-                    salt = _mix(np.full(n, r["d"] & LAST, np.uint64) ^ np.uint64(r["h"] & LAST)) % np.uint64(salts)
-                    keys = _mix(string + salt * BASE).view(np.int64).tolist()
-                    out += [(k, x, r["d"], r["h"], first + i, 1, piece[i : i + length]) for i, (k, x) in enumerate(zip(keys, string.view(np.int64).tolist()))]
-                for at in range(0, len(out), 1 << 14):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + (1 << 14)]), PIECES)], schema=PIECES)
+                    if lots:
+                        letters, at = np.frombuffer(piece, np.uint8), np.arange(n)
+                        string = _mix(Prefixes(letters).of(at, at + length))
+                        held.append((string, np.full(n, d_), np.full(n, h_), first + at, np.lib.stride_tricks.sliding_window_view(letters, length)))
+                    else:
+                        out.append((key, d_, h_, first, n, piece))
+            for at in range(0, len(out), 1 << 14):
+                some = out[at : at + (1 << 14)]
+                yield _columns(PIECES, len(some), **dict(zip(("key", "d", "h", "first", "n", "piece"), zip(*some))))
+            if sum(len(x[0]) for x in held) > STRINGS:
+                yield from strings()
+        if held:
+            yield from strings()
 
     return run
 
 
-def sort_run(length: int, together: int, last: bool):
-    """Rows come sorted by key; whole keys are sorted together, many at a time. Out come strings to remove, packed by document, and,
-    if this is not the ``last`` run, the rows of salted strings that are not removed yet."""
+def sort_run(length: int, together: int):
+    """Rows come sorted by key; whole keys are sorted together, many at a time. Out come strings to remove, packed by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held: list[pa.RecordBatch] = []
 
-        def sort() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).to_pandas()
+        def sort() -> None:
+            rows = pa.Table.from_batches(held).select(["key", "d", "h", "first", "n", "piece"]).to_pandas()
             held.clear()
             which, place = sort_mixed(rows["key"].to_numpy(), rows["d"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["piece"].tolist(), length)
             found.append((rows["d"].to_numpy()[which], rows["h"].to_numpy()[which], rows["first"].to_numpy()[which] + place))
-            if not last:
-                on = rows["string"].to_numpy() != 0
-                on[which] = False
-                left = rows[on]
-                if len(left):
-                    left = left.assign(key=left["string"], string=0, firsts=None, ns=None)
-                    yield pa.RecordBatch.from_pandas(left, schema=SORTED_ROWS, preserve_index=False)
 
         def packed() -> Iterator[pa.RecordBatch]:
             if found:
                 d, h, first = (np.concatenate(x) for x in zip(*found))
                 out = pack(0, d, h, first, np.ones(len(d), np.int64))
-                none = [None] * len(out)
-                values = {"key": none, "string": none, "d": out["d"], "h": out["h"], "first": none, "n": none, "piece": none, "firsts": out["first"], "ns": out["n"]}
-                yield pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) for f in SORTED_ROWS], schema=SORTED_ROWS)
+                yield _columns(CUTS, len(out), d=out["d"], h=out["h"], first=out["first"], n=out["n"])
                 found.clear()
 
         size = 0
         for batch in batches:
+            known = batch.filter(pc.is_valid(batch.column("firsts")))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(c) for c in ("d", "h", "firsts", "ns")], schema=CUTS)
+            batch = batch.filter(pc.is_valid(batch.column("piece")))
             if not batch.num_rows:
                 continue
             # the last key of a batch may go on in the next one
-            keys = batch.column(0).to_numpy()
+            keys = batch.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
                 held.append(batch.slice(0, cut))
                 size += cut
-            if held and size >= together and (cut or held[-1].column(0)[-1].as_py() != keys[-1]):
-                yield from sort()
+            if held and size >= together and (cut or held[-1].column("key")[-1].as_py() != keys[-1]):
+                sort()
                 size = 0
             held.append(batch.slice(cut))
             size += batch.num_rows - cut
             if sum(len(x[0]) for x in found) > FOUND_AT_ONCE:
                 yield from packed()
         if held:
-            yield from sort()
+            sort()
         yield from packed()
 
     return run
@@ -519,19 +542,21 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
     # strings that batches remove themselves are dealt out by batch
     found = stash(packed.withColumn("spread", F.when(F.col("bucket") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("bucket", "spread").applyInPandas(lambda pdf: gather(pdf.drop(columns="spread")), FOUND))
-    mixed = found.filter("kind = 1").groupBy("d", "h").agg(_all("mixed"))
-    pieces = slim.join(mixed, ["d", "h"]).select("d", "h", "text", "mixed").mapInArrow(extract(length, buckets), PIECE)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def with_rows(rows: DataFrame, how: str) -> DataFrame:
+        """Documents and an array of their rows; both joins read one exchange of the documents."""
+        rows = rows.select(F.col("d").alias(f"{d_}_"), F.col("h").alias(f"{h_}_"), F.col(rows.columns[-1]).alias(cuts_))
+        return docs.join(rows, (F.col(d_) == F.col(f"{d_}_")) & (F.col(h_) == F.col(f"{h_}_")), how).select(*columns, cuts_)
+
+    place = [docs.columns.index(c) for c in (text, d_, h_)]
+    pieces = with_rows(found.filter("kind = 1").groupBy("d", "h").agg(_all("mixed")), "inner").mapInArrow(extract(length, *place, len(columns)), PIECE)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda rows, last: rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort_run(length, together, last), SORTED_ROW)
-    once = stash(dealt(pieces, False))
-    twice = dealt(once.filter("piece IS NOT NULL").select("key", "string", "d", "h", "first", "n", "piece"), True)
-    late = once.filter("firsts IS NOT NULL").unionByName(twice).select("d", "h", F.col("firsts").alias("first"), F.col("ns").alias("n"))
+    late = pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sort_run(length, together), CUT)
     early = found.filter("kind = 0").select("d", "h", "first", "n")
-    cuts = early.unionByName(late).groupBy("d", "h").agg(_all("cuts"))
-    cuts = cuts.select(F.col("d").alias(f"{d_}_"), F.col("h").alias(f"{h_}_"), F.col("cuts").alias(cuts_))
-    joined = docs.join(cuts, (F.col(d_) == F.col(f"{d_}_")) & (F.col(h_) == F.col(f"{h_}_")), "left").select(*[F.col(f"`{c}`") for c in rest.columns], cuts_)
+    joined = with_rows(early.unionByName(late).groupBy("d", "h").agg(_all("cuts")), "left")
     schema = T.StructType([*rest.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField(cut, T.BinaryType())])
-    at = rest.columns.index(text)
+    at, width = rest.columns.index(text), len(rest.columns)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -550,7 +575,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 out[2].append(int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(gone) else 0)))
                 out[3].append(raw[~gone].tobytes())
             cols = [pa.array(o, pa.binary() if i == 3 else pa.int64()) for i, o in enumerate(out)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *cols], names=schema.names)
 
     return joined.mapInArrow(apply, schema)
 
