@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from .common import free_names, stash, table, without
 
-LENGTH, K = 50, 20
+LENGTH, K = 50, 16
 #: Bytes of text in a batch, and bytes of text for each bucket of entries.
 BATCH, BUCKET = 3_000_000, 16_000_000
 #: Entries of one anchor beyond which its strings are dealt out one by one.
@@ -277,7 +277,7 @@ def pack(kind: int, d: np.ndarray, h: np.ndarray, first: np.ndarray, n: np.ndarr
         return [raw[i * size : j * size] for i, j in zip(edges, edges[1:])]
 
     at = lambda x: None if x is None else x[order]
-    return pd.DataFrame({"kind": kind, "d": d[start], "h": h[start], "first": cut(first[once], np.int64), "n": cut(n[once], np.int32), "key": cut(at(key), np.int64), "many": cut(at(many), np.int8)})
+    return pd.DataFrame({"kind": kind, "d": d[start], "h": h[start], "first": cut(first[once], np.int32), "n": cut(n[once], np.int32), "key": cut(at(key), np.int64), "many": cut(at(many), np.int8)})
 
 
 def unpack(rows: list[dict], *kinds: type) -> list[np.ndarray]:
@@ -455,7 +455,7 @@ def extract(length: int, text: int, d: int, h: int, mixed: int):
             out: list[tuple] = []
             for t, d_, h_, rows in zip(batch.column(text), batch.column(d).to_pylist(), batch.column(h).to_pylist(), batch.column(mixed)):
                 raw = (t.as_py() or "").encode()
-                for first, n, key, lots in zip(*(x.tolist() for x in unpack(rows.as_py(), np.int64, np.int32, np.int64, np.int8))):
+                for first, n, key, lots in zip(*(x.tolist() for x in unpack(rows.as_py(), np.int32, np.int32, np.int64, np.int8))):
                     piece = raw[first : first + n + length - 1]
                     if lots:
                         letters, at = np.frombuffer(piece, np.uint8), np.arange(n)
@@ -566,7 +566,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
                 raw = np.frombuffer((t.as_py() or "").encode(), np.uint8)
                 mask = np.zeros(len(raw) + 1, np.int64)
                 if cuts_here.is_valid:
-                    first, n = unpack(cuts_here.as_py(), np.int64, np.int32)
+                    first, n = unpack(cuts_here.as_py(), np.int32, np.int32)
                     np.add.at(mask, first, 1)
                     np.add.at(mask, first + n + length - 1, -1)
                 gone = np.cumsum(mask)[:-1] > 0
