@@ -3,8 +3,9 @@
 Three kinds of secrets have a fixed form: an assignment to a telling name, an access key id and a long hexadecimal string.
 Matches of each kind are the leftmost ones that do not overlap; those that fail the kind's length are dropped.
 
-The entropy scan adds to them. Its candidates are long runs of key characters. A window slides over each candidate; the counts of
-the entering and of the leaving character give the window's Shannon entropy from the one before. Windows at or above the limit of
+The entropy scan adds to them. Its candidates are long runs of key characters. A window slides over each candidate with a count for
+each character; a step changes the counts of the entering and of the leaving one, which give the window's Shannon entropy from the
+one before. Windows at or above the limit of
 the candidate's character class (hexadecimal, alphanumeric or base64) make a span, from the first such window to the end of the
 last. Candidates of the allow-list are passed over: those of one kind of letters without digits, UUIDs, and those that hold an
 alphabet or a placeholder. Spans within one of the fixed forms add nothing and are left out.
@@ -12,7 +13,7 @@ alphabet or a placeholder. Spans within one of the fixed forms add nothing and a
 A place is found by cutting the text at the matches and summing up lengths, so it is in code points, the end exclusive.
 
 Defined cases: null and empty texts have no spans; repeated rows give repeated results; columns named like an output are
-replaced; an empty table gives an empty table; texts are scanned whole.
+replaced, all others are kept whatever their names; an empty table gives an empty table; texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without
+from .common import free_names, table, without
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: The characters of candidates, in the order of their counts.
+KEY_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_VALUE = 12
 #: Window and least entropy in bits for each character class of candidates.
 CLASSES = (("entropy_hex", r"^[0-9a-fA-F]+$", 16, 2.8), ("entropy_alnum", r"^[0-9A-Za-z]+$", 20, 3.6), ("entropy_base64", r"", 20, 3.7))
@@ -65,34 +68,30 @@ def _weight(n: Column, most: int) -> Column:
 
 
 def entropy_span(word: Column, window: int, least: float) -> Column:
-    """First and end (exclusive) of the windows of an ASCII word whose entropy reaches the limit; first is -1 if none does."""
-    raw = word.cast("binary")
-
-    def part(start: Column, size: Column) -> Column:
-        return F.substring(raw, start + 1, size).cast("string")
-
-    def count(where: Column, char: Column) -> Column:
-        return F.length(where) - F.length(F.replace(where, char, F.lit("")))
+    """First and end (exclusive) of the windows of a candidate whose entropy reaches the limit; first is -1 if none does."""
+    signs = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(KEY_SIGNS), c))
 
     def step(acc: Column, i: Column) -> Column:
         full = i >= window
-        size = F.least(i, F.lit(window))
-        before = part(i - size, size)
-        # the leaving character is counted in the old window, the entering one in the window without it
-        left = F.when(full, count(before, part(i - window, F.lit(1)))).otherwise(F.lit(0))
-        gone = F.when(full, _weight(left - 1, window) - _weight(left, window)).otherwise(F.lit(0.0))
-        kept = F.when(full, part(i - window + 1, F.lit(window - 1))).otherwise(before)
-        there = count(kept, part(i, F.lit(1)))
-        total = acc["total"] + gone + _weight(there + 1, window) - _weight(there, window)
+        come = F.element_at(acc["signs"], i + 1)
+        leave = F.when(full, F.element_at(acc["signs"], i + 1 - window)).otherwise(F.lit(0))
+        there = F.element_at(acc["counts"], come)
+        left = F.when(full, F.element_at(acc["counts"], F.greatest(leave, F.lit(1)))).otherwise(F.lit(1))
+        change = _weight(there + 1, window) - _weight(there, window) + F.when(full, _weight(left - 1, window) - _weight(left, window)).otherwise(F.lit(0.0))
+        total = acc["total"] + F.when(come == leave, F.lit(0.0)).otherwise(change)
+        counts = F.transform(acc["counts"], lambda n, k: n + (k + 1 == come).cast("int") - (k + 1 == leave).cast("int"))
         high = (i >= window - 1) & (F.lit(math.log2(window)) - total / window >= least)
         return F.struct(
+            acc["signs"].alias("signs"),
+            counts.alias("counts"),
             total.alias("total"),
             F.when(high & (acc["first"] < 0), i - window + 1).otherwise(acc["first"]).alias("first"),
             F.when(high, i + 1).otherwise(acc["end"]).alias("end"),
         )
 
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("end"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), start, step)
+    none = F.array_repeat(F.lit(0), len(KEY_SIGNS))
+    start = F.struct(signs.alias("signs"), none.alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("end"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["end"].alias("end")))
 
 
 def allowed(word: Column) -> Column:
@@ -135,19 +134,20 @@ def _entropy_spans(placed: Column) -> Column:
 def find_secrets(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "secret_spans") -> DataFrame:
     """The table with two arrays of structs (start, rank, end) in order: spans of fixed forms, and all spans. ``rank`` is the
     place in KINDS."""
-    df = without(df, base, spans, "_whole", "_assign", "_value", "_access", "_hex", "_candidate", "_placed")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_whole", whole)
-    every = lambda p, g: F.regexp_extract_all(F.col("_whole"), F.lit(p), F.lit(g))
-    df = df.withColumns({"_assign": every(ASSIGN, 0), "_value": every(ASSIGN, 2), "_access": every(ACCESS, 0), "_hex": every(HEX, 0), "_candidate": every(CANDIDATE, 0)})
-    place = lambda col, p: _placed(F.col("_whole"), F.col(col), p)
-    named = F.arrays_zip(place("_assign", ASSIGN).alias("p"), F.col("_value").alias("v"))
+    df = without(df, base, spans)
+    kept = df.columns
+    whole_, assign_, value_, access_, hex_, candidate_ = free_names(df, "whole", "assign", "value", "access", "hex", "candidate")
+    df = df.withColumn(whole_, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    every = lambda p, g: F.regexp_extract_all(F.col(whole_), F.lit(p), F.lit(g))
+    df = df.withColumns({assign_: every(ASSIGN, 0), value_: every(ASSIGN, 2), access_: every(ACCESS, 0), hex_: every(HEX, 0), candidate_: every(CANDIDATE, 0)})
+    place = lambda col, p: _placed(F.col(whole_), F.col(col), p)
+    named = F.arrays_zip(place(assign_, ASSIGN).alias("p"), F.col(value_).alias("v"))
     named = F.transform(F.filter(named, lambda x: F.length(x["v"]) >= MIN_VALUE), lambda x: x["p"])
-    fixed = F.concat(_spans(named, "assign"), _spans(place("_access", ACCESS), "access"), _spans(place("_hex", HEX), "hex"))
+    fixed = F.concat(_spans(named, "assign"), _spans(place(access_, ACCESS), "access"), _spans(place(hex_, HEX), "hex"))
     df = df.withColumn(base, F.array_sort(fixed))
-    added = F.filter(_entropy_spans(place("_candidate", CANDIDATE)), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    df = df.withColumn(spans, F.when(F.size("_candidate") > 0, F.array_sort(F.concat(F.col(base), added))).otherwise(F.col(base)))
-    return df.drop("_whole", "_assign", "_value", "_access", "_hex", "_candidate")
+    added = F.filter(_entropy_spans(place(candidate_, CANDIDATE)), lambda s: ~F.exists(F.col(f"`{base}`"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    df = df.withColumn(spans, F.when(F.size(candidate_) > 0, F.array_sort(F.concat(F.col(f"`{base}`"), added))).otherwise(F.col(f"`{base}`")))
+    return df.select(*[F.col(f"`{c}`") for c in [*kept, base, spans]])
 
 
 def written(spans: Column) -> Column:
@@ -158,16 +158,18 @@ def written(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The table with the mark in place of each run of characters that spans cover."""
-    found = find_secrets(df, text, "_base", "_spans")
+    base_, spans_ = free_names(df, "base", "spans")
+    found = find_secrets(df, text, base_, spans_)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.expr(f"`{text}`").substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        gap = F.col(f"`{text}`").substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         piece = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    clean = F.aggregate(F.col("_spans"), start, step, lambda acc: F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))).drop("_base", "_spans")
+    whole = F.col(f"`{text}`")
+    clean = F.aggregate(F.col(spans_), start, step, lambda acc: F.concat(acc["out"], whole.substr(acc["at"] + 1, F.length(whole))))
+    return found.withColumn(text, F.when(F.size(spans_) > 0, clean).otherwise(whole)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
