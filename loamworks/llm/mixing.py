@@ -1,17 +1,19 @@
 """Operator 4: mixing sources to target weights by Pareto order sampling. DataFrame operations only.
 
 Each source gets a target in words: its share by weight of all words, at most ``max_repeats`` times its own words; what the limit
-cuts off goes to the others by weight. A source takes every document a whole number of times, floor(target / words). The rest of
-the target is a sample: documents are ranked by u/(1-u) over p/(1-p), u being a uniform number made from a hash of the row and p
-the part of the source that the sample has to take, and taken in that order while the words fit. One more document, of all that
-the ranking left out the one whose size is nearest to the words still missing, closes the gap if that brings the sum nearer.
+cuts off goes to the others by weight. Within a source a document is expected e = min(max_repeats, c ln(2 + words)) times, longer
+ones more often; c is such that the expected words come to the target. floor(e) copies are certain, and the rest of e is the
+document's inclusion probability p for one copy more. Those copies are a sample: documents are ranked by u/(1-u) over p/(1-p), u
+being a uniform number made from a hash of the row, and taken in that order while the words missing from the target hold them. What
+is left then is filled in rounds from documents that fit, in the same order, until less than ``near`` of the target is missing or
+nothing fits. At last one more document, the one nearest to the words still missing, is taken if that brings the sum nearer.
 
 No source is gathered in one task: ranks are found through histograms of the ranking key, twice 1,024 buckets for each source,
 so that only the rows of one bucket in a million are ever sorted.
 
 Defined cases: a null text has no words; a null source is a source, the last one; a null or repeated doc_id is no obstacle; rows
-that repeat each other in full share one draw; columns named like an output are replaced; an empty table gives an empty table;
-sources without words have target 0 and are taken 0 times.
+that repeat each other in full share one draw and are taken or left together; columns named like an output are replaced, all others
+are kept whatever their names; an empty table gives an empty table; sources without words have target 0 and are taken 0 times.
 """
 
 from __future__ import annotations
@@ -19,26 +21,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stash, table, without
+from .common import WORD, free_names, stash, table, without
 
 BUCKETS = 1024
 SEED = 4
+#: Part of a target that may be missing when the rounds end.
+NEAR = 0.001
 OUT = ("size", "source_size", "target", "copies", "taken")
+WEIGHTS = (5, 2, 1)
+MAX_REPEATS = 3
+ROUNDS = "array<struct<most:double,key:double,draw:bigint>>"
 
 
-def sized(docs: DataFrame, text: str = "text", key: tuple[str, ...] = ("doc_id", "source", "text")) -> DataFrame:
-    """With each row: its words and its draw, both from the row alone."""
-    return without(docs, "size", "draw").withColumns(
-        {
-            "size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
-            "draw": F.xxhash64(F.lit(SEED), *[F.col(c) for c in key]),
-        }
-    )
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """Per source: source_size, target, the certain whole copies and p, the part of the source that the sample takes."""
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+def with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """A left join by source where null equals null."""
+    per = per.withColumnRenamed("source", "source_")
+    return rows.join(per, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+
+
+# -- targets
+
+
+def targets(sums: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """Per source (source, source_size): its target in words."""
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int"))
     sums = stash(sums.withColumn("weight", weight))
@@ -55,14 +64,35 @@ def targets(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats
         if new <= level:
             break
         level = new
-    target = F.least(F.col("weight") * F.lit(level), most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    return (
-        sums.withColumn("target", target)
-        .withColumn("whole", whole)
-        .withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("p", F.when(F.col("source_size") > 0, F.col("missing") / F.col("source_size")).otherwise(F.lit(0.0)))
-    )
+    return sums.withColumn("target", F.least(F.col("weight") * F.lit(level), most)).drop("weight")
+
+
+def scales(units: DataFrame, per: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The sources with c, at which the expected words of their documents come to the target; null if every document is at its limit."""
+    sizes = stash(units.groupBy("source", "size").agg(F.sum("words").alias("words")))
+    weight, most = F.log(F.col("size") + 2.0), float(max_repeats)
+    per = per.withColumn("c", F.lit(0.0))
+    while True:
+        full = F.col("c").isNull() | (F.col("c") * weight >= most)
+        sums = with_source(sizes, per.select("source", "c")).groupBy("source").agg(
+            F.coalesce(F.sum(F.when(full, F.col("words") * most)), F.lit(0.0)).alias("full"),
+            F.sum(F.when(~full & (F.col("words") > 0), F.col("words") * weight)).alias("open"),
+        )
+        new = F.when(F.col("target") > F.col("full"), (F.col("target") - F.col("full")) / F.col("open")).otherwise(F.when(F.col("open").isNotNull(), F.col("c")))
+        after = stash(with_source(per, sums).withColumn("new", new))
+        # c only grows until the same documents are at their limit as before
+        moved = after.filter(~F.col("new").eqNullSafe(F.col("c")) & (F.col("new").isNull() | (F.col("new") > F.col("c") * (1 + 1e-12)))).isEmpty()
+        per = after.withColumn("c", F.col("new")).select(*per.columns)
+        if moved:
+            return per
+
+
+def expected(size: Column, c: Column, max_repeats: int = MAX_REPEATS) -> Column:
+    """How many copies of a document are expected; c is null where all are at the limit."""
+    return F.least(F.lit(float(max_repeats)), F.coalesce(c * F.log(size + 2.0), F.lit(float(max_repeats))))
+
+
+# -- the sample
 
 
 def rank_key(draw: Column, p: Column) -> Column:
@@ -72,67 +102,101 @@ def rank_key(draw: Column, p: Column) -> Column:
     return F.when(p > 0, a / (a + b)).otherwise(F.lit(1.0))
 
 
+def picked(rounds: Column, amount: Column, key: Column, draw: Column) -> Column:
+    """Whether a round takes the unit: it fits what was missing, and its rank is not beyond the round's last one."""
+    return F.coalesce(F.exists(rounds, lambda r: (amount <= r["most"]) & ((key < r["key"]) | ((key == r["key"]) & (draw <= r["draw"])))), F.lit(False))
+
+
 def _bucket(key: Column, of: int) -> Column:
     return F.least(F.floor(key * float(of)), F.lit(of - 1)).cast("long")
 
 
-def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
+def last_ranks(pool: DataFrame) -> DataFrame:
+    """Per source the last rank (key, draw) up to which its units, in the order of their ranks, fit into the gap, and their words.
+    ``pool`` has source, words, key, draw and gap; a unit alone fits."""
+    found = []
+    edges = None
+    for depth in (1, 2):
+        inside = pool.withColumn("b", _bucket(F.col("key"), BUCKETS**depth))
+        if edges is None:
+            inside = inside.withColumn("before", F.lit(0).cast("long"))
+        else:
+            inside = with_source(inside, edges.select("source", "edge", "before")).filter(_bucket(F.col("key"), BUCKETS) == F.col("edge"))
+        rank = F.struct("key", "draw")
+        hist = inside.groupBy("source", "b").agg(F.sum("words").alias("n"), F.first("gap").alias("gap"), F.first("before").alias("before"), F.max(rank).alias("rank"))
+        hist = hist.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("b")))
+        fits = F.col("upto") <= F.col("gap")
+        edges = stash(
+            hist.groupBy("source").agg(
+                F.min(F.when(~fits, F.col("b"))).alias("edge"),
+                F.coalesce(F.max(F.when(fits, F.col("upto"))), F.first("before")).alias("before"),
+                F.max(F.when(fits, F.struct("b", "rank")))["rank"].alias("rank"),
+            )
+        )
+        found.append(edges.filter("rank IS NOT NULL").select("source", "rank", F.col("before").alias("upto")))
+    inside = with_source(pool, edges.select("source", "edge", "before")).filter(_bucket(F.col("key"), BUCKETS**2) == F.col("edge"))
+    w = Window.partitionBy("source").orderBy("key", "draw").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("words").over(w)).filter(F.col("upto") <= F.col("gap"))
+    found.append(inside.select("source", F.struct("key", "draw").alias("rank"), "upto"))
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.groupBy("source").agg(F.max("rank").alias("rank"), F.max("upto").alias("upto"))
+
+
+def plan(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, near: float = NEAR) -> DataFrame:
     """One row for each source: all that is needed to decide about a row by itself."""
-    per = targets(rows, weights, max_repeats)
-    keyed = with_source(rows.select("source", "size", "draw"), per.select("source", "p", "missing")).withColumn("key", rank_key(F.col("draw"), F.col("p"))).filter("p > 0")
-    edge, before = F.lit(0).cast("long"), F.lit(0).cast("long")
-    bounds = per.select("source", edge.alias("edge"), before.alias("before"))
-    for depth in (1, 2):  # the bucket where the sum passes the missing words, then the bucket within it
-        scale = BUCKETS**depth
-        inside = with_source(keyed, bounds).withColumn("b", _bucket(F.col("key"), scale))
-        if depth == 2:
-            inside = inside.filter(_bucket(F.col("key"), BUCKETS) == F.col("edge"))
-        hist = inside.groupBy("source", "b").agg(F.sum("size").alias("n"), F.first("missing").alias("missing"), F.first("before").alias("before"))
-        upto = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("b"))
-        hist = hist.withColumn("upto", upto).filter(F.col("upto") > F.col("missing"))
-        bounds = stash(hist.groupBy("source").agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("before"))).alias("x")).select("source", F.col("x.b").alias("edge"), F.col("x.before").alias("before")))
-    last = with_source(keyed, bounds).filter(_bucket(F.col("key"), BUCKETS**2) == F.col("edge"))
-    w = Window.partitionBy("source").orderBy("key", "draw").rangeBetween(Window.unboundedPreceding, 0)
-    last = last.withColumn("upto", F.col("before") + F.sum("size").over(w)).filter(F.col("upto") <= F.col("missing"))
-    cut = last.groupBy("source").agg(F.max(F.struct("key", "draw", "upto")).alias("cut"))
-    cuts = stash(with_source(bounds, cut).select("source", "edge", F.col("cut.key").alias("cut_key"), F.col("cut.draw").alias("cut_draw"), (F.coalesce(F.col("cut.upto"), F.col("before"))).alias("sampled")))
-    out = with_source(keyed, cuts).filter(~chosen()).withColumn("gap", F.col("missing") - F.col("sampled"))
-    near = out.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key", "draw")).alias("near"), F.first("gap").alias("gap"))
-    same = with_source(out, near.select("source", "near")).filter((F.col("key") == F.col("near.key")) & (F.col("draw") == F.col("near.draw")))
-    same = same.groupBy("source").agg(F.sum("size").alias("n"), F.first("gap").alias("gap"), F.first("draw").alias("close_draw"))
-    close = same.filter(F.abs(F.col("n") - F.col("gap")) < F.col("gap")).select("source", "close_draw")
-    return stash(with_source(with_source(per, cuts), close))
-
-
-def with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
-    """A left join by source where null equals null."""
-    per = per.withColumnRenamed("source", "source_")
-    return rows.join(per, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
+    per = targets(units.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeats)
+    per = scales(units, per, max_repeats)
+    copies = expected(F.col("size"), F.col("c"), max_repeats)
+    marked = with_source(units, per.select("source", "c")).withColumn("whole", F.floor(copies)).withColumn("p", copies - F.col("whole"))
+    certain = marked.groupBy("source").agg(F.sum(F.col("whole") * F.col("words")).alias("certain"))
+    pool = marked.filter("p > 0 AND words > 0").withColumn("key", rank_key(F.col("draw"), F.col("p"))).select("source", "words", "key", "draw")
+    state = with_source(per, certain).withColumn("gap", F.col("target") - F.col("certain")).withColumn("rounds", F.array().cast(ROUNDS))
+    state = stash(state.select("source", "source_size", "target", "c", "gap", "rounds"))
+
+    def left() -> DataFrame:
+        rows = with_source(pool, state.select("source", "target", "gap", "rounds"))
+        return rows.filter(~picked(F.col("rounds"), F.col("words"), F.col("key"), F.col("draw")))
 
-
-def chosen() -> Column:
-    """Whether the ranking takes the row into the sample."""
-    b = _bucket(F.col("key"), BUCKETS**2)
-    in_edge = (b == F.col("edge")) & (F.struct("key", "draw") <= F.struct(F.col("cut_key").alias("key"), F.col("cut_draw").alias("draw")))
-    return (F.col("p") > 0) & (F.col("edge").isNull() | (b < F.col("edge")) | F.coalesce(in_edge, F.lit(False)))
-
-
-def decide(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    """Sized rows with their source's size and target, copies and taken words."""
-    per = decided.select("source", "source_size", "target", "whole", "p", "edge", "cut_key", "cut_draw", "close_draw")
-    rows = with_source(without(rows, "source_size", "target", "copies", "taken", "key", *[c for c in per.columns if c != "source"]), per).withColumn("key", rank_key(F.col("draw"), F.col("p")))
-    closing = F.coalesce((F.col("p") > 0) & (F.col("draw") == F.col("close_draw")), F.lit(False))
-    rows = rows.withColumn("copies", F.col("whole") + (chosen() | closing).cast("long"))
-    return rows.withColumn("taken", F.col("copies") * F.col("size")).drop("whole", "p", "edge", "cut_key", "cut_draw", "close_draw", "key", "draw")
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """The documents, each with size, source_size, target, copies and taken."""
-    rows = sized(docs)
-    small = stash(rows.select("source", "size", "draw"))
-    return decide(rows, plan(small, weights, max_repeats))
+    while True:
+        ranks = stash(last_ranks(left().filter((F.col("words") <= F.col("gap")) & (F.col("gap") > F.col("target") * near)).select("source", "words", "key", "draw", "gap")))
+        if ranks.isEmpty():
+            break
+        one = F.array(F.struct(F.col("gap").alias("most"), F.col("rank.key").alias("key"), F.col("rank.draw").alias("draw")))
+        state = with_source(state, ranks).withColumn("rounds", F.when(F.col("rank").isNotNull(), F.concat("rounds", one)).otherwise(F.col("rounds")))
+        state = stash(state.withColumn("gap", F.col("gap") - F.coalesce("upto", F.lit(0))).drop("rank", "upto"))
+    off = F.abs(F.col("words") - F.col("gap"))
+    close = left().filter(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "draw"))["draw"].alias("closing"))
+    return stash(with_source(state, close))
+
+
+# -- the whole
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, near: float = NEAR, text: str = "text", source: str = "source", key: tuple[str, ...] = ("doc_id", "source", "text"), keep: list[str] | None = None) -> DataFrame:
+    """The documents, each with size, source_size, target, copies and taken. With ``keep`` only these columns stay, and texts are
+    read but once."""
+    columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUT]
+    draw_, source_, plan_, n_, multi_ = free_names(docs, "draw", "source", "plan", "n", "multi")
+    rows = without(docs, *[c for c in OUT if c not in key]).withColumns({"size": words(F.col(f"`{text}`")), draw_: F.xxhash64(F.lit(SEED), *[F.col(f"`{c}`") for c in key]), source_: F.col(f"`{source}`")})
+    rows = rows.select(*[F.col(f"`{c}`") for c in columns], "size", draw_, source_)
+    if keep is not None:
+        rows = stash(rows)
+    # rows that repeat each other are one unit
+    units = stash(rows.groupBy(F.col(source_).alias("source"), "size", F.col(draw_).alias("draw")).agg(F.count("*").alias("n")).withColumn("words", F.col("n") * F.col("size")))
+    decided = plan(units, weights, max_repeats, near)
+    whole = F.struct("source_size", "target", "c", "rounds", "closing").alias(plan_)
+    decided = decided.select(F.col("source").alias(f"{source_}_"), whole)
+    repeated = units.filter("n > 1").select(F.col("draw").alias(multi_), F.col("n").alias(n_))
+    rows = rows.join(decided, F.col(source_).eqNullSafe(F.col(f"{source_}_")), "left").join(repeated, F.col(draw_) == F.col(multi_), "left")
+    it, draw = F.col(plan_), F.col(draw_)
+    copies = expected(F.col("size"), it["c"], max_repeats)
+    p = copies - F.floor(copies)
+    sampled = picked(it["rounds"], F.col("size") * F.coalesce(n_, F.lit(1)), rank_key(draw, p), draw) | F.coalesce(draw == it["closing"], F.lit(False))
+    times = F.when(it["target"] > 0, F.floor(copies) + ((p > 0) & (F.col("size") > 0) & sampled).cast("long")).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("copies", times)
+    return rows.select(*[F.col(f"`{c}`") for c in columns], "size", it["source_size"].alias("source_size"), it["target"].alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stash(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size", "draw"))
-    return decide(rows, plan(rows)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
