@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from .common import free_names, stash, table, without
 
-LENGTH, K = 50, 16
+LENGTH, K = 50, 24
 #: Bytes of text in a batch, and bytes of text for each bucket of entries.
 BATCH, BUCKET = 3_000_000, 16_000_000
 #: Entries of one anchor beyond which its strings are dealt out one by one.
@@ -238,7 +238,7 @@ def entries(docs: DataFrame, buckets: int, packing: Packing, length: int = LENGT
             for doc, first, count, anchor, whole in _pieces([r[2] for r in rows], ids, length, most):
                 keep = keep_least(anchor, whole, ids[doc])
                 if not keep.all():
-                    add(-1, first[~keep], count[~keep], doc[~keep])
+                    add(-1, first[~keep].astype(np.int32), count[~keep].astype(np.int32), doc[~keep])
                 doc, first, count, anchor, whole = (x[keep] for x in (doc, first, count, anchor, whole))
                 bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -538,7 +538,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
             return meet(pdf, packing, many)
         n = _whole(pdf, "n", np.int32)
         d, h = (np.repeat(_whole(pdf, c, np.int64), n) for c in ("d", "h"))
-        return pack(0, d, h, _whole(pdf, "a", np.int64), _whole(pdf, "b", np.int64))
+        return pack(0, d, h, _whole(pdf, "a", np.int32), _whole(pdf, "b", np.int32))
 
     # strings that batches remove themselves are dealt out by batch
     found = stash(packed.withColumn("spread", F.when(F.col("bucket") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("bucket", "spread").applyInPandas(lambda pdf: gather(pdf.drop(columns="spread")), FOUND))
