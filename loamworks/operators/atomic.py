@@ -47,5 +47,15 @@ def _split(column: pd.Series) -> pd.Series:
     return column.map(split_atomic)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split_all(column: pd.Series) -> pd.Series:
+    return column.map(lambda statements: [part for s in (statements if statements is not None else ()) for part in split_atomic(s)])
+
+
 def atomic_parts(statement: Column) -> Column:
     return _split(statement)
+
+
+def atomic_parts_of_all(statements: Column) -> Column:
+    """The parts of all statements of an array, in order."""
+    return _split_all(statements)

@@ -52,6 +52,10 @@ class Spark:
     def each(x: str, made: str) -> str:
         return f"transform({x}, e -> {made})"
 
+    @staticmethod
+    def first_of(x: str, n: int) -> str:
+        return f"slice({x}, 1, {n})"
+
     @staticmethod
     def real(x: str) -> str:
         """A quotient of 32-bit floats as one: Spark divides in 64 bits."""
@@ -107,9 +111,13 @@ class Duck:
     def each(x: str, made: str) -> str:
         return f"list_transform({x}, lambda e: {made})"
 
+    @staticmethod
+    def first_of(x: str, n: int) -> str:
+        return f"{x}[1:{n}]"
+
     @staticmethod
     def real(x: str) -> str:
-        return x
+        return f"CAST({x} AS FLOAT)"
 
     @staticmethod
     def placed(x: str) -> str:
@@ -120,14 +128,14 @@ class Duck:
         return f"string_agg({x}, chr(10) ORDER BY {by})"
 
 
-def run(spark: SparkSession, sf_dir: str, made) -> DataFrame:
-    """The query over the tables of a folder; no views are left behind."""
+def run(spark: SparkSession, sf_dir: str, made, **more: DataFrame) -> DataFrame:
+    """The query over the tables of a folder and ``more`` tables; no views are left behind."""
     text = made(Spark)
-    used = [t for t in TABLES if f"<{t}>" in text]
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"<{t}>" in text} | more
     text = text.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace(f"<{t}>", "{" + t + "}")
-    df = spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    df = spark.sql(text, **used)
     # whole numbers are 64 bits wide in results, whatever a function returns
     return df.withColumns({c: df[c].cast("bigint") for c, kind in df.dtypes if kind == "int"})
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 from ..functions import markers as M
 from ..functions.rules import Rules, quoted
 from .corpus import STATEMENTS, corpus
-from .mining import candidates, redacted, slug, tokens, trimmed
+from .generate import candidate_id, candidates, swapped, title
+from .mining import once, redacted, sentences, slug, tokens, trimmed
+from .ranking import matched
 
 N = len(STATEMENTS)
 
@@ -21,60 +23,95 @@ def values(name: str, columns: str, rows) -> str:
 # -- gates
 
 
-def q_memory_gate(d):
-    r = Rules(d)
-    has = lambda w: f"contains(l, {quoted(w)})"
+def memory_flag(d, x: str = "l") -> str:
+    """The first rule of the memory gate that a lower-case text breaks, or an empty text."""
+    r = Rules(d, x)
+    has = lambda w: f"contains({x}, {quoted(w)})"
     durable = r.any(M.MEMORY_DURABLE)
-    rule = f"({r.any(M.PIPELINE_CANDIDATE)} OR ({has('候选质量')} AND {has('候选数量')}) OR ({has('生成')} AND {has('筛选')} AND {has('候选')}))"
-    planning = f"(({has('当规划或评估开发工作时')} OR ({has('核心功能链路')} AND {has('周边功能')})) AND NOT {has('所有项目')} AND NOT {has('每次')})"
     cases = (
         ("secret", r.any(M.MEMORY_SECRET)),
         ("generated-or-internal-artifact", r.any(M.MEMORY_INTERNAL)),
-        ("memory-pipeline-meta", f"({rule} AND {r.any(M.PIPELINE_KEEP)}) OR ({r.any(M.PIPELINE_TERMS)} AND {has('候选')}) OR {planning}"),
+        ("memory-pipeline-meta", f"{_pipeline_rule(d, x)} OR ({r.any(M.PIPELINE_TERMS)} AND {has('候选')}) OR {_planning_rule(x)}"),
         ("current-task-state", r.any(M.MEMORY_TASK)),
         ("one-off-write-scope", f"NOT {durable} AND {r.any(M.MEMORY_WRITE_SCOPE)}"),
         ("rebuildable-code-fact", f"NOT {durable} AND {r.any(M.MEMORY_PATH)} AND {r.any(M.MEMORY_PLACE)}"),
         ("ephemeral-reference", f"NOT {durable} AND {r.any(M.MEMORY_EPHEMERAL)}"),
         ("reference-pointer", r.any(M.MEMORY_POINTER)),
     )
-    flag = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in cases) + " ELSE '' END"
-    return f"{corpus(d)}, g AS (SELECT id, {flag} AS flag FROM chunk) SELECT id, flag, CASE WHEN flag = '' THEN 'accept' WHEN flag = 'reference-pointer' THEN 'review_only' ELSE 'reject' END AS disposition, CASE WHEN flag = '' THEN 'always_on_rule' ELSE 'review_only' END AS route FROM g"
+    return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in cases) + " ELSE '' END"
 
 
-def _quality(d):
-    r = Rules(d)
-    tail = "substr(body, -1, 1)"
+def _pipeline_rule(d, x: str) -> str:
+    """A rule about how candidates are made, not about the user's work."""
+    r = Rules(d, x)
+    has = lambda w: f"contains({x}, {quoted(w)})"
+    return f"(({r.any(M.PIPELINE_CANDIDATE)} OR ({has('候选质量')} AND {has('候选数量')}) OR ({has('生成')} AND {has('筛选')} AND {has('候选')})) AND {r.any(M.PIPELINE_KEEP)})"
+
+
+def _planning_rule(x: str) -> str:
+    has = lambda w: f"contains({x}, {quoted(w)})"
+    return f"(({has('当规划或评估开发工作时')} OR ({has('核心功能链路')} AND {has('周边功能')})) AND NOT {has('所有项目')} AND NOT {has('每次')})"
+
+
+def _memory_text() -> str:
+    return "lower(concat(title, chr(10), body, chr(10), text, chr(10), kind, chr(10), scope))"
+
+
+def q_memory_gate(d):
+    return f"""{candidates(d)}, mt AS (SELECT id, scope, {once(d, _memory_text())} AS l FROM cand), mf AS (SELECT id, {memory_flag(d)} AS flag FROM mt)
+SELECT id, flag, CASE WHEN flag = '' THEN 'accept' WHEN flag = 'reference-pointer' THEN 'review_only' ELSE 'reject' END AS disposition, CASE WHEN flag = '' THEN 'always_on_rule' ELSE 'review_only' END AS route FROM mf"""
+
+
+def quality_flag(d) -> str:
+    """The first rule of the quality gate that a candidate breaks, or an empty text. Columns: ``whole`` (title, body, evidence and
+    reason) and ``named`` (title and body) in lower case, body, template, action, similarity."""
+    w, n = Rules(d, "whole"), Rules(d, "named")
+    b = Rules(d, "lower(trim(body))")
+    has = lambda *words: " AND ".join(f"contains(whole, {quoted(x)})" for x in words)
+    talk = f"NOT ({has('不要只依赖固定规则词', '真实高价值表达')}) AND NOT ({w.any(('提交最终代码', '复杂任务结果前'))} AND {w.any(('自检', 'dry-run', '真实输入'))})"
+    meta = f"({w.any(M.QUALITY_QUESTION)} AND {w.any(M.QUALITY_PIPELINE)}) OR ({w.any(M.QUALITY_SYSTEM)} AND {w.any(M.QUALITY_ANALYSIS)}) OR {_pipeline_rule(d, 'whole')} OR {_planning_rule('whole')} OR ({w.any(M.PRODUCT_FEEDBACK)} AND {w.any(M.PRODUCT_WISH)})"
+    task = f"({w.any(M.TASK_PATHS)} AND {w.any(M.TASK_SCOPE)}) OR {w.any(M.QUALITY_ONE_OFF)} OR {w.any(M.TASK_REVIEW)} OR {w.any(M.TASK_BRIEFS)}"
+    whole_rule = f"{d.bytes_of}(trim(body)) >= 10 AND substr(trim(body), -1, 1) NOT IN ('?', '？') AND ({b.any(M.SELF_CONTAINED)} OR ({b.any(M.RULE_TOOLS)} AND {b.any(M.RULE_DURABLE)}))"
+    known = "coalesce(template, '') IN (" + ", ".join(quoted(t) for t in M.KNOWN_TEMPLATES) + ")"
     cases = (
-        ("internal-leak", r.any(M.QUALITY_LEAK)),
-        ("meta-discussion", f"({r.any(M.QUALITY_QUESTION)} AND {r.any(M.QUALITY_PIPELINE)}) OR ({r.any(M.QUALITY_SYSTEM)} AND {r.any(M.QUALITY_ANALYSIS)})"),
-        ("temporary-task-constraint", f"NOT {r.any(M.QUALITY_DURABLE)} AND {r.any(M.QUALITY_ONE_OFF)}"),
-        ("package-manager-preference", f"{r.any(M.PACKAGE_TOOLS)} AND {r.any(M.PACKAGE_CONTEXT)}"),
-        ("not-self-contained-rule", f"{d.bytes_of}(body) < 10 OR {tail} IN ('?', '？') OR NOT {r.any(M.SELF_CONTAINED)}"),
+        ("internal-leak", n.any(M.QUALITY_LEAK)),
+        ("generated-instruction-artifact", w.any(M.QUALITY_GENERATED)),
+        ("meta-discussion", f"{talk} AND ({meta})"),
+        ("temporary-task-constraint", f"NOT {w.any(M.QUALITY_DURABLE)} AND ({task})"),
+        ("package-manager-preference", f"{w.any(M.PACKAGE_TOOLS)} AND {w.any(M.PACKAGE_CONTEXT)}"),
+        ("duplicate-existing", "action = 'merge_into_existing' AND coalesce(similarity, 0e0) >= 0.95e0"),
+        ("llm-noop", "action = 'noop'"),
+        ("not-self-contained-rule", f"NOT {known} AND NOT ({whole_rule})"),
     )
-    return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in cases) + " ELSE '' END"
+    return "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for name, c in cases) + " ELSE '' END"
+
+
+def gated(d) -> str:
+    """Candidates matched with cards, and CTE ``gate``: their flags of both gates."""
+    return f"""{matched(d)},
+dup AS (SELECT id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY card_id) AS rk FROM sim WHERE similarity > 0.75e0) x WHERE rk = 1),
+q0 AS (SELECT c.id, c.conv_id, c.scope, c.kind, c.memory_tier, c.template, c.title, c.body, c.text, c.confidence, dup.similarity, CASE WHEN dup.id IS NULL THEN 'add' ELSE 'merge_into_existing' END AS action,
+  lower(concat(title, chr(10), body, chr(10), text, chr(10), reason)) AS whole, lower(concat(title, chr(10), body)) AS named, {_memory_text()} AS l FROM cand c LEFT JOIN dup ON dup.id = c.id),
+gate AS (SELECT id, conv_id, scope, kind, memory_tier, template, title, body, confidence, action, {once(d, quality_flag(d))} AS quality, {memory_flag(d)} AS memory FROM q0)"""
 
 
 def q_quality_gate(d):
-    return f"{candidates(d)}, g AS (SELECT id, {_quality(d)} AS flag FROM cand) SELECT id, flag, flag = '' AS kept FROM g"
+    return f"{gated(d)} SELECT id, quality AS flag, quality = '' AS kept, action FROM gate"
 
 
 def q_gc(d):
-    r = Rules(d)
-    return f"{candidates(d)} SELECT id, scope, CASE WHEN {r.any(M.MEMORY_SECRET)} OR {r.any(M.MEMORY_TASK)} OR (NOT {r.any(M.MEMORY_DURABLE)} AND {r.any(M.MEMORY_WRITE_SCOPE)}) THEN 'hidden' ELSE 'candidate' END AS status FROM cand"
+    """Candidates that the memory gate rejects are hidden, and feedback says so."""
+    return f"{candidates(d)}, mt AS (SELECT id, scope, {once(d, _memory_text())} AS l FROM cand), mf AS (SELECT id, scope, {memory_flag(d)} AS flag FROM mt) SELECT id, scope, CASE WHEN flag IN ('', 'reference-pointer') THEN 'candidate' ELSE 'hidden' END AS status, CASE WHEN flag IN ('', 'reference-pointer') THEN NULL ELSE 'memory-gc' END AS feedback FROM mf"
 
 
-def q_kernel_assess(d):
-    r = Rules(d)
-    return f"{corpus(d)} SELECT id, CASE WHEN {r.any(M.KERNEL_RULE)} OR {r.any(M.KERNEL_HIGH)} THEN 'high' WHEN {r.any(M.KERNEL_NOISE)} AND length(l) <= 32 THEN 'noise' ELSE 'candidate' END AS value FROM chunk"
+def q_visible(d):
+    """What both gates let through."""
+    return f"{gated(d)} SELECT id, {candidate_id(d)} AS candidate_id, kind, scope, memory_tier, action FROM gate WHERE quality = '' AND memory IN ('', 'reference-pointer')"
 
 
-def _domain(d):
+def q_kernel_assess(d):
     r = Rules(d)
-    return "CASE " + " ".join(f"WHEN {r.any(w)} THEN '{n}'" for n, w in M.DOMAINS) + " ELSE 'general' END"
-
-
-def q_domains(d):
-    return f"{candidates(d)}, g AS (SELECT concat(memory_tier, ':', kind, ':', {_domain(d)}) AS cluster FROM cand) SELECT cluster, count(*) AS n FROM g GROUP BY cluster"
+    return f"{corpus(d)} SELECT id, CASE WHEN {r.any(M.KERNEL_RULE)} OR {r.any(M.KERNEL_HIGH)} THEN 'high' WHEN {r.any(M.KERNEL_NOISE)} AND length(l) <= 32 THEN 'noise' ELSE 'candidate' END AS value FROM chunk"
 
 
 def q_candidate_tags(d):
@@ -121,10 +158,33 @@ def q_reflexion(d):
     return f"WITH {_feedback()}, n AS (SELECT k, count(*) AS c FROM fb WHERE decision = 'rejected' GROUP BY k) SELECT k, c, place FROM (SELECT k, c, row_number() OVER (ORDER BY c DESC, k) AS place FROM n WHERE c >= 3) x WHERE place <= 10"
 
 
+def feedback_signature(d, body: str, context: str = "'candidate:'") -> str:
+    return f"concat('sig:sha256-', substr({d.sha(f"concat({context}, {d.join}({tokens(d, swapped(d, f'lower({body})', M.FEEDBACK_SAME))}, ' '))")}, 1, 9))"
+
+
+def _rejected(d, context: str = "'candidate:'") -> str:
+    """CTE ``pen``: rejections, most frequent reason and penalty by signature. Feedback is on the sentences of the statements."""
+    return f"""{_feedback()},
+sb0 AS (SELECT k, {d.explode}({sentences(d, 'body')}) AS body FROM statement),
+sb AS (SELECT k, {feedback_signature(d, 'body', context)} AS signature FROM sb0),
+rn AS (SELECT signature, reason, count(DISTINCT event_id) AS c FROM fb JOIN sb ON sb.k = fb.k WHERE decision = 'rejected' GROUP BY signature, reason),
+rm AS (SELECT signature, reason, row_number() OVER (PARTITION BY signature ORDER BY c DESC, reason DESC) AS rk, sum(c) OVER (PARTITION BY signature) AS rejections FROM rn),
+pen AS (SELECT signature, reason, rejections, greatest(-0.08e0 * rejections, -0.25e0) AS delta FROM rm WHERE rk = 1 AND rejections >= 2)"""
+
+
 def q_feedback_gate(d):
-    """Candidates after feedback: three rejections drop one, two lower its confidence."""
-    return f"""{candidates(d)}, rej AS (SELECT conv_id % 40 AS k, count(*) % 4 AS n FROM chunk WHERE origin = 'user' GROUP BY conv_id % 40)
-SELECT id, coalesce(n, 0) AS rejections, round(greatest(least(CAST(confidence AS DOUBLE) + CASE WHEN n = 2 THEN -0.16e0 ELSE 0e0 END, 1e0), 0e0), 4) AS confidence FROM cand LEFT JOIN rej ON rej.k = conv_id % 40 WHERE coalesce(n, 0) < 3"""
+    """Candidates after feedback on bodies of their tokens: three rejections drop one, two lower its confidence."""
+    return f"""{candidates(d)}, {_rejected(d)},
+fc AS (SELECT id, confidence, {feedback_signature(d, 'body')} AS signature FROM cand)
+SELECT id, CAST(coalesce(rejections, 0) AS BIGINT) AS rejections, coalesce(reason, '') AS reason, coalesce(rejections, 0) < 3 AS kept, round(greatest(least(CAST(confidence AS DOUBLE) + coalesce(delta, 0e0), 1e0), 0e0), 4) AS confidence FROM fc LEFT JOIN pen ON pen.signature = fc.signature"""
+
+
+def q_contextual_penalty(d):
+    """Penalties of bodies within their scope and tier: the feedback is on project rules of projects."""
+    context = "'candidate:project:project_rule:'"
+    return f"""{candidates(d)}, {_rejected(d, context)},
+fc AS (SELECT id, {feedback_signature(d, 'body', "concat('candidate:', scope, ':', memory_tier, ':')")} AS signature FROM cand)
+SELECT id, fc.signature, CAST(rejections AS BIGINT) AS rejections, reason, delta FROM fc JOIN pen ON pen.signature = fc.signature"""
 
 
 def _signed(d):
@@ -140,7 +200,7 @@ def q_recurrence(d):
 
 
 def q_recurrence_boost(d):
-    return f"""{_signed(d)}, n AS (SELECT signature, count(DISTINCT origin) AS n FROM sg GROUP BY signature)
+    return f"""{_signed(d)}, n AS (SELECT signature, count(*) AS n FROM sg GROUP BY signature)
 SELECT id, sg.signature, n, round(CASE WHEN n >= 3 THEN least(CAST(confidence AS DOUBLE) + 0.1e0, 0.95e0) ELSE CAST(confidence AS DOUBLE) END, 4) AS confidence FROM sg JOIN n ON n.signature = sg.signature"""
 
 
@@ -161,32 +221,55 @@ v AS (SELECT *, min(CASE WHEN nth > 1 AND event_type = made_for THEN nth END) OV
 SELECT event_id, token, CASE WHEN nth = 1 THEN 'created' WHEN nth > used THEN 'consumed' WHEN event_type <> made_for THEN 'mismatch' ELSE 'accepted' END AS outcome FROM v"""
 
 
+def review_slug(d, x: str) -> str:
+    """A slug without one of the marks of fused records at its end."""
+    return slug(d, trimmed(d, d.replaced(trimmed(d, x), "( Fusion| fusion|-fusion| 融合|融合)$")))
+
+
+def _cards_and_drafts(d) -> str:
+    """CTEs ``card`` (every second statement) and ``draft`` (candidates) with ids, titles, slugs, tokens and compact bodies."""
+    low = Rules(d, "lower(body)")
+    compact = lambda x: d.replaced(f"lower({x})", "[^a-z0-9一-鿿]+")
+    scope = f"CASE WHEN {low.any(M.SCOPE_GLOBAL)} THEN 'global' WHEN {low.any(M.SCOPE_AGENT)} THEN 'agent' ELSE 'project' END"
+    return f"""card0 AS (SELECT k, body, {scope} AS scope, {title(d, 'body')} AS title FROM statement WHERE k % 2 = 0),
+card AS (SELECT k, body, title, {candidate_id(d)} AS cid, {review_slug(d, 'title')} AS s, {tokens(d, 'body')} AS tok, {compact('body')} AS compact FROM card0),
+draft AS (SELECT id, conv_id, title, body, {candidate_id(d)} AS cid, {review_slug(d, 'title')} AS s, {tokens(d, 'body')} AS tok, {compact('body')} AS compact FROM cand)"""
+
+
 def q_reviewable(d):
-    """Drafts that no card covers: by id, by slug, or by tokens."""
-    return f"""{candidates(d)}, card AS (SELECT k, body, {slug(d, 'substr(body, 1, 24)')} AS s, {tokens(d, 'body')} AS tok FROM statement WHERE k % 2 = 0),
-draft AS (SELECT id, {slug(d, 'substr(body, 1, 24)')} AS s, {tokens(d, 'body')} AS tok FROM cand),
-ct AS (SELECT k, {d.explode}(tok) AS t FROM card), dt AS (SELECT id, {d.explode}(tok) AS t FROM draft),
-sh AS (SELECT dt.id, ct.k, count(*) AS n FROM dt JOIN ct ON dt.t = ct.t GROUP BY dt.id, ct.k),
-near AS (SELECT DISTINCT sh.id FROM sh JOIN draft f ON f.id = sh.id JOIN card c ON c.k = sh.k WHERE CAST(n AS DOUBLE) / ({d.size}(f.tok) + {d.size}(c.tok) - n) >= 0.72e0)
-SELECT id, s AS slug FROM draft WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.id = draft.id) AND NOT EXISTS (SELECT 1 FROM card WHERE card.s = draft.s)"""
+    """Drafts that no card covers: by id (project and global count alike), by slug of id or title, by tokens, or by one's body
+    holding the other's."""
+    rest = lambda x: d.replaced(x, "^(global|project):")
+    return f"""{candidates(d)}, {_cards_and_drafts(d)},
+ct AS (SELECT k, {d.size}(tok) AS n_card, {d.explode}(tok) AS t FROM card), dt AS (SELECT id, {d.size}(tok) AS n_draft, {d.explode}(tok) AS t FROM draft),
+near AS (SELECT id FROM (SELECT dt.id, ct.k, count(*) AS n, max(n_card) AS n_card, max(n_draft) AS n_draft FROM dt JOIN ct ON dt.t = ct.t GROUP BY dt.id, ct.k) x WHERE CAST(n AS DOUBLE) / (n_card + n_draft - n) >= 0.72e0),
+held AS (SELECT draft.id FROM draft JOIN card ON length(card.compact) >= 24 AND length(draft.compact) >= 24 AND (contains(card.compact, draft.compact) OR contains(draft.compact, card.compact)))
+SELECT id, cid AS draft_id, s AS slug FROM draft WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.id = draft.id) AND NOT EXISTS (SELECT 1 FROM held WHERE held.id = draft.id)
+  AND NOT EXISTS (SELECT 1 FROM card WHERE card.s = draft.s) AND NOT EXISTS (SELECT 1 FROM card WHERE {rest('card.cid')} = {rest('draft.cid')})"""
 
 
 def q_approval(d):
-    """Approving a draft: the same slug absorbs or updates a card by similarity, else conflicts; a new slug inserts."""
-    return f"""{candidates(d)}, card AS (SELECT k, {slug(d, 'substr(body, 1, 24)')} AS s, {tokens(d, 'body')} AS tok FROM statement WHERE k % 2 = 0),
-draft AS (SELECT id, {slug(d, 'substr(body, 1, 24)')} AS s, {tokens(d, 'body')} AS tok FROM cand),
-j AS (SELECT draft.id, card.k, CASE WHEN card.k IS NULL THEN 0e0 ELSE CAST({d.size}({d.intersect}(draft.tok, card.tok)) AS DOUBLE) / greatest(1, {d.size}(draft.tok) + {d.size}(card.tok) - {d.size}({d.intersect}(draft.tok, card.tok))) END AS similarity FROM draft LEFT JOIN card ON card.s = draft.s)
-SELECT id, k AS card, round(similarity, 6) AS similarity, CASE WHEN k IS NULL THEN 'insert' WHEN similarity >= 0.75e0 THEN 'absorb' WHEN similarity >= 0.45e0 THEN 'update' ELSE 'conflict' END AS outcome FROM j"""
+    """Approving a draft: a card of its id absorbs it by similarity, is updated by an equal title or likeness, else conflicts; a new
+    id inserts."""
+    both = f"{d.size}({d.intersect}(draft.tok, card.tok))"
+    return f"""{candidates(d)}, {_cards_and_drafts(d)},
+one AS (SELECT cid, min(k) AS k FROM card GROUP BY cid),
+j AS (SELECT draft.id, card.k, trim(card.title) = trim(draft.title) AS same_title, CASE WHEN card.k IS NULL THEN 0e0 ELSE CAST({both} AS DOUBLE) / greatest(1, {d.size}(draft.tok) + {d.size}(card.tok) - {both}) END AS similarity FROM draft LEFT JOIN one ON one.cid = draft.cid LEFT JOIN card ON card.k = one.k)
+SELECT id, k AS card, round(similarity, 6) AS similarity, CASE WHEN k IS NULL THEN 'insert' WHEN similarity >= 0.75e0 THEN 'absorb' WHEN same_title OR similarity >= 0.45e0 THEN 'update' ELSE 'conflict' END AS outcome FROM j"""
 
 
 def q_policy(d):
-    rows = [(c, risk, mode) for risk, names in M.COMMANDS for c in names for mode in ("manual", "assisted", "guarded-auto", "agent-managed")]
-    return f"""WITH {values('m', 'command, risk, automation', rows)}
-SELECT command, risk, automation, CASE WHEN automation IN ('manual', 'assisted') THEN CASE WHEN risk = 'read-only' THEN 'execute' ELSE 'review-required' END WHEN automation = 'guarded-auto' AND risk = 'high' THEN 'review-required' ELSE 'execute' END AS disposition FROM m"""
+    """Commands by mode and by two settings: whether high risks go to review, and whether files may be written."""
+    rows = [(c, risk, mode, high, files) for risk, names in M.COMMANDS for c in names for mode in ("manual", "assisted", "guarded-auto", "agent-managed") for high in (0, 1) for files in (0, 1)]
+    return f"""WITH {values('m', 'command, risk, automation, review_high, allow_writes', rows)}
+SELECT command, risk, automation, CAST(review_high AS BIGINT) AS review_high, CAST(allow_writes AS BIGINT) AS allow_writes, CASE WHEN automation IN ('manual', 'assisted') THEN CASE WHEN risk = 'read-only' THEN 'execute' ELSE 'review-required' END
+  WHEN automation = 'guarded-auto' AND risk = 'high' AND review_high = 1 THEN 'review-required' WHEN risk <> 'read-only' AND allow_writes = 0 THEN 'review-required' ELSE 'execute' END AS disposition FROM m"""
 
 
 def q_jobs(d):
-    return "SELECT job, event_type, place FROM (SELECT user_id AS job, event_type, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM <events>) x WHERE rk = 1) y WHERE place <= 30"
+    return """WITH last_one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM <events>) x WHERE rk = 1),
+top AS (SELECT * FROM last_one ORDER BY ts DESC, event_id DESC LIMIT 30)
+SELECT user_id AS job, event_type, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM top"""
 
 
 def q_dashboard(d):
@@ -216,11 +299,10 @@ def q_render(d):
 
 
 def q_artifact_status(d):
-    return f"""WITH want AS (SELECT doc_id AS path, {d.sha('text')} AS h FROM <documents> WHERE doc_id % 5 <> 0),
-lock AS (SELECT doc_id AS path, {d.sha('text')} AS h FROM <documents> WHERE doc_id % 4 <> 0),
+    """Artifacts of the lock against the disk."""
+    return f"""WITH lock AS (SELECT doc_id AS path, {d.sha('text')} AS h FROM <documents>),
 disk AS (SELECT doc_id AS path, {d.sha("CASE WHEN doc_id % 3 = 0 THEN concat(text, '!') ELSE text END")} AS h FROM <documents> WHERE doc_id % 7 <> 0)
-SELECT coalesce(want.path, lock.path, disk.path) AS path, CASE WHEN want.path IS NULL AND lock.path IS NULL THEN 'unmanaged' WHEN disk.path IS NULL THEN 'missing' WHEN want.path IS NULL THEN 'stale' WHEN disk.h = want.h THEN 'synced' WHEN lock.h = disk.h THEN 'outdated' ELSE 'drifted' END AS status
-FROM want FULL OUTER JOIN lock ON lock.path = want.path FULL OUTER JOIN disk ON disk.path = coalesce(want.path, lock.path)"""
+SELECT lock.path, CASE WHEN disk.path IS NULL THEN 'missing' WHEN disk.h = lock.h THEN 'synced' ELSE 'artifact drifted' END AS status FROM lock LEFT JOIN disk ON disk.path = lock.path"""
 
 
 def q_line_diff(d):
@@ -294,7 +376,8 @@ QUERIES = {
     "quality_gate": q_quality_gate,
     "gc_candidates": q_gc,
     "kernel_assess": q_kernel_assess,
-    "body_domain_mix": q_domains,
+    "visible_candidates": q_visible,
+    "contextual_penalty": q_contextual_penalty,
     "candidate_metadata": q_candidate_tags,
     "value_scores": q_value_scores,
     "preference_match": q_preferences,

@@ -57,45 +57,39 @@ u1 AS (SELECT id, conv_id, turn, origin, {d.placed('parts')} FROM u0),
 unit AS (SELECT id * 1000000 + place AS id, conv_id, turn, origin, e AS text, lower(e) AS l FROM u1)"""
 
 
-def classified(d, rows: str = "chunk") -> str:
-    """The corpus and CTE ``c``: classification and the gate's reason of its texts, or of their sentences (``unit``)."""
+def classified(d) -> str:
+    """The corpus and CTE ``c``: classification and the gate's reason of its texts."""
+    return classified_rows(d, corpus(d), "chunk")
+
+
+def classified_rows(d, source: str, rows: str) -> str:
+    """CTE ``c`` over the rows that ``source`` defines."""
     r = Rules(d)
-    return f"""{_units(d) if rows == 'unit' else corpus(d)},
+    return f"""{source},
 c1 AS (SELECT *, {once(d, r.signal())} AS signal, {r.gate()} AS gate FROM {rows}),
 c2 AS (SELECT *, {r.artifact('signal')} AS artifact_kind FROM c1),
 c3 AS (SELECT *, {once(d, r.hardness('signal', 'artifact_kind'))} AS hardness, {r.activation('artifact_kind')} AS activation FROM c2),
 c AS (SELECT *, {r.control('signal', 'hardness')} AS control FROM c3)"""
 
 
-def scored(d, rows: str = "chunk") -> str:
+def scored(d) -> str:
+    return scored_rows(d, corpus(d), "chunk")
+
+
+def scored_rows(d, source: str, rows: str) -> str:
     """Classified rows and CTE ``s``: terms, score and disposition. Floats are added in the order of the terms' names."""
     terms = Rules(d).terms()
     total = terms[0][0]
     for name, _ in terms[1:]:
         total = f"({total} + {name})"
     out = "gate IS NOT NULL OR signal = ''"
-    return f"""{classified(d, rows)},
+    return f"""{classified_rows(d, source, rows)},
 t AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in terms)} FROM c),
 s0 AS (SELECT *, {once(d, f'CASE WHEN {out} THEN CAST(0 AS FLOAT) ELSE {total} END')} AS score FROM t),
 s AS (SELECT *, CASE WHEN {out} THEN 'reject' WHEN score >= CAST(3.2 AS FLOAT) THEN 'candidate' WHEN score >= CAST(2.4 AS FLOAT) THEN 'borderline' ELSE 'reject' END AS disposition,
   CASE WHEN gate IS NOT NULL THEN '' ELSE signal END AS matched_signal FROM s0)"""
 
 
-def candidates(d) -> str:
-    """Scored sentences that make a candidate: CTE ``cand``. Every sentence of every text is judged by itself."""
-    r = Rules(d)
-    body = "replace(replace(text, '；', ';'), '“', '')"
-    return f"""{scored(d, 'unit')},
-cand0 AS (SELECT id, conv_id, turn, origin, text, l, matched_signal, artifact_kind, hardness, score,
-    {trimmed(d, body)} AS body FROM s WHERE disposition <> 'reject' AND {d.bytes_of}(text) BETWEEN 12 AND 400 AND NOT {r.low_value()}),
-cand AS (SELECT id, conv_id, turn, origin, text, l, matched_signal, artifact_kind, hardness, score, body,
-    greatest(least({d.real('score / CAST(5 AS FLOAT)')}, CAST(0.94 AS FLOAT)), CAST(0.7 AS FLOAT)) AS confidence,
-    concat('score:', matched_signal) AS template,
-    CASE WHEN matched_signal IN ('constraint', 'correction') THEN 'constraint' WHEN matched_signal IN ('procedure', 'template', 'validation') THEN 'workflow' ELSE 'preference' END AS kind,
-    CASE WHEN contains(l, '所有项目') OR contains(l, 'for all') OR contains(l, '跨项目') THEN 'global' WHEN contains(l, 'codex') OR contains(l, 'claude') THEN 'agent' ELSE 'project' END AS scope,
-    CASE WHEN {Rules(d).any(M.COLLABORATION_TOPICS)} THEN 'collaboration_preference' WHEN {Rules(d).any(M.PRINCIPLE_TOPICS)} THEN 'cross_project_principle' ELSE 'project_rule' END AS memory_tier FROM cand0)"""
-
-
 def q_redact_documents(d):
     return f"SELECT doc_id, {d.sha('body')} AS body_sha, body <> text AS redacted FROM (SELECT doc_id, text, {redacted(d, 'text')} AS body FROM <documents>) x"
 
@@ -195,14 +189,6 @@ def q_disposition_mix(d):
     return f"{scored(d)} SELECT origin, disposition, matched_signal, count(*) AS n, round(avg(CAST(score AS DOUBLE)), 6) AS mean_score FROM s GROUP BY origin, disposition, matched_signal"
 
 
-def q_candidates(d):
-    return f"{candidates(d)} SELECT id, concat(CASE WHEN scope = 'global' THEN 'global:' WHEN scope = 'agent' THEN 'agent:' ELSE 'project:' END, {slug(d, 'substr(body, 1, 24)')}) AS candidate_id, kind, scope, memory_tier, template, round(CAST(confidence AS DOUBLE), 4) AS confidence, body FROM cand"
-
-
-def q_tier_mix(d):
-    return f"{candidates(d)} SELECT memory_tier, artifact_kind, kind, scope, count(*) AS n, round(min(CAST(confidence AS DOUBLE)), 4) AS least FROM cand GROUP BY memory_tier, artifact_kind, kind, scope"
-
-
 def q_weak_rules(d):
     return f"{_sentence_rows(d)}, w AS (SELECT l AS body_key, min(id) AS first_id, count(*) AS n, max(CASE WHEN {Rules(d).explicit()} THEN 1 ELSE 0 END) AS marked FROM sent WHERE {d.bytes_of}(sentence) BETWEEN 18 AND 220 AND NOT {Rules(d).low_value()} GROUP BY l) SELECT body_key, first_id, n, marked = 1 AS marked FROM w WHERE n >= 2 OR marked = 1"
 
@@ -225,48 +211,11 @@ def q_similar_top5(d):
     return f"{_cards(d)} SELECT id, card_id, rk, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, card_id) AS rk FROM sim WHERE similarity >= 0.35) x WHERE rk <= 5"
 
 
-def q_first_duplicate(d):
-    return f"{_cards(d)} SELECT id, min(card_id) AS duplicate_of, round(max(similarity), 6) AS best FROM sim WHERE similarity > 0.5 GROUP BY id"
-
-
 def q_jaccard_pairs(d):
     """Similarity of every sentence and card that share a token; all other pairs have none."""
     return f"{_cards(d)} SELECT id, card_id, round(similarity, 6) AS similarity FROM sim"
 
 
-# -- ranking
-
-
-def q_inbox(d):
-    return f"{candidates(d)} SELECT id, row_number() OVER (PARTITION BY scope ORDER BY confidence DESC, CASE WHEN template IS NOT NULL THEN 0 ELSE 1 END, turn DESC, id) AS place, scope FROM cand"
-
-
-def q_diverse_topk(d):
-    """Of each conversation group the ten best: first one of each cluster in key order, then by score."""
-    return f"""{candidates(d)},
-r AS (SELECT id, conv_id % 5 AS run, concat_ws(':', memory_tier, kind, scope) AS cluster, confidence FROM cand),
-f AS (SELECT *, row_number() OVER (PARTITION BY run, cluster ORDER BY confidence DESC, id) AS in_cluster FROM r),
-o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN in_cluster = 1 THEN 0 ELSE 1 END, CASE WHEN in_cluster = 1 THEN cluster ELSE '' END, confidence DESC, id) AS picked FROM f)
-SELECT run, id, cluster, row_number() OVER (PARTITION BY run ORDER BY confidence DESC, id) AS place FROM o WHERE picked <= 10"""
-
-
-def q_preview_truncate(d):
-    """At most seven that are no project rules, filled with project rules up to ten, for each run."""
-    return f"""{candidates(d)},
-u AS (SELECT *, conv_id % 5 AS run, row_number() OVER (PARTITION BY conv_id % 5, memory_tier, scope, lower(body) ORDER BY confidence DESC, id) AS copy FROM cand),
-r AS (SELECT *, row_number() OVER (PARTITION BY run, memory_tier = 'project_rule' ORDER BY confidence DESC, id) AS rk FROM u WHERE copy = 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN memory_tier <> 'project_rule' AND rk <= 7 THEN 0 ELSE 1 END, confidence DESC, id) AS picked FROM r)
-SELECT run, id, memory_tier, picked FROM k WHERE picked <= 10"""
-
-
-def q_prefilter(d):
-    """Material within a byte budget: best first, up to 40, until the first that does not fit."""
-    r = Rules(d)
-    return f"""{corpus(d)}, w AS (SELECT id, conv_id % 5 AS run, {d.bytes_of}(text) AS bytes, 4 * {r.count(M.PRINCIPLE_TOPICS)} + {r.count(M.EXPLICIT_MEMORY)} AS score FROM chunk),
-o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, id DESC) AS rk, sum(bytes) OVER (PARTITION BY run ORDER BY score DESC, id DESC ROWS UNBOUNDED PRECEDING) AS upto FROM w)
-SELECT run, id, rk, CAST(score AS BIGINT) AS score, CAST(upto AS BIGINT) AS upto FROM o WHERE rk <= 40 AND (rk = 1 OR upto <= 4000)"""
-
-
 QUERIES = {
     "redact_secrets_documents": q_redact_documents,
     "redact_secrets_pages": q_redact_pages,
@@ -287,14 +236,7 @@ QUERIES = {
     "score_breakdown": q_score_terms,
     "score_disposition": q_scores,
     "disposition_mix": q_disposition_mix,
-    "candidates_local": q_candidates,
-    "tier_mix": q_tier_mix,
     "weak_rule_recurrence": q_weak_rules,
     "top5_similar": q_similar_top5,
-    "existing_dup_match": q_first_duplicate,
     "jaccard_pairs": q_jaccard_pairs,
-    "candidate_inbox_sort": q_inbox,
-    "diverse_topk": q_diverse_topk,
-    "preview_truncate": q_preview_truncate,
-    "prefilter_top40": q_prefilter,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,47 +15,47 @@ from ..operators.cosine import cosine_top
 from ..operators.dedupe import batch_dedupe, greedy_dedupe
 from ..sources.logs import messages
 from ..streaming import observations
-from . import mining
+from . import generate, mining
 from .corpus import corpus
-from .dialect import run
+from .ranking import cluster
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chunks(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, lambda d: f"{corpus(d)} SELECT * FROM chunk")
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, lambda d: f"{mining.candidates(d)} SELECT *, {mining.slug(d, 'substr(body, 1, 24)')} AS title FROM cand")
+def _candidates(run, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, lambda d: f"{generate.candidates(d)} SELECT *, {cluster(d)} AS cluster FROM cand")
 
 
-def split_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_atomic(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = run(spark, sf_dir, lambda d: f"{mining._sentence_rows(d)} SELECT id, sentence FROM sent")
     return rows.select("id", F.posexplode(atomic_parts(F.col("sentence"))).alias("part", "text"))
 
 
-def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).select(F.col("id").alias("seq"), F.concat_ws(":", "memory_tier", F.lower("body")).alias("key"), "title", "body", "template", "confidence", "kind", "scope")
+def greedy(run, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(run, spark, sf_dir).select(F.col("id").alias("seq"), F.concat_ws(":", "memory_tier", F.when(F.col("template").isin("project-improvement", "high-value-prompt"), F.lower("title")).otherwise(F.lower("body"))).alias("key"), "title", "body", "template", "confidence", "kind", "scope")
     return greedy_dedupe(rows).select("seq", "kind", "scope", "title")
 
 
-def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).select(F.col("id").alias("seq"), (F.col("conv_id") % 5).alias("run"), "body")
+def batches(run, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(run, spark, sf_dir).select(F.col("id").alias("seq"), F.col("conv_id").alias("run"), "body")
     return batch_dedupe(rows).select("run", "seq")
 
 
-def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).select((F.col("conv_id") % 5).alias("run"), F.col("id").alias("seq"), F.col("confidence").cast("double").alias("confidence"), F.concat_ws(":", "memory_tier", "kind", "scope").alias("cluster"), F.col("memory_tier").alias("tier"))
+def balanced(run, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(run, spark, sf_dir).select(F.col("conv_id").alias("run"), F.col("id").alias("seq"), F.col("confidence").cast("double").alias("confidence"), "cluster", F.col("memory_tier").alias("tier"))
     return balanced_topk(rows).select("run", "place", "seq", "tier")
 
 
-def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cosine(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of every row."""
     return cosine_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingest(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as log lines of several shapes, and read back as messages."""
-    rows = _chunks(spark, sf_dir)
+    rows = _chunks(run, spark, sf_dir)
     block = F.struct(F.when(F.col("turn") % 3 == 0, "tool_result").otherwise("text").alias("type"), F.col("text"))
     flat = F.to_json(F.struct(F.col("origin").alias("role"), F.col("text").alias("content")))
     nested = F.to_json(F.struct(F.col("origin").alias("type"), F.struct(F.array(block).alias("content")).alias("message")))
@@ -63,7 +64,7 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(rows.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), line.alias("line")))
 
 
-def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loamworks-")).rstrip("/") + f"/{uuid.uuid4().hex}"
     observations.stream_into(observations.conversations(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("id", "origin", "body")
@@ -76,6 +77,11 @@ s AS (SELECT query_id, dot.vec_id, CASE WHEN a.n = 0 OR b.n = 0 THEN 0 ELSE d /
 SELECT query_id, vec_id, rk, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rk FROM s) x WHERE rk <= 5"""
 
 
+def queries(run) -> dict:
+    """``run`` runs a query text over the tables of a folder."""
+    return {name: partial(made, run) for name, made in QUERIES.items()}
+
+
 QUERIES = {
     "split_atomic": split_atomic,
     "greedy_dedupe": greedy,

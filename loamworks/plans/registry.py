@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import dialect, lifecycle, mining, ordered, upkeep
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SHARED = {**mining.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES}
+from ..operators.atomic import atomic_parts_of_all
+from . import dialect, generate, lifecycle, mining, ordered, ranking, upkeep
+
+SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES}
+
+
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all sentences of the corpus, numbered within their text."""
+    rows = dialect.run(spark, sf_dir, generate.sentence_arrays)
+    return rows.select("id", "conv_id", "turn", "origin", F.posexplode(atomic_parts_of_all(F.col("parts"))).alias("place", "text"))
+
+
+def run(spark: SparkSession, sf_dir: str, made) -> DataFrame:
+    more = {"atoms": atoms(spark, sf_dir)} if "<atoms>" in made(dialect.Spark) else {}
+    return dialect.run(spark, sf_dir, made, **more)
 
 
 def _run(made, spark, sf_dir):
-    return dialect.run(spark, sf_dir, made)
+    return run(spark, sf_dir, made)
 
 
 def queries() -> dict:
-    return {name: partial(_run, made) for name, made in SHARED.items()} | ordered.QUERIES
+    return {name: partial(_run, made) for name, made in SHARED.items()} | ordered.queries(run)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,8 @@ from ..functions.rules import Rules
 from .corpus import corpus
 from .dialect import found, json_text
 from .lifecycle import N
-from .mining import _cards, candidates, slug, trimmed
+from .generate import candidates
+from .mining import _cards, slug, trimmed
 
 
 def q_frontmatter(d):

@@ -1,10 +1,12 @@
-"""Every query with SQL gives the rows that DuckDB gives; none is empty."""
+"""Every query with SQL gives the rows that DuckDB gives; none is empty. LOAMWORKS_SF names another folder of tables."""
+
+import os
 
 import duckdb
 import pytest
 from loamworks.plans import dialect, registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("LOAMWORKS_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
