@@ -45,6 +45,8 @@ from .common import free_names, stash, table, without
 LENGTH, K = 50, 24
 #: Bytes of text in a batch, and bytes of text for each bucket of entries.
 BATCH, BUCKET = 3_000_000, 16_000_000
+#: Least number of buckets, so that small inputs are spread out like large ones.
+BUCKETS = 32
 #: Entries of one anchor beyond which its strings are dealt out one by one.
 MANY = 4096
 #: Stretches whose suffixes are sorted together.
@@ -530,7 +532,7 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     docs = rest.withColumns({d_: F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)), h_: F.xxhash64(whole)})
     slim = docs.select(F.col(d_).alias("d"), F.col(h_).alias("h"), whole.alias("text"))
     facts = slim.agg(F.sum(F.octet_length("text")).alias("n"), F.max(F.octet_length("text")).alias("longest")).first()
-    buckets, packing = max(8, -(-(facts["n"] or 0) // BUCKET)), Packing(facts["longest"] or 0, length)
+    buckets, packing = max(BUCKETS, -(-(facts["n"] or 0) // BUCKET)), Packing(facts["longest"] or 0, length)
     packed = entries(slim, buckets, packing, length, batch_bytes)
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
