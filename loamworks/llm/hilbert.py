@@ -12,8 +12,9 @@ share of the rows. Work is cut into blocks of bounded size: a block of candidate
 whose windows touch it.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part; shorter vectors count as ending in
-zeros; repeated rows are rows of their own; equal scores go to the smaller vec_id; fewer candidates than asked for give all;
-tables without queries or vectors give no rows.
+zeros; repeated rows are rows of their own; equal scores go to the smaller vec_id, a null one is the last; a query of a null vec_id
+is searched like any other; fewer candidates than asked for give all; tables without queries or vectors give no rows; other columns
+do not matter.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
-from .vectors import BLOCK, QUERIES, apart, best, matrix, numbered, top_rows
+from .vectors import BLOCK, QUERIES, apart, best, matrix, named, numbered, top_rows
 
 CURVES, DIMS, BITS = 8, 6, 10
 #: Rows on each side of a query on each curve, as a part of all rows.
@@ -100,7 +101,7 @@ def ranked(keyed: DataFrame) -> DataFrame:
 
 def neighbours(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", vec_id: str = "vec_id", window: float = WINDOW) -> DataFrame:
     """query_id, rank, vec_id, score of the k rows of the largest inner product that the curves find for each query."""
-    rows = numbered(df, vector, vec_id, zero_too=False).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
+    rows = numbered(df, vector, vec_id, zero_too=False, is_query=is_query)
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(square).alias("most"), F.avg(square).alias("mean"), F.count_if("is_query").alias("q")).first()
     n, width = facts["n"], facts["width"] or 1
@@ -133,7 +134,7 @@ def neighbours(df: DataFrame, is_query: Column, k: int = 20, vector: str = "embe
     by = ["curve", "block", "slice"]
     found = apart(asked).groupBy(*by).cogroup(apart(there).groupBy(*by)).applyInPandas(compare, "qid long, query_id long, rid long, vec_id long, score double")
     # the same pair may come from several curves
-    return best(found.groupBy("qid", "query_id", "rid", "vec_id").agg(F.max("score").alias("score")), k)
+    return named(best(found.groupBy("qid", "query_id", "rid", "vec_id").agg(F.max("score").alias("score")), k))
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
 
 #: Vectors of one block of candidates, and queries compared with a block at once in one group.
 BLOCK, QUERIES = 8192, 4096
+#: Stands for a null vec_id within the searches, where columns of numbers may hold no nulls.
+NO_ID = (1 << 63) - 1
 
 
-def numbered(df: DataFrame, vector: str, vec_id: str, zero_too: bool) -> DataFrame:
-    """rid, vec_id and vector (doubles) of the rows that take part. rid tells repeated rows apart."""
-    v = F.col(vector).cast("array<double>")
+def numbered(df: DataFrame, vector: str, vec_id: str, zero_too: bool, is_query: Column) -> DataFrame:
+    """rid, vec_id, vector (doubles) and is_query of the rows that take part. rid tells repeated rows apart; a null vec_id is NO_ID."""
+    rows = df.select(F.coalesce(F.col(f"`{vec_id}`").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = rows.filter(F.col("vector").isNotNull()).filter(_fine(zero_too))
+    return stash(rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "vector", "is_query"))
+
+
+def _fine(zero_too: bool) -> Column:
+    v = F.col("vector")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    if not zero_too:
-        fine = fine & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(vec_id).alias("vec_id"), v.alias("vector")).filter(F.col("vector").isNotNull() & fine)
-    return stash(rows.withColumn("rid", F.monotonically_increasing_id()))
+    return fine if zero_too else fine & F.exists(v, lambda x: x != 0)
+
+
+def named(found: DataFrame) -> DataFrame:
+    """With null ids again."""
+    return found.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("query_id", "vec_id")})
 
 
 def apart(df: DataFrame) -> DataFrame:
@@ -38,7 +48,7 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
 
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query: highest score, then least vec_id. ``found``: qid, query_id, rid, vec_id, score."""
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "rid")
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id", "rid")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score", "qid", "rid")
 

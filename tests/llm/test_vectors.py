@@ -48,12 +48,11 @@ def test_few(spark):
     assert H.neighbours(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
 
 
-def test_exact(spark, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK", 200)
+def test_exact(spark):
     good, bad = rows()
     df = spark.createDataFrame(good + bad + [good[100]], SCHEMA)
     got = {}
-    for r in K.exact_top(df, F.col("vec_id") % 100 == 0).collect():
+    for r in K.exact_top(df, F.col("vec_id") % 100 == 0, block=200).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     kept = good + [bad[-1], good[100]]
     x = np.floor(np.array([k[1] for k in kept]) * 1024).astype(np.int64)
@@ -77,3 +76,46 @@ def test_tree_prunes():
     s = p @ p[5]
     s[5] = -np.inf
     assert [t[0] for t in top] == sorted(s, reverse=True)[:10]
+
+
+def brute(rows, k, queries):
+    """(query row, rank, candidate row, score) by comparing all, in whole numbers of any size."""
+    import math
+
+    v = [[math.floor(x * 1024) for x in r[1]] for r in rows]
+    order = lambda i: (1 << 63) - 1 if rows[i][0] is None else rows[i][0]
+    out = []
+    for q in queries:
+        s = {i: sum(a * b for a, b in zip(v[q], v[i])) for i in range(len(rows)) if i != q}
+        out += [(rows[q][0], n + 1, rows[i][0], s[i]) for n, i in enumerate(sorted(s, key=lambda i: (-s[i], order(i)))[:k])]
+    return sorted(out, key=str)
+
+
+def test_large_numbers_and_null_ids(spark):
+    big = float(1 << 17) + 1 / 1024
+    rows = [((1 << 60) + i, [big + i, 1.0, -3.0], 0, 0) for i in range(40)] + [(None, [big, 2.0, 5.0], 0, 0), (-5, [-big, 0.0, 0.0], 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rid int, region string")
+    got = K.exact_top(df, F.col("vec_id").isNull() | (F.col("vec_id") % 10 == 0), k=5, block=8)
+    asked = [i for i, r in enumerate(rows) if r[0] is None or r[0] % 10 == 0]
+    assert sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()), key=str) == brute(rows, 5, asked)
+    near = H.neighbours(df, F.col("vec_id").isNull(), k=3).collect()
+    assert len(near) == 3 and {r.query_id for r in near} == {None} and all(r.vec_id >= 1 << 60 for r in near)
+
+
+def test_a_hot_vector_and_clusters(spark):
+    """A third of all rows are one vector; regions of clusters far off are not searched, and nothing is lost."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0, -1.0, 0.5], 0, 0) for i in range(300)]
+    centres = rng.normal(size=(6, 4)) * 50
+    rows += [(300 + i, (centres[i % 6] + rng.normal(size=4)).tolist(), 0, 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank int")
+    got = K.exact_top(df, F.col("vec_id") % 100 == 0, k=10, block=50)
+    assert sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()), key=str) == brute(rows, 10, [i for i in range(900) if i % 100 == 0])
+
+
+def test_cuts():
+    rng = np.random.default_rng(1)
+    p = rng.normal(size=(1000, 3))
+    region = K.region_of(p, K.median_cuts(p, 8))
+    assert sorted(np.bincount(region)) == [125] * 8
+    assert K.median_cuts(np.ones((9, 2)), 4) == [] and (K.region_of(np.ones((9, 2)), []) == 0).all()
