@@ -174,10 +174,7 @@ class Reader:
 
     def plain(self, word: str) -> str:
         low = word.lower().strip(EDGES)
-        if not low.isalpha() or suspect(low):
-            if suspect(low):
-                return restore(low, self.costs)
-        return low
+        return restore(low, self.costs) if suspect(low) else low
 
     def words(self, text: str) -> set[str]:
         """Distinct words as written, and runs of single signs, marked."""
@@ -244,8 +241,8 @@ def learn(docs: DataFrame, labels: DataFrame, costs: np.ndarray) -> tuple[dict[s
     """Evidence by feature, and offset and slope of the logistic curve."""
     train = docs.select("doc_id", "text").join(F.broadcast(training_rows(labels)), "doc_id")  # TRAIN_ROWS pairs of numbers at most
 
-    rows = train.select("doc_id", "text", "toxic")
-    totals = train.select("doc_id", "toxic").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    rows = stash(train.select("doc_id", "text", "toxic"))  # texts are read over and over while learning
+    totals = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     t, n = totals["t"] or 0, totals["n"]
     if not 0 < t < n:
         return {}, (-20.0 if not t else 20.0), 0.0
