@@ -1,7 +1,8 @@
 """Connected components of an undirected graph held as a table of edges, by alternating large-star and small-star rounds.
 
-Every round is a minimum per node and a join on it, so no node's neighbours are ever gathered in one place; rounds end in a
-written table, and the driver sees only a count and a checksum.
+Every round is a minimum per node and a join on it: a node's neighbours are never held as one list. The edges of a node with very
+many stand under one key of the join, which Spark's adaptive skew join splits over tasks. Rounds end in a written table, and the
+driver sees only a count and a checksum.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, table, without
+from .common import free_names, stash, table, without
 from .components import components
 
 SEGMENTS = (22, 21, 21)
@@ -214,10 +214,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The table with one row of each component: the least by doc_id (null last), then by a hash of the text."""
-    mark = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    marked = df.withColumn("_mark", mark)
-    found = near_duplicates(marked, text, "_mark")
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.to_json("doc_id").alias("_name")).distinct()
-    rows = marked.withColumn("_name", F.to_json("_mark")).join(keep, "_name", "left_semi")
-    return rows.dropDuplicates(["_name"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The table with one row of each component: the least by doc_id (null last), then by a hash of the text. Rows that repeat each
+    other in both are one; columns of any name stay as they are."""
+    mark_, name_ = free_names(df, "mark", "name")
+    content = F.col(f"`{text}`")
+    mark = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.coalesce(content, F.lit(""))).alias("h"))
+    marked = df.withColumn(mark_, mark)
+    found = near_duplicates(marked.select(mark_, content.alias("text")), "text", mark_)
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.to_json("doc_id").alias(name_)).distinct()
+    rows = marked.withColumn(name_, F.to_json(mark_)).join(keep, name_, "left_semi")
+    return rows.dropDuplicates([name_]).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -6,6 +6,7 @@ import corpus_pipeline as P
 import sentencepiece as spm
 from loamworks.llm import sentencepieces
 from loamworks.llm.common import stash
+from pyspark.sql import functions as F
 
 
 def documents(n=240):
@@ -53,7 +54,25 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, P.run(spark, str(tmp_path)).collect())) == sorted(map(str, coded))
 
 
-def test_empty(spark):
+def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in P.STAGES[1:]:
-        assert stage(spark, docs, "").count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Columns named like those that operators use inside go through all stages but the last."""
+    own = ("_score", "_mark", "_name", "_copy", "p", "key", "draw", "whole", "edge", "size", "target", "copies", "taken", "source_size", "_whole", "_spans", "base_spans", "score", "fp", "_own_draw")
+    rows = [(i, f"some words of document number {i} " * 9, "en", "s", 0) for i in range(30)] + [(None, None, None, None, None)] * 2
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.select("*", *[F.lit(f"mine {c}").alias(c) for c in own])
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = stash(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns, name
+        got = docs.collect()
+        assert got and all(r[c] == f"mine {c}" for r in got for c in own), name
