@@ -69,7 +69,7 @@ def test_columns_of_any_name(spark, tmp_path):
     rows = [(i, f"some words of document number {i} " * 9, "en", "s", 0) for i in range(30)] + [(None, None, None, None, None)] * 2
     plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs = plain.select("*", *[F.lit(f"mine {c}").alias(c) for c in own])
-    spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*[(i, 1, int(i == 2)) for i in range(20)], (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     columns = docs.columns
     for name, stage in P.STAGES[:-1]:
         docs = stash(stage(spark, docs, str(tmp_path)))
