@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.atomic import atomic_parts_of_all
-from . import dialect, generate, lifecycle, mining, ordered, ranking, upkeep
+from . import dialect, generate, lifecycle, material, mining, ordered, ranking, upkeep
 
-SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES}
+SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES, **material.QUERIES}
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
