@@ -49,21 +49,36 @@ gl2 AS (SELECT * FROM gl1 ORDER BY score DESC, length(line), line LIMIT 64)
 SELECT line, score, row_number() OVER (ORDER BY score DESC, length(line), line) AS place FROM gl2"""
 
 
-def middle_cut(d, x: str, head: int, tail: int) -> str:
-    """A text of more than head + tail + 32 bytes as its first and last bytes at whole signs; others as they are."""
-    size = f"{d.bytes_of}({x})"
+def _cuts(d, x: str):
+    """SQL for a part of a text by bytes, and for a test whether the byte at a place (from 1) continues a sign."""
     if d.__name__ == "Spark":
         raw = f"CAST({x} AS BINARY)"
-        part = lambda a, n: f"decode(substring({raw}, {a}, {n}), 'UTF-8')"
+        part = lambda at, n: f"decode(substring({raw}, {at}, {n}), 'UTF-8')"
         byte = lambda at: f"hex(substring({raw}, {at}, 1))"
     else:
         raw = f"encode({x})"
-        part = lambda a, n: f"decode({raw}[CAST({a} AS BIGINT):CAST({a} AS BIGINT) + {n} - 1])"
+        part = lambda at, n: f"decode({raw}[CAST({at} AS BIGINT):CAST({at} AS BIGINT) + {n} - 1])"
         byte = lambda at: f"hex({raw}[{at}:{at}])"
-    inside = lambda at: f"{byte(at)} BETWEEN '80' AND 'BF'"  # noqa: E731  (a byte that continues a sign)
-    first = "CASE " + " ".join(f"WHEN NOT ({inside(head + 1 - k)}) THEN {part('1', str(head - k))}" for k in range(4)) + " END"
-    last = "CASE " + " ".join(f"WHEN NOT ({inside(f'({size} - {tail - k - 1})')}) THEN {part(f'({size} - {tail - k - 1})', str(tail - k))}" for k in range(4)) + " END"
-    return f"CASE WHEN {size} <= {head + tail + 32} THEN {x} ELSE concat({first}, {d.text(chr(10) + '...' + chr(10))}, {last}, {d.text(chr(10))}) END"
+    return part, lambda at: f"{byte(at)} BETWEEN '80' AND 'BF'"
+
+
+def _head(d, x: str, n: int) -> str:
+    """The whole signs within the first n bytes of a longer text."""
+    part, inside = _cuts(d, x)
+    return "CASE " + " ".join(f"WHEN NOT ({inside(n + 1 - k)}) THEN {part(1, n - k)}" for k in range(4)) + " END"
+
+
+def head_bytes(d, x: str, n: int) -> str:
+    return f"CASE WHEN {d.bytes_of}({x}) <= {n} THEN {x} ELSE {_head(d, x, n)} END"
+
+
+def middle_cut(d, x: str, head: int, tail: int) -> str:
+    """A text of more than head + tail + 32 bytes as its first and last bytes at whole signs; others as they are."""
+    part, inside = _cuts(d, x)
+    size = f"{d.bytes_of}({x})"
+    at = [f"({size} - {tail - k - 1})" for k in range(4)]
+    last = "CASE " + " ".join(f"WHEN NOT ({inside(p)}) THEN {part(p, tail - k)}" for k, p in enumerate(at)) + " END"
+    return f"CASE WHEN {size} <= {head + tail + 32} THEN {x} ELSE concat({_head(d, x, head)}, {d.text(chr(10) + '...' + chr(10))}, {last}, {d.text(chr(10))}) END"
 
 
 def entry(d, source: str, agent: str, evidence: str, body: str) -> str:
