@@ -122,7 +122,8 @@ def q_candidate_tags(d):
     return f"{corpus(d)} SELECT id, CASE WHEN {d.size}({found}) = 0 THEN 'rule' ELSE {d.join}({cut.replace('{x}', found)}, ',') END AS tags, CASE WHEN {d.matches('text', '[一-鿿]')} THEN 'zh' ELSE 'en' END AS language, substr({trimmed(d, 'text')}, 1, 72) AS brief FROM chunk"
 
 
-def q_value_scores(d):
+def valued(d) -> str:
+    """CTE ``v``: value scores of candidates with their confidence."""
     r = Rules(d)
     f = lambda c, a, b: f"CAST(CASE WHEN {c} THEN {a} ELSE {b} END AS DOUBLE)"
     durability = f(r.any(("always", "以后", "默认", "每次", "prefer", "must", "should")), 0.92, 0.72)
@@ -130,8 +131,14 @@ def q_value_scores(d):
     reuse = f"CAST(CASE memory_tier WHEN 'cross_project_principle' THEN 0.94 WHEN 'collaboration_preference' THEN 0.88 ELSE CASE WHEN {wide} THEN 0.82 ELSE 0.42 END END AS DOUBLE)"
     trust = "CAST(CASE origin WHEN 'user' THEN 1.0 WHEN 'assistant' THEN 0.60 WHEN 'artifact' THEN 0.70 ELSE 0.80 END AS DOUBLE)"
     place = "CAST(CASE memory_tier WHEN 'cross_project_principle' THEN 0.94 WHEN 'collaboration_preference' THEN 0.86 ELSE 0.28 END AS DOUBLE)"
-    return f"""{candidates(d)}, v AS (SELECT id, confidence, {durability} AS durability, {place} AS locality, CAST(0.40 AS DOUBLE) AS recurrence, {reuse} AS reusability, {trust} AS source_trust, {f(f"{d.bytes_of}(body) BETWEEN 24 AND 220", 0.82, 0.58)} AS specificity FROM cand)
-SELECT id, durability, locality, recurrence, reusability, source_trust, specificity, round(CAST(confidence AS DOUBLE) + (durability + locality + recurrence + reusability + source_trust + specificity) / 6, 4) AS selection FROM v"""
+    return f"""{candidates(d)}, v AS (SELECT id, confidence, {durability} AS durability, {place} AS locality, CAST(0.40 AS DOUBLE) AS recurrence, {reuse} AS reusability, {trust} AS source_trust, {f(f"{d.bytes_of}(body) BETWEEN 24 AND 220", 0.82, 0.58)} AS specificity FROM cand)"""
+
+
+SELECTION = "round(CAST(confidence AS DOUBLE) + (durability + locality + recurrence + reusability + source_trust + specificity) / 6, 4)"
+
+
+def q_value_scores(d):
+    return f"{valued(d)} SELECT id, durability, locality, recurrence, reusability, source_trust, specificity, {SELECTION} AS selection FROM v"
 
 
 def q_preferences(d):
