@@ -30,7 +30,7 @@ def q_judge_gate(d):
     """Judgments of an item, scores in tenths: the majority, ties keep; reasons in their order; means of the scores there are. An item goes if it is
     voted out, too noisy (over 0.35) or, outside project rules, not grounded (under 0.7). Reasons are different texts, so few."""
     return f"""WITH j AS (SELECT user_id AS item, event_id, event_type = 'error' AS rejects, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 11 END AS grounded, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 8 END AS noise FROM <events>),
-a AS (SELECT item, sum(CASE WHEN rejects THEN 1 ELSE 0 END) AS against, count(*) AS votes, CAST(sum(grounded) AS DOUBLE) / (10 * count(grounded)) AS grounded, CAST(sum(noise) AS DOUBLE) / (10 * count(noise)) AS noise, CASE item % 3 WHEN 0 THEN 'project_rule' ELSE 'collaboration_preference' END AS memory_tier FROM j GROUP BY item),
+a AS (SELECT item, sum(CASE WHEN rejects THEN 1 ELSE 0 END) AS against, count(*) AS votes, CAST(sum(grounded) AS DOUBLE) / nullif(10 * count(grounded), 0) AS grounded, CAST(sum(noise) AS DOUBLE) / nullif(10 * count(noise), 0) AS noise, CASE item % 3 WHEN 0 THEN 'project_rule' ELSE 'collaboration_preference' END AS memory_tier FROM j GROUP BY item),
 why AS (SELECT user_id AS item, event_type, min(event_id) AS first_at FROM <events> GROUP BY user_id, event_type),
 w AS (SELECT item, replace({d.listed('event_type', 'first_at')}, chr(10), '; ') AS reasons FROM why GROUP BY item)
 SELECT a.item, votes, reasons, grounded, noise, CASE WHEN 2 * against > votes THEN 'voted out' WHEN memory_tier <> 'project_rule' AND coalesce(grounded, 1e0) < 0.7e0 THEN 'weak grounding' WHEN coalesce(noise, 0e0) > 0.35e0 THEN 'noise' ELSE 'kept' END AS outcome FROM a JOIN w ON w.item = a.item"""
