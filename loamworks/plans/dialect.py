@@ -67,9 +67,9 @@ class Spark:
         return f"posexplode({x}) AS (place, e)"
 
     @staticmethod
-    def listed(x: str, by: str) -> str:
-        """x of a group as a string of lines in the order of ``by``."""
-        return f"array_join(transform(array_sort(collect_list(struct({by}, {x} AS listed))), e -> e.listed), '\\n')"
+    def listed(x: str, by: str, between: str = "\n") -> str:
+        """x of a group as a string, of lines if nothing else is named, in the order of ``by``."""
+        return f"array_join(transform(array_sort(collect_list(struct({by}, {x} AS listed))), e -> e.listed), {Spark.text(between)})"
 
 
 class Duck:
@@ -124,8 +124,8 @@ class Duck:
         return f"unnest(range(len({x}))) AS place, unnest({x}) AS e"
 
     @staticmethod
-    def listed(x: str, by: str) -> str:
-        return f"string_agg({x}, chr(10) ORDER BY {by})"
+    def listed(x: str, by: str, between: str = "\n") -> str:
+        return f"string_agg({x}, {Duck.text(between)} ORDER BY {by})"
 
 
 def run(spark: SparkSession, sf_dir: str, made, **more: DataFrame) -> DataFrame:

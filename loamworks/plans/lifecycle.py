@@ -114,12 +114,16 @@ def q_kernel_assess(d):
     return f"{corpus(d)} SELECT id, CASE WHEN {r.any(M.KERNEL_RULE)} OR {r.any(M.KERNEL_HIGH)} THEN 'high' WHEN {r.any(M.KERNEL_NOISE)} AND length(l) <= 32 THEN 'noise' ELSE 'candidate' END AS value FROM chunk"
 
 
-def q_candidate_tags(d):
-    r = Rules(d)
+def inferred_tags(d, x: str = "l") -> str:
+    """The first six tags, by name, of a lower-case text; one without any is a rule."""
+    r = Rules(d, x)
     tags = d.array(*[f"CASE WHEN {r.any(w)} THEN '{t}' END" for t, w in M.CANDIDATE_TAGS], f"CASE WHEN {r.any(('axios',))} THEN '生态偏好' END")
     found = f"{d.sort}({d.distinct}({d.kept(tags, 'e IS NOT NULL')}))"
-    cut = "slice({x}, 1, 6)" if d.__name__ == "Spark" else "{x}[1:6]"
-    return f"{corpus(d)} SELECT id, CASE WHEN {d.size}({found}) = 0 THEN 'rule' ELSE {d.join}({cut.replace('{x}', found)}, ',') END AS tags, CASE WHEN {d.matches('text', '[一-鿿]')} THEN 'zh' ELSE 'en' END AS language, substr({trimmed(d, 'text')}, 1, 72) AS brief FROM chunk"
+    return f"CASE WHEN {d.size}({found}) = 0 THEN 'rule' ELSE {d.join}({d.first_of(found, 6)}, ',') END"
+
+
+def q_candidate_tags(d):
+    return f"{corpus(d)} SELECT id, {inferred_tags(d)} AS tags, CASE WHEN {d.matches('text', '[一-鿿]')} THEN 'zh' ELSE 'en' END AS language, substr({trimmed(d, 'text')}, 1, 72) AS brief FROM chunk"
 
 
 def valued(d) -> str:

@@ -65,7 +65,12 @@ def ingest(run, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(run, spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loamworks-")).rstrip("/") + f"/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="loamworks-")
+    base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     observations.stream_into(observations.conversations(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("id", "origin", "body")
 

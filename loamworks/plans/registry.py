@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.atomic import atomic_parts_of_all
-from . import cards, dialect, generate, judging, lifecycle, material, mining, ordered, ranking, terms, upkeep
+from . import cards, dialect, generate, judging, lifecycle, material, mining, ordered, ranking, stores, terms, upkeep
 
-SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES, **material.QUERIES, **terms.QUERIES, **cards.QUERIES, **judging.QUERIES}
+SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES, **material.QUERIES, **terms.QUERIES, **cards.QUERIES, **judging.QUERIES, **stores.QUERIES}
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
