@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, kdtree
+from . import chat, divergence, kdtree
 from .chat import op3_chat
+from .divergence import op12_divergence
 from .hilbert import op5_neighbours
 from .kdtree import op9_topk
 from .licenses import op8_licenses
@@ -16,8 +17,8 @@ from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {"op1_sentencepiece": op1_sentencepiece, "op2_secrets": op2_secrets, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_neighbours": op5_neighbours, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_secrets": op2_secrets, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_neighbours": op5_neighbours, "op6_passages": op6_passages, "op7_simhash": op7_simhash, "op8_licenses": op8_licenses, "op9_topk": op9_topk, "op10_toxicity": op10_toxicity, "op12_divergence": op12_divergence}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.ORACLE_SQL, "op9_topk": kdtree.ORACLE_SQL}
+    return {"op3_chat": chat.ORACLE_SQL, "op9_topk": kdtree.ORACLE_SQL, "op12_divergence": divergence.ORACLE_SQL}
