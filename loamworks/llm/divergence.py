@@ -39,7 +39,7 @@ LEAST_DOCUMENTS = 3
 TOP = 200
 UNIT = 1_000_000_000
 #: Entries that a counting task holds before it hands them on.
-HELD = 200_000
+HELD = 500_000
 #: Groups of at most so many rows are sent to all tasks; more are joined by a shuffle.
 SMALL = 10_000
 
@@ -60,29 +60,39 @@ def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size = 0
 
     def hand_on() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (least, df, n) in held.items():
-            k = len(n)
-            words = pa.array(list(n), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * k, pa.string()), words, pa.array([source] * k, pa.string()), pa.array([least] * k, pa.int64()), pa.array([df[t] for t in n], pa.int64()), pa.array(list(n.values()), pa.int64())],
-                names=["lang", "term", "source", "document", "df", "n"],
-            )
-        held.clear()
+        while held:
+            (lang, source), (least, again, n) = held.popitem()
+            names = list(n)
+            for at in range(0, len(names), 10_000):
+                part = names[at : at + 10_000]
+                k = len(part)
+                count = np.array([n[t] for t in part], np.int64)
+                df = count - np.array([again[t] for t in part], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * k, pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([source] * k, pa.string()), pa.array(np.full(k, least)), pa.array(df), pa.array(count)],
+                    names=["lang", "term", "source", "document", "df", "n"],
+                )
 
     for batch in batches:
-        for lang, source, doc, text in zip(*[c.to_pylist() for c in batch.columns]):
-            found = terms(text)
-            if not found:
-                continue
-            one = held.setdefault((lang, source), [doc, Counter(), Counter()])
-            one[0] = min(one[0], doc)
-            before = len(one[2])
-            one[1].update(set(found))
-            one[2].update(found)
-            size += len(one[2]) - before
-            if size > HELD:
-                yield from hand_on()
-                size = 0
+        for start in range(0, batch.num_rows, 256):
+            for lang, source, doc, text in zip(*[c.to_pylist() for c in batch.slice(start, 256).columns]):
+                found = terms(text)
+                if not found:
+                    continue
+                one = held.setdefault((lang, source), [doc, Counter(), Counter()])
+                one[0] = min(one[0], doc)
+                before = len(one[2])
+                one[2].update(found)
+                # a document counts once: what else it has of a term is kept apart, and is not much
+                own = Counter(found)
+                if len(own) < len(found):
+                    for t, more in own.items():
+                        if more > 1:
+                            one[1][t] += more - 1
+                size += len(one[2]) - before
+                if size > HELD:
+                    yield from hand_on()
+                    size = 0
     yield from hand_on()
 
 
