@@ -1,8 +1,8 @@
 """Operator 12: how far the sources of a language differ in their words, by sort-based streaming.
 
 Texts are counted per language, source and term within each task (``partial_counts``: documents that hold the term, occurrences,
-least document). These rows are repartitioned by (lang, term, source) and sorted by (lang, term, source, document); a scan over runs
-sums them (``run_lengths``). Terms held by at least three documents of their language are kept. A second sort-based scan reads all
+least document). These rows are repartitioned by (lang, term, source) and sorted by (lang, term, source, document), with a hash of the
+run's key in front, which most comparisons end at; a scan over runs sums them (``run_lengths``). Terms held by at least three documents of their language are kept. A second sort-based scan reads all
 sources of a term as one run (``run_scores``) and emits a task's partial sums for pairs of sources and its best terms of each group.
 
 A group without a term still gives it the share p0 = 1 + floor(10^9 / (N + V)). With f(p, q) = floor((p-q)^2 / q), a pair's sum over
@@ -258,7 +258,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -> Data
     """Per (lang, source): its gaps to every other source of the language (part pair) and its most typical terms (part term)."""
     rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("doc_id").try_cast("long"), F.lit(0)).alias("doc"), "text")
     counts = rows.mapInArrow(partial_counts, "lang string, term string, source string, document long, df long, n long")
-    sorted_ = counts.repartition("lang", "term", "source").sortWithinPartitions("lang", "term", "source", "document")
+    sorted_ = counts.repartition("lang", "term", "source").sortWithinPartitions(F.xxhash64("lang", "term", "source"), "lang", "term", "source", "document")
     runs = stash(sorted_.mapInArrow(run_lengths, "lang string, term string, source string, df long, n long"))
     whole = Window.partitionBy("lang", "term")
     kept = runs.withColumns({"total": F.sum("n").over(whole), "held": F.sum("df").over(whole), "leads": F.min("source").over(whole) == F.col("source")})
@@ -272,7 +272,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -> Data
     # a share for each kept term that a group holds
     held = _joined(kept.drop("leads"), groups, ["lang", "source"], few)
     held = held.select("lang", "term", "source", share(F.col("n"), F.col("of")).alias("p"), "p0", share(F.col("total"), F.col("of_all")).alias("q"))
-    scored = held.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    scored = held.repartition("lang", "term").sortWithinPartitions(F.xxhash64("lang", "term"), "lang", "term", "source")
     scored = stash(scored.mapInArrow(run_scores(top), "lang string, source string, part string, item string, value long"))
     # sums of one side, from how many terms of a group have a share
     shares = held.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("h"))
