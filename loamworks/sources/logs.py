@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,26 +60,35 @@ def _line_texts(lines: pd.Series) -> pd.Series:
 
 
 def is_blob(text: Column) -> Column:
-    """Texts that tools put into conversations: session rules, worker briefs, continued summaries."""
+    """Texts that tools put into conversations: session rules, dispatched briefs, continued summaries, controllers' and file briefs."""
     low = F.lower(text)
     count = lambda words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
-    summary = low.contains("this session is being continued from a previous conversation") & low.contains("summary:")
-    return (count(M.BLOB_SESSION) >= 2) | (count(M.BLOB_CONTROLLER) >= 2) | summary | (low.contains("requirements:") & low.contains("scope:"))
+    some = lambda words: count(words) > 0
+    both = lambda pairs: count_of_pairs(low, pairs) > 0
+    brief = (some(M.BLOB_ROLES) & some(M.BLOB_TASKS)) | both(M.BLOB_BRIEFS)
+    return (count(M.BLOB_SESSION) >= 2) | (count(M.BLOB_CONTROLLER) >= 2) | both(M.BLOB_SUMMARIES) | brief | (some(M.FILE_SCOPE) & some(M.FILE_ACTION))
+
+
+def count_of_pairs(low: Column, pairs) -> Column:
+    return sum(((low.contains(a) & low.contains(b)).cast("int") for a, b in pairs), F.lit(0))
+
+
+NUMBERED = re.compile("[0-9]{2,}")
 
 
 def sanitize(text: str | None) -> str:
     """Without filtered blocks and noisy lines; runs of empty lines become one."""
     out: list[str] = []
     inside = False
-    for line in (text or "").splitlines():
+    for line in (text or "").split("\n"):
         line = line.strip()
-        if line and (line in M.OPEN_BLOCKS or line.startswith("# AGENTS.md instructions for ")):
+        if line and (line in M.OPEN_BLOCKS or line.startswith(M.OPEN_FILES)):
             inside = True
         elif inside and line:
             inside = line not in M.CLOSE_BLOCKS
         elif not line:
             out += [""] if not out or out[-1] else []
-        elif not (line.lower().startswith(M.DROP_STARTS) or "do not edit directly" in line.lower() or line.startswith("1\t") or ("\t" in line and line[:2].isdigit())):
+        elif not (line.lower().startswith(M.DROP_STARTS) or any(w in line.lower() for w in M.DROP_ANYWHERE) or line.startswith("1\t") or ("\t" in line and NUMBERED.match(line))):
             out.append(line)
     return "\n".join(out).strip()
 
