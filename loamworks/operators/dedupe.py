@@ -1,14 +1,18 @@
-"""Greedy removal of similar candidates. The order decides, and similarity is not transitive, so each group runs in one pandas task;
-exact copies go first, by a window, and an index of tokens keeps the comparisons of a task few."""
+"""Greedy removal of similar candidates. The order decides, and similarity is not transitive. A row is only ever compared with rows
+that are similar to it, so the work falls into blocks (``similar``), the components of similarity: each runs by itself, in order, and
+rows similar to no other stay without being looked at. Exact copies go first."""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .similar import Measure, blocks
+
 TOKEN = re.compile(r"[a-z0-9]{2,}|[一-鿿]+")
 
 
@@ -47,15 +51,30 @@ class Kept:
         return sorted(found | (self.bare if not body or not title else set()))
 
 
+def first_of_each(df: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+    """Of rows with one key the first: a minimum, summed up in each task before rows meet."""
+    rest = [c for c in df.columns if c != order]
+    return df.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min(F.struct(order, *rest)).alias("m")).select("m.*").select(*df.columns)
+
+
+def in_blocks(df: DataFrame, measures: tuple[Measure, ...], by: tuple[str, ...], run) -> DataFrame:
+    """``run`` over the rows of each block of similar rows; a block's rows are equal in ``by``. Other rows go through."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()))
+    marked = rows.join(blocks(rows, measures, by, "_row"), "_row", "left").drop("_row")
+    alone = marked.filter("block IS NULL").drop("block")
+    return alone.unionByName(marked.filter("block IS NOT NULL").groupBy("block").applyInPandas(lambda pdf: run(pdf.drop(columns="block")), df.schema))
+
+
 def greedy_dedupe(df: DataFrame, by: tuple[str, ...] = ("kind", "scope"), body_at: float = 0.5, title_at: float = 0.8) -> DataFrame:
-    """Rows that stay, in order of ``seq``. A row that is similar to an earlier kept one (body or title) replaces it if it ranks
-    higher (has a template, then confidence), else goes. Columns: seq, key, title, body, template, confidence and ``by``."""
-    first = Window.partitionBy("key").orderBy("seq")
-    rows = df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """Rows that stay. In order of ``seq`` (unique), a row that is similar to an earlier kept one (body or title) takes the place of the
+    first such if it ranks higher (has a template, has a reason, then confidence), else goes. Columns: seq, key, title, body, template,
+    reason, confidence and ``by``; ``reason`` may be missing."""
+    given = "reason" in df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
-        rank = [(int(t is not None), round((0.0 if c is None or c != c else c) * 1000)) for t, c in zip(pdf["template"], pdf["confidence"])]
+        reasons = pdf["reason"] if given else [None] * len(pdf)
+        rank = [(int(t is not None), int(r is not None), round((0.0 if c is None or c != c else c) * 1000)) for t, r, c in zip(pdf["template"], reasons, pdf["confidence"])]
         kept = Kept()
         for i, (body, title) in enumerate(zip(map(tokens, pdf["body"]), map(tokens, pdf["title"]))):
             same = next((p for p in kept.near(body, title) if jaccard(kept.rows[p][1], body) >= body_at or jaccard(kept.rows[p][2], title) >= title_at), None)
@@ -63,13 +82,15 @@ def greedy_dedupe(df: DataFrame, by: tuple[str, ...] = ("kind", "scope"), body_a
                 kept.put(len(kept.rows), (i, body, title))
             elif rank[i] > rank[kept.rows[same][0]]:
                 kept.put(same, (i, body, title))
-        return pdf.iloc[[r[0] for r in kept.rows]]
+        return pdf.iloc[sorted(r[0] for r in kept.rows)]
 
-    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    return in_blocks(first_of_each(df), (Measure("body", body_at), Measure("title", title_at)), by, run)
 
 
 def batch_dedupe(df: DataFrame, group: str = "run", above: float = 0.65) -> DataFrame:
-    """Keeps, in order of ``seq`` within a group, each row whose body is not more similar than ``above`` to a kept one."""
+    """Keeps, in order of ``seq`` within a group, each row whose body is not more similar than ``above`` to a kept one. Rows with
+    a true ``noise``, if there is such a column, go."""
+    rows = df.filter(~F.coalesce("noise", F.lit(False))) if "noise" in df.columns else df
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
@@ -79,4 +100,4 @@ def batch_dedupe(df: DataFrame, group: str = "run", above: float = 0.65) -> Data
                 kept.put(len(kept.rows), (i, body, body))
         return pdf.iloc[[r[0] for r in kept.rows]]
 
-    return df.groupBy(group).applyInPandas(run, df.schema)
+    return in_blocks(rows, (Measure("body", above, above=True),), (group,), run)
