@@ -9,7 +9,7 @@ from ..functions import markers as M
 from ..functions.rules import any_of, quoted
 from .corpus import corpus
 from .generate import candidates, title
-from .lifecycle import SELECTION, valued
+from .lifecycle import selection, valued
 from .mining import scored_rows
 from .ranking import matched
 
@@ -50,10 +50,11 @@ def q_given_scores(d):
     parts = ("g_durability", "g_reusability", "g_specificity", "g_source_trust")
     total = " + ".join(f"coalesce({p}, 0e0)" for p in parts)
     n = " + ".join(f"CASE WHEN {p} IS NULL THEN 0 ELSE 1 END" for p in parts)
+    shown = ", ".join(f"coalesce({p}, round(CAST({p[2:]} AS DOUBLE), 4)) AS {p[2:]}" for p in parts)
     return f"""{valued(d)},
-gs AS (SELECT *, {SELECTION} AS by_rules, {given(2, '0.9')} AS g_durability, {given(3, '0.8')} AS g_reusability, {given(4, '0.6')} AS g_specificity, {given(5, '0.7')} AS g_source_trust FROM v),
+gs AS (SELECT *, round(CAST({selection(d)} AS DOUBLE), 4) AS by_rules, {given(2, '0.9')} AS g_durability, {given(3, '0.8')} AS g_reusability, {given(4, '0.6')} AS g_specificity, {given(5, '0.7')} AS g_source_trust FROM v),
 gm AS (SELECT *, {total} AS total, {n} AS n FROM gs)
-SELECT id, coalesce(g_durability, durability) AS durability, coalesce(g_reusability, reusability) AS reusability, coalesce(g_specificity, specificity) AS specificity, coalesce(g_source_trust, source_trust) AS source_trust, CASE WHEN n = 0 THEN by_rules ELSE round(CAST(confidence AS DOUBLE) + total / n, 4) END AS selection FROM gm"""
+SELECT id, {shown}, CASE WHEN n = 0 THEN by_rules ELSE round(CAST(confidence AS DOUBLE) + total / n, 4) END AS selection FROM gm"""
 
 
 def q_template_flags(d):

@@ -126,23 +126,34 @@ def q_candidate_tags(d):
     return f"{corpus(d)} SELECT id, {inferred_tags(d)} AS tags, CASE WHEN {d.matches('text', '[一-鿿]')} THEN 'zh' ELSE 'en' END AS language, substr({trimmed(d, 'text')}, 1, 72) AS brief FROM chunk"
 
 
-def valued(d) -> str:
-    """CTE ``v``: value scores of candidates with their confidence."""
-    r = Rules(d)
-    f = lambda c, a, b: f"CAST(CASE WHEN {c} THEN {a} ELSE {b} END AS DOUBLE)"
+def value_columns(d, recurs: str) -> str:
+    """32-bit value scores of a candidate; ``recurs`` tells whether its reason says that it came up again and again."""
+    r = Rules(d, "lower(body)")
+    f = lambda c, a, b: f"CAST(CASE WHEN {c} THEN {a} ELSE {b} END AS FLOAT)"
     durability = f(r.any(("always", "以后", "默认", "每次", "prefer", "must", "should")), 0.92, 0.72)
     wide = r.any(("all projects", "所有项目", "用户视角", "core functionality", "核心功能"))
-    reuse = f"CAST(CASE memory_tier WHEN 'cross_project_principle' THEN 0.94 WHEN 'collaboration_preference' THEN 0.88 ELSE CASE WHEN {wide} THEN 0.82 ELSE 0.42 END END AS DOUBLE)"
-    trust = "CAST(CASE origin WHEN 'user' THEN 1.0 WHEN 'assistant' THEN 0.60 WHEN 'artifact' THEN 0.70 ELSE 0.80 END AS DOUBLE)"
-    place = "CAST(CASE memory_tier WHEN 'cross_project_principle' THEN 0.94 WHEN 'collaboration_preference' THEN 0.86 ELSE 0.28 END AS DOUBLE)"
-    return f"""{candidates(d)}, v AS (SELECT id, confidence, {durability} AS durability, {place} AS locality, CAST(0.40 AS DOUBLE) AS recurrence, {reuse} AS reusability, {trust} AS source_trust, {f(f"{d.bytes_of}(body) BETWEEN 24 AND 220", 0.82, 0.58)} AS specificity FROM cand)"""
+    reuse = f"CAST(CASE memory_tier WHEN 'cross_project_principle' THEN 0.94 WHEN 'collaboration_preference' THEN 0.88 ELSE CASE WHEN {wide} THEN 0.82 ELSE 0.42 END END AS FLOAT)"
+    trust = "CAST(CASE origin WHEN 'user' THEN 1.0 WHEN 'assistant' THEN 0.60 WHEN 'artifact' THEN 0.70 ELSE 0.80 END AS FLOAT)"
+    place = "CAST(CASE memory_tier WHEN 'cross_project_principle' THEN 0.94 WHEN 'collaboration_preference' THEN 0.86 ELSE 0.28 END AS FLOAT)"
+    return f"""{durability} AS durability, {place} AS locality, {f(recurs, 0.92, 0.40)} AS recurrence, {reuse} AS reusability, {trust} AS source_trust, {f(f"{d.bytes_of}(body) BETWEEN 24 AND 220", 0.82, 0.58)} AS specificity"""
+
 
+def selection(d, confidence: str = "confidence") -> str:
+    """32-bit score by which candidates are chosen: confidence and the mean of the value scores, added in the order of their names.
+    It trusts every source."""
+    whole = "durability + locality + recurrence + reusability + CAST(1 AS FLOAT) + specificity"
+    return f"({confidence} + {d.real(f'({whole}) / CAST(6 AS FLOAT)')})"
 
-SELECTION = "round(CAST(confidence AS DOUBLE) + (durability + locality + recurrence + reusability + source_trust + specificity) / 6, 4)"
+
+def valued(d) -> str:
+    """CTE ``v``: value scores of candidates with their confidence; candidates of three and more of one signature recur."""
+    return f"""{_signed(d)}, sn AS (SELECT signature, count(*) AS n FROM sg GROUP BY signature),
+v AS (SELECT id, confidence, {value_columns(d, 'n >= 3')} FROM sg JOIN sn ON sn.signature = sg.signature)"""
 
 
 def q_value_scores(d):
-    return f"{valued(d)} SELECT id, durability, locality, recurrence, reusability, source_trust, specificity, {SELECTION} AS selection FROM v"
+    shown = ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in ("durability", "locality", "recurrence", "reusability", "source_trust", "specificity"))
+    return f"{valued(d)} SELECT id, {shown}, round(CAST({selection(d)} AS DOUBLE), 4) AS selection FROM v"
 
 
 def q_preferences(d):
@@ -198,12 +209,17 @@ fc AS (SELECT id, {feedback_signature(d, 'body', "concat('candidate:', scope, ':
 SELECT id, fc.signature, CAST(rejections AS BIGINT) AS rejections, reason, delta FROM fc JOIN pen ON pen.signature = fc.signature"""
 
 
-def _signed(d):
-    """Candidates with the signature of their kind and whole body, in normalised words."""
+def signature(d) -> str:
+    """Of a candidate: its kind and whole body in normalised words."""
     text = "concat(kind, ' ', lower(body))"
     for old, new in M.SIGNED:
         text = f"replace({text}, {quoted(old)}, {quoted(new)})"
-    return f"""{candidates(d)}, sg AS (SELECT id, origin, confidence, turn, concat('sig:', substr(replace(concat('sha256:', {d.sha(f"{d.join}({tokens(d, text)}, ' ')")}), ':', '-'), 1, 16)) AS signature FROM cand)"""
+    return f"""concat('sig:', substr(replace(concat('sha256:', {d.sha(f"{d.join}({tokens(d, text)}, ' ')")}), ':', '-'), 1, 16))"""
+
+
+def _signed(d):
+    """Candidates with their signatures."""
+    return f"""{candidates(d)}, sg AS (SELECT id, origin, confidence, turn, memory_tier, body, {signature(d)} AS signature FROM cand)"""
 
 
 def q_recurrence(d):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +12,9 @@ from ..operators.balanced import balanced_topk
 from ..operators.cosine import cosine_top
 from ..operators.dedupe import batch_dedupe, greedy_dedupe
 from ..sources.logs import messages
+from ..sources.shared import new_dir
 from ..streaming import observations
-from . import generate, mining
+from . import flagship, generate, mining
 from .corpus import corpus
 from .ranking import cluster
 
@@ -65,12 +64,7 @@ def ingest(run, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(run, spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loamworks-")
-    base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    base = new_dir(spark)
     observations.stream_into(observations.conversations(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("id", "origin", "body")
 
@@ -92,6 +86,8 @@ QUERIES = {
     "greedy_dedupe": greedy,
     "batch_dedupe": batches,
     "balanced_topk": balanced,
+    "extract_local": flagship.extract_local,
+    "extract_outcomes": flagship.extract_outcomes,
     "cosine_top5": cosine,
     "ingest_jsonl_messages": ingest,
     "stream_observation_upsert": stream,

@@ -17,10 +17,10 @@ def cluster(d) -> str:
     return f"concat(memory_tier, ':', kind, ':', {domain(d, 'lower(body)')})"
 
 
-def matched(d) -> str:
-    """Candidates, cards and CTE ``sim``: similarity of candidates and cards that share a token, where scopes go together."""
+def matched(d, base: str = "") -> str:
+    """Candidates (those of ``base``, if it is given), cards and CTE ``sim``: similarity of candidates and cards that share a token, where scopes go together."""
     low = Rules(d, "lower(body)")
-    return f"""{candidates(d)},
+    return f"""{base or candidates(d)},
 card AS (SELECT k AS card_id, body, CASE WHEN {low.any(M.SCOPE_GLOBAL)} THEN 'global' WHEN {low.any(M.SCOPE_AGENT)} THEN 'agent' ELSE 'project' END AS card_scope, {tokens(d, 'body')} AS tok FROM statement),
 item AS (SELECT id, scope, {tokens(d, 'body')} AS tok FROM cand),
 ct AS (SELECT card_id, card_scope, {d.size}(tok) AS n_card, {d.explode}(tok) AS t FROM card),
