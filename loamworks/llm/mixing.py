@@ -43,6 +43,12 @@ def with_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     return rows.join(per, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
 
 
+def draw_of(*columns: str) -> Column:
+    """A row's draw. A hash passes over nulls, so it also reads which values are null."""
+    values = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(F.lit(SEED), *values, *[v.isNull() for v in values])
+
+
 # -- targets
 
 
@@ -176,8 +182,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     """The documents, each with size, source_size, target, copies and taken. With ``keep`` only these columns stay, and texts are
     read but once."""
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUT]
-    draw_, source_, plan_, n_, multi_ = free_names(docs, "draw", "source", "plan", "n", "multi")
-    rows = without(docs, *[c for c in OUT if c not in key]).withColumns({"size": words(F.col(f"`{text}`")), draw_: F.xxhash64(F.lit(SEED), *[F.col(f"`{c}`") for c in key]), source_: F.col(f"`{source}`")})
+    draw_, source_, plan_, n_, multi_, from_, long_ = free_names(docs, "draw", "source", "plan", "n", "multi", "from", "long")
+    rows = without(docs, *[c for c in OUT if c not in key]).withColumns({"size": words(F.col(f"`{text}`")), draw_: draw_of(*key), source_: F.col(f"`{source}`")})
     rows = rows.select(*[F.col(f"`{c}`") for c in columns], "size", draw_, source_)
     if keep is not None:
         rows = stash(rows)
@@ -186,8 +192,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     decided = plan(units, weights, max_repeats, near)
     whole = F.struct("source_size", "target", "c", "rounds", "closing").alias(plan_)
     decided = decided.select(F.col("source").alias(f"{source_}_"), whole)
-    repeated = units.filter("n > 1").select(F.col("draw").alias(multi_), F.col("n").alias(n_))
-    rows = rows.join(decided, F.col(source_).eqNullSafe(F.col(f"{source_}_")), "left").join(repeated, F.col(draw_) == F.col(multi_), "left")
+    # a unit is a source, a size and a draw: a row meets its own unit only
+    repeated = units.filter("n > 1").select(F.col("source").alias(from_), F.col("size").alias(long_), F.col("draw").alias(multi_), F.col("n").alias(n_))
+    rows = rows.join(decided, F.col(source_).eqNullSafe(F.col(f"{source_}_")), "left")
+    rows = rows.join(repeated, (F.col(draw_) == F.col(multi_)) & F.col(source_).eqNullSafe(F.col(from_)) & (F.col("size") == F.col(long_)), "left")
     it, draw = F.col(plan_), F.col(draw_)
     copies = expected(F.col("size"), it["c"], max_repeats)
     p = copies - F.floor(copies)

@@ -70,7 +70,7 @@ def test_mix(spark):
     rows += rows[:5] + [(None, "a", "one two", "y")] * 300
     own = dict.fromkeys(("p", "key", "draw", "whole", "edge", "_own_draw", "gap", "words", "n", "rounds"), "mine")
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, SIZE string").withColumns({k: F.lit(v) for k, v in own.items()})
-    got = M.mix(df).withColumn("d", F.xxhash64(F.lit(M.SEED), "doc_id", "source", "text")).collect()
+    got = M.mix(df).withColumn("d", M.draw_of("doc_id", "source", "text")).collect()
     assert all(r[k] == v for r in got for k, v in own.items())
     assert len(got) == len(rows)
     sizes = defaultdict(int)
@@ -111,3 +111,13 @@ def test_edges(spark):
     assert [(r.size, r.taken, r.target) for r in none] == [(0, 0, 0.0)] * 2
     one = M.mix(spark.createDataFrame([(1, "a", "x " * 100_000)], schema)).collect()
     assert one[0].taken == 100_000
+
+
+def test_nulls_are_told_apart_and_no_row_is_multiplied(spark, monkeypatch):
+    rows = [(1, None, "x"), (1, None, "x"), (1, "x", None), (1, "x", None), (2, "x", "a b c"), (None, "x", "1"), (None, "1", "x"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = M.mix(df).collect()
+    assert sorted(map(str, ((r.doc_id, r.source, r.text) for r in got))) == sorted(map(str, rows))
+    real = F.xxhash64
+    monkeypatch.setattr(M.F, "xxhash64", lambda *c: real(F.lit(7)))  # all draws collide: units still differ by source and size
+    assert len(M.mix(df).collect()) == len(rows)
