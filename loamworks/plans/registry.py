@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.atomic import atomic_parts_of_all
-from . import cards, dialect, documents, generate, history, judging, lifecycle, material, mining, ordered, ranking, stores, terms, upkeep
+from . import cards, dialect, documents, generate, history, judging, lifecycle, material, mining, ordered, ranking, records, stores, terms, upkeep
 
 SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES, **material.QUERIES, **terms.QUERIES, **cards.QUERIES, **judging.QUERIES, **stores.QUERIES}
 
@@ -29,8 +29,8 @@ def _run(made, spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: partial(_run, made) for name, made in SHARED.items()} | ordered.queries(run) | history.queries() | documents.QUERIES
+    return {name: partial(_run, made) for name, made in SHARED.items()} | ordered.queries(run) | history.queries() | documents.QUERIES | {name: partial(made, run) for name, made in records.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.oracle(made) for name, made in SHARED.items()} | ordered.ORACLE | history.ORACLE | documents.ORACLE
+    return {name: dialect.oracle(made) for name, made in SHARED.items()} | ordered.ORACLE | history.ORACLE | documents.ORACLE | records.ORACLE
