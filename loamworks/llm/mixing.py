@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import WORD, free_names, stash, table, without
 
 BUCKETS = 1024
+#: Repeated rows of at most so many kinds are sent to all tasks; more are joined by a shuffle, texts and all.
+FEW = 50_000
 SEED = 4
 #: Part of a target that may be missing when the rounds end.
 NEAR = 0.001
@@ -195,7 +197,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     # a unit is a source, a size and a draw: a row meets its own unit only
     repeated = units.filter("n > 1").select(F.col("source").alias(from_), F.col("size").alias(long_), F.col("draw").alias(multi_), F.col("n").alias(n_))
     rows = rows.join(decided, F.col(source_).eqNullSafe(F.col(f"{source_}_")), "left")
-    rows = rows.join(repeated, (F.col(draw_) == F.col(multi_)) & F.col(source_).eqNullSafe(F.col(from_)) & (F.col("size") == F.col(long_)), "left")
+    found = repeated.count()
+    if found:
+        same = (F.col(draw_) == F.col(multi_)) & F.col(source_).eqNullSafe(F.col(from_)) & (F.col("size") == F.col(long_))
+        rows = rows.join(F.broadcast(repeated) if found <= FEW else repeated, same, "left")
+    else:
+        rows = rows.withColumn(n_, F.lit(None).cast("long"))
     it, draw = F.col(plan_), F.col(draw_)
     copies = expected(F.col("size"), it["c"], max_repeats)
     p = copies - F.floor(copies)
