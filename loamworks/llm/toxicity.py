@@ -38,7 +38,8 @@ from .common import stash, table, without
 TRAIN_ROWS = 12_000
 #: Weight of the overall odds in a feature's odds, and the least toxic texts that hold it.
 PRIOR, LEAST = 6.0, 3
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
+NOTHING: list = []
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 EDGE, OTHER = 0, len(LETTERS) + 1
 SIZE = len(LETTERS) + 2
@@ -204,7 +205,7 @@ class Reader:
             if w in known:
                 x = known[w]
             else:
-                x = known[w] = self.read(w)
+                x = known[w] = self.read(w) or NOTHING  # most words, so they share one
             out += x
         return out
 
