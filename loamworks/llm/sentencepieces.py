@@ -30,7 +30,7 @@ from .common import table, without
 
 SPACE = "▁"
 #: Parts of texts kept for lookup by one worker, and the ids they may hold, before the table starts anew.
-CACHE_PARTS, CACHE_IDS = 1_200_000, 8_000_000
+CACHE_PARTS, CACHE_IDS = 600_000, 4_000_000
 #: Code points of text that are encoded at once in a worker.
 SLICE_CHARS = 2_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
