@@ -34,6 +34,13 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def batches_of(spark: SparkSession, rows: int) -> None:
+    """From now on at most so many rows of this session go to Python at once: whole texts are long, and a batch is held several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The table without columns that an operator is about to add, whatever their case."""
     low = {n.lower() for n in names}
