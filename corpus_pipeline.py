@@ -16,23 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamworks.llm import mixing, secrets, sentencepieces, simhash, toxicity
-from loamworks.llm.common import free_names, stash, table
+from loamworks.llm.common import batches_of, free_names, stash, table
 
 #: Toxicity learns from labels and two stages from hashes: SQL cannot express the rows.
 ORACLE_SQL = None
 
 
+#: Texts that go to Python at once.
+BATCH = 1000
+
+
 def _named(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batches_of(spark, BATCH)
     (score,) = free_names(docs, "score")
     scored = toxicity.score(docs, docs, table(spark, sf_dir, "labels"), out=score)
     return scored.filter(F.col(score) < 0.5).select(*_named(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batches_of(spark, BATCH)
     return simhash.one_of_each(docs)
 
 
@@ -54,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batches_of(spark, BATCH)
     coded = sentencepieces.encode_decode(docs.select("doc_id", "text"), sentencepieces.model_bytes())
     return sentencepieces.digests(coded)
 
