@@ -52,9 +52,24 @@ class Rules:
     def one_off(self) -> str:
         return f"({starts(self.x, M.REQUEST_STARTS)} AND NOT {self.explicit()} AND NOT {self.strong()})"
 
+    def code_lines(self) -> str:
+        """How many lines look like code or are empty."""
+        d, e = self.d, self.d.replaced("e", "^[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]+$")
+        begins = " OR ".join(f"substr({e}, 1, {len(w)}) = {quoted(w)}" for w in M.CODE_STARTS)
+        holds = " OR ".join(f"contains(e, {quoted(w)})" for w in M.CODE_SIGNS)
+        code = f"{e} = '' OR {begins} OR {holds} OR (substr({e}, -1, 1) = ';' AND NOT {starts(e, M.CODE_TALK)})"
+        return f"{d.size}({d.kept(self.lines(), code)})"
+
+    def lines(self) -> str:
+        return self.d.pieces(f"trim({self.x})", "\n")
+
+    def code_block(self) -> str:
+        """At least three lines, over 80 of 100 of them code. A text of one line is none, whatever it holds."""
+        n = f"{self.d.size}({self.lines()})"
+        return f"CASE WHEN contains({self.x}, chr(10)) THEN {n} >= 3 AND {self.code_lines()} * 100 >= {n} * 81 ELSE FALSE END"
+
     def low_value(self) -> str:
-        """Without the code-block rule, which looks at lines (see plans.text)."""
-        return f"({self.any(M.NOISE)} OR {self.monologue()} OR {self.one_off()} OR ({self.unresolved()} AND NOT {self.explicit()}))"
+        return f"({self.any(M.NOISE)} OR {self.code_block()} OR {self.monologue()} OR {self.one_off()} OR ({self.unresolved()} AND NOT {self.explicit()}))"
 
     # -- the nine signals, in the order in which they are listed
     def signals(self) -> tuple[tuple[str, str], ...]:

@@ -9,6 +9,7 @@ from ..functions import markers as M
 from ..functions.rules import any_of, quoted
 from .corpus import corpus
 from .generate import candidates, title
+from .dialect import found
 from .lifecycle import selection, valued
 from .mining import scored_rows
 from .ranking import matched
@@ -68,7 +69,7 @@ def q_supplements(d):
     """Bodies of cards put beside a mirrored skill: of its first declaration, cards that there are. A page declares three."""
     part = f"concat('## ', statement_title, {d.text(chr(10) * 2)}, body, {d.text(chr(10))})"
     cards = d.array("page_id % 30", "(page_id * 7 + 1) % 30", "(page_id * 11 + 5) % 30")
-    return f"""{corpus(d)}, decl AS (SELECT page_id % 50 AS skill, min(page_id) AS page_id FROM <pages> GROUP BY page_id % 50),
+    return f"""{corpus(d)}, decl AS (SELECT {found(d, 'url', '//([^/?#]*)')} AS skill, min(page_id) AS page_id FROM <pages> GROUP BY 1),
 item AS (SELECT skill, page_id, {d.placed(cards)} FROM decl),
 card AS (SELECT k, body, {title(d, 'body')} AS statement_title FROM statement)
 SELECT skill, count(*) AS n, {d.sha(d.listed(part, 'place'))} AS body_sha256 FROM item JOIN card ON card.k = item.e GROUP BY skill"""

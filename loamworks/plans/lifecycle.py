@@ -8,8 +8,9 @@ from __future__ import annotations
 from ..functions import markers as M
 from ..functions.rules import Rules, quoted
 from .corpus import STATEMENTS, corpus
+from .dialect import found
 from .generate import candidate_id, candidates, swapped, title
-from .mining import once, redacted, sentences, slug, tokens, trimmed
+from .mining import _units, once, redacted, sentences, slug, tokens, trimmed
 from .ranking import matched
 
 N = len(STATEMENTS)
@@ -109,9 +110,24 @@ def q_visible(d):
     return f"{gated(d)} SELECT id, {candidate_id(d)} AS candidate_id, kind, scope, memory_tier, action FROM gate WHERE quality = '' AND memory IN ('', 'reference-pointer')"
 
 
-def q_kernel_assess(d):
+def kernel_tags(d, x: str = "l") -> str:
+    """All tags of a lower-case text, by name."""
+    r = Rules(d, x)
+    return d.sort + "(" + d.kept(d.array(*[f"CASE WHEN {r.any(w)} THEN '{t}' END" for t, w in M.KERNEL_TAGS]), "e IS NOT NULL") + ")"
+
+
+def kernel_assessed(d, table: str) -> str:
+    """CTE ``ka``: value, risk, tags and reason of the texts of a table (id, l); two tags make a text worth as much as a marker does."""
     r = Rules(d)
-    return f"{corpus(d)} SELECT id, CASE WHEN {r.any(M.KERNEL_RULE)} OR {r.any(M.KERNEL_HIGH)} THEN 'high' WHEN {r.any(M.KERNEL_NOISE)} AND length(l) <= 32 THEN 'noise' ELSE 'candidate' END AS value FROM chunk"
+    value = f"CASE WHEN {r.any(M.KERNEL_RULE)} OR {r.any(M.KERNEL_HIGH)} OR {d.size}(tags) >= 2 THEN 'high' WHEN {r.any(M.KERNEL_NOISE)} AND length(l) <= 32 THEN 'noise' ELSE 'candidate' END"
+    reason = "CASE value " + " ".join(f"WHEN '{v}' THEN {quoted(t)}" for v, t in M.KERNEL_REASONS) + " END"
+    noted = f"CASE WHEN value = 'noise' THEN {d.sort}({d.array("'noise'")} || tags) ELSE tags END" if d.__name__ != "Spark" else "CASE WHEN value = 'noise' THEN array_sort(concat(array('noise'), tags)) ELSE tags END"
+    return f"""ka0 AS (SELECT id, l, {once(d, kernel_tags(d))} AS tags FROM {table}), ka1 AS (SELECT id, tags, {value} AS value FROM ka0),
+ka AS (SELECT id, value, CASE value WHEN 'noise' THEN 'low' ELSE 'medium' END AS risk, {d.join}({noted}, ',') AS tags, {reason} AS reason FROM ka1)"""
+
+
+def q_kernel_assess(d):
+    return f"{corpus(d)}, {kernel_assessed(d, 'chunk')} SELECT * FROM ka"
 
 
 def inferred_tags(d, x: str = "l") -> str:
@@ -157,9 +173,13 @@ def q_value_scores(d):
 
 
 def q_preferences(d):
+    """The first known preference of each sentence that looks like a rule, and the markers that it was known by."""
     r = Rules(d)
-    case = "CASE " + " ".join(f"WHEN {' AND '.join(f'contains(l, {quoted(w)})' for w in need)} AND {r.any(ctx)} THEN {quoted(t)}" for t, need, ctx in M.PREFERENCES) + " END"
-    return f"{corpus(d)} SELECT id, {case} AS preference FROM chunk WHERE {case} IS NOT NULL"
+    fits = lambda need, ctx: f"{' AND '.join(f'contains(l, {quoted(w)})' for w in need)} AND {r.any(ctx)}"
+    case = lambda made: "CASE " + " ".join(f"WHEN {fits(need, ctx)} THEN {made(t, need, ctx)}" for t, need, ctx in M.PREFERENCES) + " END"
+    known = lambda words: f"{d.join}({d.kept(d.array(*[f'CASE WHEN contains(l, {quoted(w)}) THEN {quoted(w)} END' for w in words]), 'e IS NOT NULL')}, ',')"
+    return f"""{_units(d)}, kp AS (SELECT id, l, {case(lambda t, *_: quoted(t))} AS preference, {case(lambda _, need, __: known(need))} AS required, {case(lambda _, __, ctx: known(ctx))} AS context FROM unit WHERE {r.any(M.RULE_LIKE)})
+SELECT id, preference, required, context, 'built-in' AS source FROM kp WHERE preference IS NOT NULL"""
 
 
 # -- feedback and recurrence
@@ -347,7 +367,7 @@ def q_rule_ci(d):
 
 
 def q_skill_ids(d):
-    return f"WITH s AS (SELECT page_id, {slug(d, 'substr(url, 1, 18)')} AS base FROM <pages>), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS nth FROM s) SELECT page_id, CASE WHEN nth = 1 THEN base ELSE concat(base, '-', CAST(nth AS VARCHAR(20))) END AS skill_id FROM n"
+    return f"WITH s AS (SELECT page_id, {slug(d, found(d, 'url', '//([^/?#]*)'))} AS base FROM <pages>), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS nth FROM s) SELECT page_id, CASE WHEN nth = 1 THEN base ELSE concat(base, '-', CAST(nth AS VARCHAR(20))) END AS skill_id FROM n"
 
 
 def q_catalog(d):
@@ -357,13 +377,14 @@ def q_catalog(d):
 def q_projects(d):
     """Files of conversations by project: within its root, of another project, or unknown."""
     return """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE concat('/home/', source, '/', lang) END AS path FROM <documents>),
-p AS (SELECT DISTINCT concat('/home/', source) AS root FROM <documents> WHERE doc_id % 2 = 0)
+p AS (SELECT DISTINCT concat('/home/', source) AS root FROM <documents>)
 SELECT CASE WHEN path IS NULL THEN 'unknown' WHEN root IS NOT NULL THEN root ELSE 'other' END AS project, count(*) AS n FROM f LEFT JOIN p ON regexp_replace(path, '/[a-z]+$', '') = root GROUP BY 1"""
 
 
 def q_attribution(d):
-    """A fact's observation: the first of its conversation that holds the fact, else its first one."""
-    return f"""{corpus(d)}, fact AS (SELECT id, conv_id, substr(text, 5, 20) AS quote FROM chunk WHERE turn = 1),
+    """A fact's observation: the first of its conversation that holds the fact, else its first one. Facts are what each text says last."""
+    last = f"{d.first_of(d.each(d.kept(d.pieces('text', chr(10)), "trim(e) <> ''"), 'trim(e)'), 1)}"
+    return f"""{corpus(d)}, fact0 AS (SELECT id, conv_id, {d.explode}({last}) AS quote FROM (SELECT id, conv_id, {d.replaced('text', '(?s)^.*' + chr(10))} AS text FROM chunk) x), fact AS (SELECT * FROM fact0 WHERE quote <> ''),
 m AS (SELECT f.id, min(c.id) AS found FROM fact f JOIN chunk c ON c.conv_id = f.conv_id AND contains(c.text, f.quote) GROUP BY f.id),
 o AS (SELECT conv_id, min(id) AS first_id FROM chunk GROUP BY conv_id)
 SELECT f.id, coalesce(found, first_id) AS observation, found IS NOT NULL AS quoted FROM fact f LEFT JOIN m ON m.id = f.id JOIN o ON o.conv_id = f.conv_id"""

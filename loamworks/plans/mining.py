@@ -103,7 +103,7 @@ def q_redact_corpus(d):
 
 
 def q_slugs(d):
-    return f"{corpus(d)} SELECT id, {slug(d, 'text')} AS slug, concat('project:', {slug(d, 'substr(text, 1, 24)')}) AS candidate_id FROM chunk"
+    return f"{corpus(d)} SELECT id, {slug(d, 'text')} AS slug, concat('project:', {slug(d, 'text')}) AS candidate_id FROM chunk"
 
 
 def q_tokens(d):
@@ -135,6 +135,14 @@ def q_signals(d):
     return f"{_sentence_rows(d)} SELECT id, sentence, {d.join}({d.kept(named, 'e IS NOT NULL')}, ',') AS signals FROM sent"
 
 
+def q_paragraph_signals(d):
+    """Signals of whole paragraphs, which may hold several sentences, and whether a paragraph is of low value."""
+    r = Rules(d)
+    named = d.array(*[f"CASE WHEN {c} THEN '{n}' END" for n, c in r.signals()])
+    parts = d.kept(d.each(d.pieces("text", "\n\n"), trimmed(d, "e")), "e <> ''")
+    return f"{corpus(d)}, para0 AS (SELECT id, {d.placed(parts)} FROM chunk), para AS (SELECT id, place, lower(e) AS l FROM para0) SELECT id, CAST(place AS BIGINT) AS place, {d.join}({d.kept(named, 'e IS NOT NULL')}, ',') AS signals, {r.low_value()} AS low_value FROM para"
+
+
 def q_signal_counts(d):
     r = Rules(d)
     sums = ", ".join(f"CAST(sum(CASE WHEN f_{n} THEN 1 ELSE 0 END) AS BIGINT) AS n_{n}" for n, _ in r.signals())
@@ -148,11 +156,8 @@ def q_low_value(d):
 
 
 def q_code_blocks(d):
-    nl = d.pieces("text", "\n")
-    e = "trim(e)"
-    talk = " OR ".join(f"substr({e}, 1, {len(w)}) = '{w}'" for w in ("以", "今", "这", "我", "你", "该", "如", "if", "we", "you", "this", "the", "a "))
-    code = f"{e} = '' OR substr({e}, 1, 2) = '//' OR substr({e}, 1, 1) IN ('#', '$') OR substr({e}, 1, 3) = '---' OR substr({e}, 1, 3) = '-->' OR contains({e}, ' = ') OR contains({e}, '->') OR contains({e}, '=>') OR (substr({e}, -1, 1) = ';' AND NOT ({talk}))"
-    return f"{corpus(d)}, n AS (SELECT id, CAST({d.size}({nl}) AS BIGINT) AS lines, CAST({d.size}({d.kept(nl, code)}) AS BIGINT) AS code FROM chunk) SELECT id, lines, code, lines >= 3 AND code * 100 > lines * 80 + lines - 1 AS is_code FROM n"
+    r = Rules(d)
+    return f"{corpus(d)} SELECT id, CAST({d.size}({r.lines()}) AS BIGINT) AS lines, CAST({r.code_lines()} AS BIGINT) AS code, {r.code_block()} AS is_code FROM chunk"
 
 
 def q_gate(d):
@@ -226,6 +231,7 @@ QUERIES = {
     "split_paragraphs": q_paragraphs,
     "split_sentences": q_sentences,
     "sentence_signals": q_signals,
+    "paragraph_signals": q_paragraph_signals,
     "signal_counts": q_signal_counts,
     "low_value_filter": q_low_value,
     "code_block_filter": q_code_blocks,

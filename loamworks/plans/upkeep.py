@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import markers as M
 from ..functions.rules import Rules
+from .builds import cards
 from .corpus import corpus
 from .dialect import found, json_text
 from .lifecycle import N
@@ -13,7 +14,8 @@ from .mining import _cards, slug, trimmed
 
 def q_frontmatter(d):
     """Name and description between the marks in front of a skill's text, and what is wrong with it."""
-    text = "concat('---', chr(10), CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('name: ', substr(url, 9, 20), chr(10)) END, CASE WHEN page_id % 6 = 0 THEN '' ELSE concat('description: \"', substr(html, 1, 30), '\"', chr(10)) END, '---', chr(10), html)"
+    about = found(d, "html", "<title>([^<]*)")
+    text = f"concat('---', chr(10), CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('name: ', substr(url, 9), chr(10)) END, CASE WHEN page_id % 6 = 0 THEN '' ELSE concat('description: \"', {about}, '\"', chr(10)) END, '---', chr(10), html)"
     name = trimmed(d, found(d, "head", "(?:^|\n)name:([^\n]*)"))
     about = d.replaced(trimmed(d, found(d, "head", "(?:^|\n)description:([^\n]*)")), "^\"|\"$")
     return f"""WITH s AS (SELECT page_id, {text} AS text FROM <pages>), h AS (SELECT page_id, text, {found(d, 'text', '^---\n((?:[^\n]*\n)*?)---')} AS head FROM s),
@@ -46,13 +48,13 @@ SELECT path, seq, origin FROM (SELECT *, row_number() OVER (PARTITION BY path OR
 def q_consecutive(d):
     """Lines without those that repeat the line before."""
     pos = f"SELECT doc_id, posexplode({d.pieces('text', chr(10))}) AS (place, line) FROM <documents>" if d.__name__ == "Spark" else f"SELECT doc_id, unnest(range(len({d.pieces('text', chr(10))}))) AS place, unnest({d.pieces('text', chr(10))}) AS line FROM <documents>"
-    return f"WITH l AS ({pos}), t AS (SELECT doc_id, place, trim(line) AS line FROM l WHERE trim(line) <> ''), b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM t) SELECT doc_id, count(*) AS kept, {d.sha('min(line)')} AS least FROM b WHERE before IS NULL OR before <> line GROUP BY doc_id"
+    return f"WITH l AS ({pos}), t AS (SELECT doc_id, place, trim(line) AS line FROM l WHERE trim(line) <> ''), b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM t) SELECT doc_id, count(*) AS kept, {d.sha(d.listed('line', 'place'))} AS lines_sha256 FROM b WHERE before IS NULL OR before <> line GROUP BY doc_id"
 
 
 def q_locks(d):
     """Whether an artifact may be written: nothing is there, or what is there is what was last written."""
     return f"""WITH lock AS (SELECT doc_id AS path, {d.sha('text')} AS h FROM <documents> WHERE doc_id % 4 <> 0), disk AS (SELECT doc_id AS path, {d.sha("CASE WHEN doc_id % 9 = 0 THEN concat(text, '!') ELSE text END")} AS h FROM <documents> WHERE doc_id % 7 <> 0)
-SELECT w.doc_id AS path, disk.path IS NULL OR coalesce(disk.h = lock.h, FALSE) AS safe, {d.sha('w.text')} AS new_hash FROM <documents> w LEFT JOIN lock ON lock.path = w.doc_id LEFT JOIN disk ON disk.path = w.doc_id WHERE w.doc_id % 5 <> 0"""
+SELECT w.doc_id AS path, disk.path IS NULL OR coalesce(disk.h = lock.h, FALSE) AS safe, {d.sha('w.text')} AS new_hash FROM <documents> w LEFT JOIN lock ON lock.path = w.doc_id LEFT JOIN disk ON disk.path = w.doc_id"""
 
 
 def q_migrations(d):
@@ -73,9 +75,17 @@ SELECT id, action, CASE action WHEN 'merge_into_existing' THEN 'update' ELSE act
 
 
 def q_insight(d):
-    """How sure and how stable a subject is, by its kinds of events and approvals."""
-    return f"""WITH n AS (SELECT user_id % {N} AS subject, count(DISTINCT event_type) AS d, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS c FROM <events> GROUP BY user_id % {N})
-SELECT subject, round(least(0.95e0, 0.48e0 + 0.07e0 * d + 0.08e0 * a), 6) AS confidence, CAST(c AS BIGINT) AS conflicts, c > a AS disputed FROM n"""
+    """How sure and stable a card is, whether it is in use, in how many ways it is disputed, and whether all projects should have it: by
+    the agents that it is for and the drafts of its conversation."""
+    return f"""{cards(d)},
+ag AS (SELECT project, id, count(*) AS agents FROM named WHERE route <> 'none' GROUP BY project, id),
+dr AS (SELECT CAST(conv_id AS VARCHAR(20)) AS project, sum(CASE WHEN how = 'rule' THEN 1 ELSE 0 END) AS drafts FROM cand GROUP BY conv_id),
+ev0 AS (SELECT c.project, c.cid AS id, c.kind, c.scope, coalesce(ag.agents, 0) AS agents, dr.drafts FROM cards1 c LEFT JOIN ag ON ag.project = c.project AND ag.id = c.cid JOIN dr ON dr.project = c.project WHERE c.copy = 1),
+ev1 AS (SELECT *, round(least(0.95e0, 0.48e0 + 0.07e0 * drafts + 0.08e0 * agents), 2) AS confidence,
+  round(least(0.98e0, 0.42e0 + CASE scope WHEN 'global' THEN 0.22e0 WHEN 'project' THEN 0.14e0 ELSE 0.04e0 END + 0.06e0 * agents), 2) AS stability FROM ev0)
+SELECT project, id, CAST(agents AS BIGINT) AS agents, CAST(drafts AS BIGINT) AS drafts, confidence, stability, CASE WHEN drafts > 0 OR agents >= 2 THEN 'active' ELSE 'dormant' END AS activity,
+  CAST(CASE WHEN agents >= 2 AND scope = 'project' THEN 1 ELSE 0 END + CASE WHEN kind = 'constraint' AND agents <= 1 THEN 1 ELSE 0 END + CASE WHEN kind = 'procedure' AND scope = 'agent' THEN 1 ELSE 0 END AS BIGINT) AS conflicts,
+  scope = 'project' AND agents >= 2 AND confidence > 0.6e0 AS promote FROM ev1"""
 
 
 def q_briefs(d):
