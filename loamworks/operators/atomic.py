@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,15 +47,25 @@ def _split(column: pd.Series) -> pd.Series:
     return column.map(split_atomic)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split_all(column: pd.Series) -> pd.Series:
-    return column.map(lambda statements: [part for s in (statements if statements is not None else ()) for part in split_atomic(s)])
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _split_each(column: pd.Series) -> pd.Series:
+    return column.map(lambda statements: [split_atomic(s) for s in (statements if statements is not None else ())])
+
+
+#: Statements without any of these are their own only part.
+ANY_CONNECTOR = "(?i)" + "|".join(rf"(?<![a-zA-Z0-9])\Q{c}\E(?![a-zA-Z0-9])" if c.isascii() else rf"\Q{c}\E" for c in CONNECTORS)
 
 
 def atomic_parts(statement: Column) -> Column:
     return _split(statement)
 
 
-def atomic_parts_of_all(statements: Column) -> Column:
-    """The parts of all statements of an array, in order."""
-    return _split_all(statements)
+def with_atomic_parts(df: DataFrame, statements: str) -> DataFrame:
+    """The table with the parts of all statements of an array column, in order, in place of it. Only statements with a connector go to
+    Python. The parts that come back stand behind a generator step, as they are looked up again and again."""
+    given = F.coalesce(F.col(statements), F.array().cast("array<string>"))
+    joined = F.array_distinct(F.filter(given, lambda s: s.rlike(ANY_CONNECTOR)))
+    rows = df.withColumn("_joined", joined).withColumn("_split", _split_each("_joined"))
+    rows = rows.withColumn("_split", F.explode(F.array(F.map_from_arrays("_joined", "_split"))))
+    parts = F.flatten(F.transform(given, lambda s: F.coalesce(F.try_element_at("_split", s), F.array(s))))
+    return rows.withColumn(statements, parts).drop("_joined", "_split")

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.atomic import atomic_parts_of_all
+from ..operators.atomic import with_atomic_parts
 from . import builds, cards, dialect, documents, generate, history, judging, lifecycle, material, mining, ordered, ranking, records, stores, streams, terms, upkeep
 
 SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES, **material.QUERIES, **terms.QUERIES, **cards.QUERIES, **judging.QUERIES, **stores.QUERIES}
@@ -16,7 +16,7 @@ SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.Q
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of all sentences of the corpus, numbered within their text."""
     rows = dialect.run(spark, sf_dir, generate.sentence_arrays)
-    return rows.select("id", "conv_id", "turn", "origin", F.posexplode(atomic_parts_of_all(F.col("parts"))).alias("place", "text"))
+    return with_atomic_parts(rows, "parts").select("id", "conv_id", "turn", "origin", F.posexplode("parts").alias("place", "text"))
 
 
 def run(spark: SparkSession, sf_dir: str, made) -> DataFrame:

@@ -118,3 +118,10 @@ def test_stream_twice(spark, tmp_path):
     for _ in range(2):
         observations.stream_into(source, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert sorted((r.origin, r.body) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("unknown", "two"), ("user", "one")]
+
+
+def test_only_statements_with_connectors_are_split(spark):
+    texts = ["short but whole", "Use Bun for scripts, however the legacy folder stays npm", "the gift shop is open today", "统一使用请求封装同时保留旧接口的兼容", "no connector here", "check the result also write it down then send it out", "HOWEVER long the first part is however the second goes on"]
+    df = spark.createDataFrame([(texts,), ([],), (None,), (["plain", "plain"],)], "parts array<string>")
+    got = [r.parts for r in atomic.with_atomic_parts(df, "parts").collect()]
+    assert got == [[p for s in texts for p in atomic.split_atomic(s)], [], [], ["plain", "plain"]]
