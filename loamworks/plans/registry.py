@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.atomic import with_atomic_parts
-from . import builds, cards, dialect, documents, generate, history, judging, lifecycle, material, mining, ordered, ranking, records, stores, streams, terms, upkeep
+from . import builds, cards, dialect, documents, generate, history, judging, lifecycle, material, mining, ordered, passes, ranking, records, stores, streams, terms, upkeep
 
 SHARED = {**mining.QUERIES, **generate.QUERIES, **ranking.QUERIES, **lifecycle.QUERIES, **upkeep.QUERIES, **material.QUERIES, **terms.QUERIES, **cards.QUERIES, **judging.QUERIES, **stores.QUERIES}
 
@@ -29,7 +29,7 @@ def _run(made, spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: partial(_run, made) for name, made in SHARED.items()} | ordered.queries(run) | history.queries() | documents.QUERIES | {name: partial(made, run) for name, made in (builds.QUERIES | records.QUERIES | streams.QUERIES).items()}
+    return {name: partial(_run, made) for name, made in SHARED.items()} | ordered.queries(run) | history.queries() | documents.QUERIES | {name: partial(made, run) for name, made in (builds.QUERIES | passes.QUERIES | records.QUERIES | streams.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
