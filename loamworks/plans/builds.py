@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import artifacts
+from ..sources import artifacts, scan
 from ..sources.shared import new_dir, written
 from . import dialect
 from .cards import activation, file_stem, kebab
 from .generate import candidate_id, candidates
+from .mining import trimmed
 
 #: The agents of a project and where they read.
 AGENTS = (("claude-code", "CLAUDE.md", ".claude/rules", ".claude/skills"), ("codex", "AGENTS.md", None, ".agents/skills"))
@@ -89,6 +90,27 @@ SELECT folder, CASE WHEN t IS NULL THEN 'missing' WHEN t = s THEN 'synced' WHEN
 FROM a WHERE s IS NOT NULL OR t IS NOT NULL OR m IS NOT NULL""")
 
 
-QUERIES = {"artifact_build": q_build, "mirror_states": q_mirrors}
+def hosts(d) -> str:
+    """CTE ``skill``: a host as a skill, described by the title of its first page, with the titles of all of them."""
+    title = dialect.found(d, "html", "<title>([^<]*)")
+    return f"""WITH pt AS (SELECT page_id, {dialect.found(d, 'url', '//([^/?#]*)')} AS host, {trimmed(d, title)} AS title FROM <pages>),
+skill AS (SELECT host, {d.listed('title', 'page_id')} AS titles, min_by(title, page_id) AS about FROM pt GROUP BY host)"""
 
-ORACLE = {"artifact_build": _build_sql(), "mirror_states": _mirrors_sql()}
+
+def q_scan(run, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills written as files and found by a scan."""
+    rows = run(spark, sf_dir, lambda d: f"{hosts(d)} SELECT * FROM skill")
+    root = new_dir(spark)
+    text = F.concat(F.lit("---\nname: "), "host", F.lit('\ndescription: "'), "about", F.lit('"\n---\n'), "titles")
+    artifacts.write(rows.select(F.concat(F.lit(".claude/skills/"), "host", F.lit("/SKILL.md")).alias("path"), text.alias("content"), F.lit("skill").alias("kind")), root)
+    found = scan.skills(scan.scan(spark, [root]))
+    return found.select("id", "name", "description", "source_kind", F.size("warnings").cast("long").alias("warnings"))
+
+
+def _scan_sql() -> str:
+    return dialect.oracle(lambda d: f"""{hosts(d)} SELECT concat('project:', regexp_replace(lower(host), '[^a-z0-9_-]+', '-', 'g')) AS id, host AS name, about AS description, 'project' AS source_kind, CAST(CASE WHEN strlen(about) < {scan.SHORT} THEN 1 ELSE 0 END AS BIGINT) AS warnings FROM skill""")
+
+
+QUERIES = {"skill_scan": q_scan, "artifact_build": q_build, "mirror_states": q_mirrors}
+
+ORACLE = {"skill_scan": _scan_sql(), "artifact_build": _build_sql(), "mirror_states": _mirrors_sql()}
