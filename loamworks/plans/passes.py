@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import markers as M
 from ..functions.rules import Rules, any_of
+from ..operators import asking
 from ..operators.atomic import with_atomic_parts
 from ..sources.shared import written
 from . import dialect, generate
+from .corpus import corpus
 from .material import _compact, _rich_lines, line_score, noise, q_chunks
 from .mining import sentences, trimmed
 
@@ -113,4 +115,17 @@ def q_passes(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialect.run(spark, sf_dir, shown, merged=three_passes(spark, sf_dir, run)["merged"])
 
 
-QUERIES = {"evolve_passes": q_passes}
+def paragraphs(d) -> str:
+    parts = d.kept(d.each(d.pieces("text", "\n\n"), trimmed(d, "e")), "e <> ''")
+    return f"{corpus(d)}, pp AS (SELECT conv_id AS run, id, {d.placed(parts)} FROM chunk) SELECT run, id * 1000 + place AS seq, e AS text FROM pp"
+
+
+def q_provider(run, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that a provider extracts of a run's paragraphs, judged and rewritten; here one that answers by rules."""
+    found, _ = asking.extract(run(spark, sf_dir, paragraphs), asking.rule_provider)
+    items = asking.usable(found).select("run", F.col("place").cast("long").alias("seq"), "title", "body", "kind", F.lit("project").alias("scope"), F.lit("project_rule").alias("memory_tier"), F.lit("llm").alias("template"), "confidence", F.col("rationale").alias("reason"), F.col("evidence_quote").alias("evidence"))
+    judged = asking.judge(items, asking.rule_provider).filter("judged").drop("judged", "verdict_reason")
+    return asking.refine(written(judged), asking.rule_provider).select("run", "seq", "title", "body", "kind", "template", F.round("confidence", 4).alias("confidence"), "reason", F.col("votes").cast("long").alias("votes"), "refined")
+
+
+QUERIES = {"evolve_passes": q_passes, "provider_extract": q_provider}
