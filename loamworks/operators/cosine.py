@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 2048
 
 
-def _matrix(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in order, vectors filled up with zeros, and their lengths."""
+def _matrix(table: pa.Table, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, vectors filled up with zeros, their lengths, and how many numbers each has."""
     table = table.sort_by("vec_id")
-    rows = np.zeros((table.num_rows, wide))
+    rows, width = np.zeros((table.num_rows, wide)), np.zeros(table.num_rows, np.int64)
     for i, v in enumerate(table.column("embedding").to_pylist()):
-        rows[i, : len(v)] = [x or 0.0 for x in v]
-    return table.column("vec_id").to_numpy(), rows, np.sqrt((rows * rows).sum(axis=1))
+        rows[i, : len(v)], width[i] = [x or 0.0 for x in v], len(v)
+    return table.column("vec_id").to_numpy(), rows, np.sqrt((rows * rows).sum(axis=1)), width
 
 
 def cosine_top(df: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, vec_id, rk and similarity of the ``k`` most similar other rows of each row: equal ones by id. A vector of zeros has
-    similarity 0; null and empty vectors are no rows. Columns: vec_id, embedding."""
+    similarity 0, and so have vectors that differ in how many numbers they have; null and empty vectors are no rows. Columns: vec_id, embedding."""
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("size(embedding) > 0")
     blocks = max(1, -(-rows.count() // block_rows))
     own, other = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
@@ -34,9 +34,10 @@ def cosine_top(df: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataF
         out: tuple[list, list, list] = ([], [], [])
         if q.num_rows and c.num_rows:
             wide = max(len(v) for t in (q, c) for v in t.column("embedding").to_pylist())
-            (q_ids, x, x_long), (c_ids, y, y_long) = _matrix(q, wide), _matrix(c, wide)
+            (q_ids, x, x_long, q_width), (c_ids, y, y_long, c_width) = _matrix(q, wide), _matrix(c, wide)
             long = x_long[:, None] * y_long[None]
-            sims = np.divide(x @ y.T, long, out=np.zeros_like(long), where=long > 0)
+            fits = q_width[:, None] == c_width[None]
+            sims = np.divide(x @ y.T, long, out=np.zeros_like(long), where=fits & (long > 0))
             keys = np.where(q_ids[:, None] == c_ids[None], -np.inf, np.round(sims, 9))
             last = np.partition(keys, -min(k, len(c_ids)), axis=1)[:, -min(k, len(c_ids))]
             for i, least in enumerate(last):

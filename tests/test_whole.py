@@ -99,3 +99,9 @@ def test_cards_meet_whole_sentences(spark, long_rows):
     assert len({i // 1000000 for i, _ in pairs}) == len(rows)
     want = dedupe.jaccard(dedupe.tokens(f"{RULE} 13"), dedupe.tokens(STATEMENTS[8]))
     assert any(i // 1000000 == 13000 and c == 8 and abs(s - want) < 1e-6 for (i, c), s in pairs.items())
+
+
+def test_vectors_of_other_widths_are_not_similar(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0])]
+    got = {(r.query_id, r.vec_id): r.similarity for r in cosine_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[1, 3] == 1.0 and got[1, 2] == got[2, 3] == got[1, 4] == 0.0
