@@ -7,16 +7,19 @@ come from it. Tasks read the rest, each file once. Skills in folders that a mirr
 from __future__ import annotations
 
 import hashlib
+import os
 import posixpath
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markers as M
 from .ranges import listed, store_of
+from .shared import written
 
 MARKER = ".loamworks-mirror.json"
 SKILL = "/SKILL.md"
@@ -116,3 +119,45 @@ def skills(records: DataFrame) -> DataFrame:
     low = F.lower("folder")
     kind = F.when(F.startswith(F.concat("folder", F.lit("/")), F.concat("project", F.lit("/"))), "project").when(low.contains("/.codex/superpowers/") | low.contains("/.agents/skills/superpowers/"), "superpowers").otherwise("referenced")
     return rows.select("project", F.when(nth == 1, F.col("base")).otherwise(F.concat_ws("-", "base", nth)).alias("id"), "name", "description", "folder", kind.alias("source_kind"), "hash", "warnings", "fresh")
+
+
+# -- projects
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folders to their markers and the folders in them that are entered."""
+    for batch in batches:
+        markers, inner = [], []
+        for path in batch.column("path").to_pylist():
+            store, top = store_of(path)
+            there = {f.base_name: f for f in store.get_file_info(fs.FileSelector(top, allow_not_found=True))}
+            is_dir = lambda name, store=store, top=top: store.get_file_info(f"{top}/{name}").type == fs.FileType.Directory
+            found = [m for m in M.PROJECT_FILES if m in there and there[m].type == fs.FileType.File]
+            found += [m for m in M.PROJECT_FOLDERS if m.split("/")[0] in there and is_dir(m)]
+            markers.append(found)
+            local = isinstance(store, fs.LocalFileSystem)
+            inner.append(sorted(f.path for f in there.values() if f.type == fs.FileType.Directory and f.base_name not in M.PRUNED and not (local and os.path.islink(f.path))))
+        kind = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(markers, kind), pa.array(inner, kind)], names=["path", "markers", "inner"])
+
+
+def agents_of(markers: Column) -> Column:
+    """The agents that a project's markers speak of, by name; unknown without any."""
+    some = lambda *names: F.arrays_overlap(markers, F.array(*[F.lit(n) for n in names]))
+    found = F.array_compact(F.array(*[F.when(some(*names), F.lit(agent)) for agent, names in M.AGENT_MARKERS]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unknown")))
+
+
+def discover_projects(spark: SparkSession, roots: list[str], depth: int = 4) -> DataFrame:
+    """Folders with markers at most so deep below some folders: path, markers, agents. Links and folders of builds are not entered. A
+    level's folders are a table, listed by tasks; the next level is what they hold."""
+    level = spark.createDataFrame([(store_of(r)[1],) for r in roots], "path string").distinct()
+    found = None
+    for _ in range(depth + 1):
+        level = written(level.mapInArrow(_look, "path string, markers array<string>, inner array<string>"))
+        here = level.filter("size(markers) > 0").select("path", "markers")
+        found = here if found is None else found.unionByName(here)
+        level = level.select(F.explode("inner").alias("path"))
+        if level.isEmpty():
+            break
+    return found.dropDuplicates(["path"]).withColumn("agents", agents_of(F.col("markers")))

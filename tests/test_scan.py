@@ -50,3 +50,19 @@ def test_scan_reads_what_has_changed(spark, tmp_path):
     last = {os.path.relpath(r.path, p): r.fresh for r in S.scan(spark, [str(p)], None, index).collect()}
     assert last == {"AGENTS.md": True, "CLAUDE.md": True, ".cursor/rules/deep/a.mdc": False, ".claude/skills/a/SKILL.md": False}
     assert S.scan(spark, [str(tmp_path / "none")]).count() == 0
+
+
+def test_projects_are_found_by_their_markers(spark, tmp_path):
+    put(tmp_path / "a/AGENTS.md", "")
+    put(tmp_path / "a/node_modules/x/CLAUDE.md", "")
+    put(tmp_path / "a/sub/.claude/skills/s/SKILL.md", "")
+    put(tmp_path / "a/sub/CLAUDE.md", "")
+    put(tmp_path / "b/.git/config", "")
+    put(tmp_path / "c/d/e/f/g/AGENTS.md", "")
+    put(tmp_path / "c/build/AGENTS.md", "")
+    put(tmp_path / "c/AGENTS.md/not-a-file", "")
+    os.symlink(tmp_path / "a", tmp_path / "link")
+    rows = {os.path.relpath(r.path, tmp_path): (r.markers, r.agents) for r in S.discover_projects(spark, [str(tmp_path), str(tmp_path / "a")], 3).collect()}
+    assert rows == {"a": (["AGENTS.md"], ["codex"]), "a/sub": (["CLAUDE.md", ".claude/skills"], ["claude-code"]), "b": ([".git"], ["unknown"])}
+    assert S.discover_projects(spark, [str(tmp_path / "none")]).count() == 0
+    assert "c/d/e/f/g" in {os.path.relpath(r.path, tmp_path) for r in S.discover_projects(spark, [str(tmp_path)], 5).collect()}
