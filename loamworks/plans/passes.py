@@ -24,8 +24,8 @@ from .material import _compact, _rich_lines, line_score, noise, q_chunks
 from .mining import sentences, trimmed
 
 LINES, BEST, OF_LINE, WANTED = 12, 64, 3, 8
-#: Texts of a pass are numbered within their run below this.
-TEXTS = 1000
+#: Texts are numbered within their run below the first, and within a pass below the second.
+TEXTS, OF_PASS = 1000, 300
 
 
 def _lines(d) -> str:
@@ -75,12 +75,15 @@ SELECT conv_id AS text_id, id, {generate.candidate_id(d)} AS cid, title, body, k
   row_number() OVER (PARTITION BY conv_id ORDER BY is_weak, CASE WHEN is_weak THEN body_key ELSE '' END, id) AS place FROM pk"""
 
 
-def of_texts(spark: SparkSession, sf_dir: str, texts: DataFrame, nth_pass: int, most: int) -> DataFrame:
-    """The candidates of texts (run, nth, text), at most so many of each, that classification lets through."""
-    rows = texts.select((F.col("run") * TEXTS + F.col("nth")).alias("text_id"), F.expr(sentences(dialect.Spark, "text")).alias("parts"))
+def of_texts(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
+    """The candidates of texts (run, nth_pass, nth, text) that classification lets through; a line gives OF_LINE at most, other texts
+    WANTED. Texts of several passes go through the generators together."""
+    rows = texts.select((F.col("run") * TEXTS + F.col("nth_pass") * OF_PASS + F.col("nth")).alias("text_id"), F.expr(sentences(dialect.Spark, "text")).alias("parts"))
     atoms = with_atomic_parts(rows, "parts").select(F.col("text_id").alias("id"), F.col("text_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("origin"), F.posexplode("parts").alias("place", "text"))
-    found = dialect.run(spark, sf_dir, _found, atoms=atoms).filter((F.col("place") <= most) & ~F.col("rejected")).drop("rejected")
-    return found.withColumns({"run": F.floor(F.col("text_id") / TEXTS).cast("long"), "nth_pass": F.lit(nth_pass)})
+    found = dialect.run(spark, sf_dir, _found, atoms=atoms)
+    found = found.withColumns({"run": F.floor(F.col("text_id") / TEXTS).cast("long"), "nth_pass": F.floor(F.col("text_id") % TEXTS / OF_PASS).cast("int")})
+    most = F.when(F.col("nth_pass") == 1, OF_LINE).otherwise(WANTED)
+    return found.filter((F.col("place") <= most) & ~F.col("rejected")).drop("rejected")
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -101,14 +104,14 @@ SELECT run, cid AS candidate_id, nth_pass, kind, scope, memory_tier, template, r
 
 def three_passes(spark: SparkSession, sf_dir: str, run) -> dict[str, DataFrame]:
     """Tables of each step: first and second (candidates of these passes), left (runs for the third), third, and merged."""
-    first = written(of_texts(spark, sf_dir, run(spark, sf_dir, first_texts), 1, OF_LINE))
-    second = written(of_texts(spark, sf_dir, run(spark, sf_dir, second_texts), 2, WANTED))
-    so_far = merged(first.unionByName(second))
+    texts = [run(spark, sf_dir, made).withColumn("nth_pass", F.lit(i)).select("run", "nth_pass", "nth", "text") for i, made in enumerate((first_texts, second_texts), 1)]
+    early = written(of_texts(spark, sf_dir, written(texts[0].unionByName(texts[1]))))
+    so_far = merged(early)
     enough = so_far.groupBy("run").agg(F.count("*").alias("n"), F.max((F.col("memory_tier") == "project_rule").cast("int")).alias("rule")).filter((F.col("n") >= WANTED) & (F.col("rule") == 1))
     texts = third_texts(run, spark, sf_dir).join(enough.select("run"), "run", "left_anti")
-    left = written(texts.select("run", "nth", "text"))
-    third = written(of_texts(spark, sf_dir, left, 3, WANTED))
-    return {"first": first, "second": second, "left": left, "third": third, "merged": written(merged(first.unionByName(second).unionByName(third)))}
+    left = written(texts.select("run", F.lit(3).alias("nth_pass"), "nth", "text"))
+    third = written(of_texts(spark, sf_dir, left))
+    return {"first": early.filter("nth_pass = 1"), "second": early.filter("nth_pass = 2"), "left": left, "third": third, "merged": written(merged(early.unionByName(third)))}
 
 
 def q_passes(run, spark: SparkSession, sf_dir: str) -> DataFrame:
