@@ -32,7 +32,7 @@ SPACE = "▁"
 #: Parts of texts kept for lookup by one worker, and the ids they may hold, before the table starts anew.
 CACHE_PARTS, CACHE_IDS = 600_000, 4_000_000
 #: Code points of text that are encoded at once in a worker.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -117,6 +117,7 @@ class PrefixTable:
         length, id and the tokens that were seen to fit before it or not."""
         self.step: list[dict[str, int]] = [{}]
         self.found: list[tuple] = [()]
+        self.seen: list[dict[int, bool]] = []
         own: dict[int, tuple] = {}
         for i in self.parts:
             at = 0
@@ -127,7 +128,8 @@ class PrefixTable:
                     self.step.append({})
                     self.found.append(())
                 at = to
-            own[at] = (len(self.piece[i]), i, {})
+            self.seen.append({})
+            own[at] = (len(self.piece[i]), i, self.seen[-1])
         self.fall = [0] * len(self.step)
         level = [(0, c, to) for c, to in self.step[0].items()]
         while level:
@@ -281,6 +283,9 @@ class PrefixTable:
     # -- whole batches, with a bounded table of parts
 
     def forget(self) -> None:
+        """Drop all that was learnt from texts."""
+        for known in self.seen:
+            known.clear()
         # entry 0 is the end id
         self.known: dict[str, int] = {}
         self.ids = np.full(1 << 16, self.eos, np.int32)
@@ -374,20 +379,23 @@ def encode_decode(df: DataFrame, model: bytes, text: str = "text", ids: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = prefix_table(model)
-        for batch in batches:
-            texts, start = batch.column(at), 0
-            while start < batch.num_rows:
-                chunk, chars = [], 0
-                while start + len(chunk) < batch.num_rows and chars < SLICE_CHARS and len(chunk) < 4096:
-                    chunk.append(texts[start + len(chunk)].as_py())
-                    chars += len(chunk[-1] or "")
-                offsets, flat = tokens.encode_batch(chunk)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-                bounds, raw = tokens.decode_batch(offsets, flat)
-                back = pa.StringArray.from_buffers(len(chunk), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw))
-                cols = [c.slice(start, len(chunk)) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*cols, lists, back], names=[*batch.schema.names, ids, decoded])
-                start += len(chunk)
+        try:
+            for batch in batches:
+                texts, start = batch.column(at), 0
+                while start < batch.num_rows:
+                    chunk, chars = [], 0
+                    while start + len(chunk) < batch.num_rows and chars < SLICE_CHARS and len(chunk) < 4096:
+                        chunk.append(texts[start + len(chunk)].as_py())
+                        chars += len(chunk[-1] or "")
+                    offsets, flat = tokens.encode_batch(chunk)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+                    bounds, raw = tokens.decode_batch(offsets, flat)
+                    back = pa.StringArray.from_buffers(len(chunk), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw))
+                    cols = [c.slice(start, len(chunk)) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([*cols, lists, back], names=[*batch.schema.names, ids, decoded])
+                    start += len(chunk)
+        finally:
+            tokens.forget()  # Spark uses the worker again, for other operators too
 
     return rest.mapInArrow(run, schema)
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,19 @@ def test_operator(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(LIB.decode(ids).encode()).hexdigest()
     assert S.encode_decode(df.filter("false"), MODEL).count() == 0
     assert S.encode_decode(df.limit(0).withColumn("text", F.lit(None).cast("string")), MODEL).count() == 0
+
+
+def test_workers_keep_nothing_of_texts(spark):
+    """Workers outlive a task and serve other operators: what was learnt from texts goes when a task ends."""
+    docs = spark.createDataFrame([(i, f"some words of document number {i} and more") for i in range(400)], "doc_id long, text string").repartition(8)
+
+    def held(batches):
+        for _ in batches:
+            pass
+        for t in S._TABLES.values():
+            pairs = {id(known): len(known) for found in t.found for _, _, known in found}
+            yield pa.RecordBatch.from_arrays([pa.array([len(t.known)]), pa.array([sum(pairs.values())])], names=["parts", "pairs"])
+
+    assert S.encode_decode(docs, MODEL).filter("size(ids) > 0").count() == 400
+    left = spark.range(0, 64, 1, 8).mapInArrow(held, "parts long, pairs long").collect()
+    assert left and all(r.parts == r.pairs == 0 for r in left)
