@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, stash, table, without
+from .common import free_names, shuffles_freed, stash, table, without
 
 LENGTH, K = 50, 24
 #: Bytes of text in a batch, and bytes of text for each bucket of entries.
@@ -531,7 +531,8 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = rest.withColumns({d_: F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)), h_: F.xxhash64(whole)})
     slim = docs.select(F.col(d_).alias("d"), F.col(h_).alias("h"), whole.alias("text"))
-    facts = slim.agg(F.sum(F.octet_length("text")).alias("n"), F.max(F.octet_length("text")).alias("longest")).first()
+    with shuffles_freed(df.sparkSession):
+        facts = slim.agg(F.sum(F.octet_length("text")).alias("n"), F.max(F.octet_length("text")).alias("longest")).first()
     buckets, packing = max(BUCKETS, -(-(facts["n"] or 0) // BUCKET)), Packing(facts["longest"] or 0, length)
     packed = entries(slim, buckets, packing, length, batch_bytes)
 
@@ -542,8 +543,10 @@ def dedup_passages(df: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         d, h = (np.repeat(_whole(pdf, c, np.int64), n) for c in ("d", "h"))
         return pack(0, d, h, _whole(pdf, "a", np.int32), _whole(pdf, "b", np.int32))
 
-    # strings that batches remove themselves are dealt out by batch
-    found = stash(packed.withColumn("spread", F.when(F.col("bucket") < 0, F.col("batch")).otherwise(F.lit(0))).groupBy("bucket", "spread").applyInPandas(lambda pdf: gather(pdf.drop(columns="spread")), FOUND))
+    # strings that batches remove themselves are dealt out by batch; the entries, larger than the texts, are off the disks before texts move
+    spread = packed.withColumn("spread", F.when(F.col("bucket") < 0, F.col("batch")).otherwise(F.lit(0)))
+    with shuffles_freed(df.sparkSession):
+        found = stash(spread.groupBy("bucket", "spread").applyInPandas(lambda pdf: gather(pdf.drop(columns="spread")), FOUND))
     columns = [F.col(f"`{c}`") for c in docs.columns]
 
     def with_rows(rows: DataFrame, how: str) -> DataFrame:

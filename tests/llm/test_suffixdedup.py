@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -86,3 +87,20 @@ def test_places_have_room():
     assert first.tolist() == [1 << 33, 0] and n.tolist() == [31, 1] and anchor[0] != anchor[1]
     with pytest.raises(ValueError):
         S.Packing(1 << 46, 120)
+
+
+def test_entries_leave_the_disks_before_texts_move(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = shuffled(), spark.conf.get(key, None)
+    made = S.dedup_passages(spark.createDataFrame(rows(), "doc_id long, text string").repartition(3))
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(key, None) == set_to
+    # what stays is enough to run the rest, more than once
+    assert made.agg({"n_removed": "sum"}).first() == made.agg({"n_removed": "sum"}).first()
