@@ -39,25 +39,30 @@ TRAIN_ROWS = 12_000
 #: Weight of the overall odds in a feature's odds, and the least toxic texts that hold it.
 PRIOR, LEAST = 6.0, 3
 CACHE_WORDS = 600_000
-NOTHING: list = []
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha())
 EDGE, OTHER = 0, len(LETTERS) + 1
 SIZE = len(LETTERS) + 2
+NUMBER = {" ": EDGE} | {c: i for i, c in enumerate(LETTERS, 1)}
 #: What a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
 SEPARATORS = ".-_·'"
+LETTER_SET, LOOK_SET = frozenset(LETTERS), frozenset(LOOKS)
 COST_LOOK, COST_KEPT, COST_GONE, COST_RUN = 0.5, 6.0, 0.3, 0.5
 EDGES = ".,;:!?\"'()[]{}<>«»„“”…|-–"
 SPACED = re.compile(r"(?<!\S)[^\s.,;:](?:[ \t][^\s.,;:]){2,}(?![^\s.,;:])")
 DOTTED = re.compile(r"^\S(?:[.\-_·']\S){2,}$")
+PAIR = re.compile(r"(.)\1", re.DOTALL)
+#: Code points that are counted at once.
+COUNTED = 1 << 18
 
 
 # -- the character language model
 
 
 def _codes() -> np.ndarray:
-    """A letter's number for each code point up to U+017F, 0 where a word ends."""
-    out = np.full(0x180, EDGE, np.int32)
+    """A letter's number for each code point up to U+017F, 0 where a word ends; the last entry is for all code points beyond."""
+    out = np.full(0x181, EDGE, np.int32)
+    out[0x180] = OTHER
     for i, c in enumerate(LETTERS, 1):
         out[ord(c)] = i
         if len(c.upper()) == 1 and ord(c.upper()) < 0x180:
@@ -70,13 +75,26 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_of, total = _codes(), np.zeros(SIZE**3, np.int64)
+
+        def add(texts: list[str]) -> None:
+            """Counts texts that stand one after the other: two trigrams of edges across each border are none of theirs."""
+            raw = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            for at in range(0, len(raw), COUNTED):
+                c = table_of[np.minimum(raw[at : at + COUNTED + 2], 0x180)]
+                np.add(total, np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3), out=total)
+            total[0] -= 2 * (len(texts) - 1)
+
+        held, size = [], 0
         for batch in batches:
             for x in batch.column(0):
-                raw = np.frombuffer(f"  {x.as_py() or ''}  ".encode("utf-32-le"), np.uint32)
-                for at in range(0, len(raw), 1 << 20):
-                    part = raw[at : at + (1 << 20) + 2]
-                    c = np.where(part < 0x180, table_of[np.minimum(part, 0x17F)], OTHER)
-                    total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
+                text = f"  {x.as_py() or ''}  "
+                if held and size + len(text) > COUNTED:
+                    add(held)
+                    held, size = [], 0
+                held.append(text)
+                size += len(text)
+        if held:
+            add(held)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["gram", "n"])
 
@@ -129,26 +147,28 @@ def lattice(word: str) -> list[list[tuple[int, str, float]]]:
     return arcs
 
 
-def restore(word: str, costs: np.ndarray) -> str:
-    """The best reading of a suspect word or run; words of a run come with spaces between them."""
-    arcs = lattice(word)
-    number = {" ": EDGE} | {c: i for i, c in enumerate(LETTERS, 1)}
-    # what was said is a chain of its parts, so that time grows with the length only
-    best: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(len(word) + 1)]
-    best[0][EDGE, EDGE] = (0.0, ())
-    for i, here in enumerate(arcs):
-        for (a, b), (cost, said) in best[i].items():
-            for to, text, more in here:
-                x, y, total = a, b, cost + more
-                for c in text:
-                    z = number.get(c, OTHER)
-                    total += costs[x, y, z]
-                    x, y = y, z
-                old = best[to].get((x, y))
+def restore(word: str, costs: np.ndarray | list[float]) -> str:
+    """The best reading of a suspect word or run; words of a run come with spaces between them. Costs are an array or its flat list,
+    which is read faster number by number."""
+    flat: list[float] = costs if isinstance(costs, list) else costs.ravel().tolist()
+    square = SIZE * SIZE
+    # a state is the last two letters, a * SIZE + b; what was said is a chain of its parts, so that time grows with the length only
+    best: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(len(word) + 1)]
+    best[0] = {EDGE * SIZE + EDGE: (0.0, ())}
+    for i, here in enumerate(lattice(word)):
+        arcs = [(best[to], text, more, [NUMBER.get(c, OTHER) for c in text]) for to, text, more in here]
+        for state, (cost, said) in best[i].items():
+            for there, text, more, codes in arcs:
+                at, total = state, cost + more
+                for code in codes:
+                    gram = at * SIZE + code
+                    total += flat[gram]
+                    at = gram % square
+                old = there.get(at)
                 if old is None or total < old[0]:
-                    best[to][x, y] = (total, (said, text))
+                    there[at] = (total, (said, text))
         best[i] = {}
-    said, parts = min(((cost + costs[a, b, EDGE], said) for (a, b), (cost, said) in best[-1].items()), key=lambda x: x[0])[1], []
+    said, parts = min(((cost + flat[at * SIZE + EDGE], said) for at, (cost, said) in best[-1].items()), key=lambda x: x[0])[1], []
     while said:
         said, text = said
         parts.append(text)
@@ -157,12 +177,13 @@ def restore(word: str, costs: np.ndarray) -> str:
 
 def suspect(word: str) -> bool:
     """Whether a lower-case word may be in disguise."""
-    if not any(c in LETTERS for c in word):
-        return False
-    if any(c in LOOKS for c in word) or DOTTED.match(word):
-        return True
-    runs = [a for a, b in zip(word, word[1:]) if a == b]
-    return len(runs) > 2 or any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+    if LOOK_SET.isdisjoint(word) and not (word[1:2] in SEPARATORS and DOTTED.match(word)):
+        if not PAIR.search(word):
+            return False
+        runs = [a for a, b in zip(word, word[1:]) if a == b]
+        if len(runs) < 3 and not any(a == b == c for a, b, c in zip(word, word[1:], word[2:])):
+            return False
+    return not LETTER_SET.isdisjoint(word)
 
 
 class Reader:
@@ -170,7 +191,11 @@ class Reader:
     ``whole`` stand for themselves alone."""
 
     def __init__(self, costs: np.ndarray, weights: dict[str, float] | None = None, whole: frozenset[str] | None = None):
-        self.costs, self.weights, self.whole = costs, weights, whole
+        self.costs, self.weights, self.whole = costs.ravel().tolist(), weights, whole
+        #: Beginnings of three letters without which a word has no evidence.
+        self.starts = frozenset(f[:3] for f in weights or ())
+        #: Words that were read, and what was found in those that hold anything.
+        self.seen: set[str] = set()
         self.known: dict[str, list] = {}
 
     def plain(self, word: str) -> str:
@@ -190,30 +215,30 @@ class Reader:
         plain = restore(word[1:].lower().replace("\t", " "), self.costs) if spaced else self.plain(word)
         out: list = []
         for one in plain.split():
-            features = features_of(one)
             if self.weights is None:
+                features = features_of(one)
                 out += features if self.whole is not None and one not in self.whole else features[:1]
-            elif (best := max((self.weights.get(f, 0.0) for f in features), default=0.0)) > 0:
+            elif one[:3] in self.starts and (best := max((self.weights.get(f, 0.0) for f in features_of(one)), default=0.0)) > 0:
                 out.append((one, best))
         return out
 
     def each(self, text: str | None) -> list:
-        if len(self.known) > CACHE_WORDS:
+        if len(self.seen) > CACHE_WORDS:
+            self.seen.clear()
             self.known.clear()
-        known, out = self.known, []
-        for w in self.words(text or ""):
-            if w in known:
-                x = known[w]
-            else:
-                x = known[w] = self.read(w) or NOTHING  # most words, so they share one
-            out += x
-        return out
+        found = self.words(text or "")
+        new = found - self.seen
+        self.seen |= new
+        for w in new:
+            if x := self.read(w):
+                self.known[w] = x
+        return [x for w in found & self.known.keys() for x in self.known[w]]
 
     def features(self, text: str | None) -> set[str]:
         return set(self.each(text))
 
     def evidence(self, text: str | None) -> float:
-        return float(sum(dict(self.each(text)).values()))
+        return math.fsum(dict(self.each(text)).values())  # whatever the order
 
 
 def features_of(word: str) -> tuple[str, ...]:

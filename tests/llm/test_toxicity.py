@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from loamworks.llm import toxicity as X
 
@@ -75,3 +77,43 @@ def test_long_and_joined_runs(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(hidden)] + [(9, "on " + spaced("an ther ing on re another ther ing ou ther ing an"))], "doc_id long, text string")
     got = {r.doc_id: r.score for r in X.score(rows, docs, labels).collect()}
     assert [i for i in range(4) if got[i] < 0.5] == [] and got[9] < 0.5
+
+
+def test_trigrams_of_texts_counted_together(spark, monkeypatch):
+    monkeypatch.setattr(X, "COUNTED", 50)
+    texts = ["", None, "Äb  c", "x" * 130, *(f"an ther {i} \u65e5 on" for i in range(60)), "\U0001f600 a"]
+    codes, expected = X._codes(), Counter()
+    for t in texts:
+        c = [int(codes[min(ord(s), 0x180)]) for s in f"  {t or ''}  "]
+        expected.update((a * X.SIZE + b) * X.SIZE + d for a, b, d in zip(c, c[1:], c[2:]))
+    assert codes[0x180] == X.OTHER
+    got = X.count_trigrams(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(expected)
+
+
+def test_reading_looks_up_only_words_that_may_have_evidence(monkeypatch):
+    costs = X.language_model(np.ones(X.SIZE**3, np.int64))
+    looked, features_of = [], X.features_of
+    monkeypatch.setattr(X, "features_of", lambda w: looked.append(w) or features_of(w))
+    reader = X.Reader(costs, {"idiot": 2.0, "stup*": 1.0})
+    text = "the idiots, of an Idiot! stupidity is there " + " ".join(f"there{i:b}ing" for i in range(100))
+    assert reader.evidence(text) == reader.evidence(text) == 3.0
+    assert sorted(looked) == ["idiot", "idiots", "stupidity"]  # one look for each distinct word
+    assert reader.evidence("of an") == 0 == reader.evidence(None)
+    for word in ("1d10t", "m0rrron", "s.t.u", "a**b"):  # the flat list of costs says the same as the array
+        assert X.restore(word, costs.ravel().tolist()) == X.restore(word, costs)
+
+
+def test_suspect_signs():
+    def plainly(word):
+        if not any(c in X.LETTERS for c in word):
+            return False
+        if any(c in X.LOOKS for c in word) or X.DOTTED.match(word):
+            return True
+        pairs = [a == b for a, b in zip(word, word[1:])]
+        return sum(pairs) > 2 or any(a and b for a, b in zip(pairs, pairs[1:]))
+
+    rnd = random.Random(3)
+    words = ["", "a", ".", "a.b.c", "a.b", "aa.bb.c", "aabbcc", "aabb", "baaa", "...", "a.b.", "日.日.日", "日.a.日"]
+    words += ["".join(rnd.choice("aabbcé.-'\n0$日") for _ in range(rnd.randint(0, 8))) for _ in range(5000)]
+    assert [w for w in words if X.suspect(w) != bool(plainly(w))] == []
