@@ -17,9 +17,10 @@ def stream_into(source: DataFrame, out: str, checkpoint: str):
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = observation(batch).dropDuplicates(["id"])
+        new = observation(batch).dropDuplicates(["id", "origin"])  # a text that is null has no id: one row for each origin
         for earlier in [spark.read.parquet(out).filter(F.col("batch") < number)] if number else []:
-            new = new.join(earlier.select("id"), "id", "left_anti")
+            there = earlier.select(F.col("id").alias("there"), F.col("origin").alias("of"))
+            new = new.join(there, F.col("id").eqNullSafe(F.col("there")) & (F.col("origin") == F.col("of")), "left_anti")
         new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -31,5 +32,7 @@ def counts(source: DataFrame, minutes: int = 60, late: int = 120) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a stream of its files, be it one file or a folder of them. A pattern, as a stream's plain path has to be a folder."""
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "conversations*.parquet").option("maxFilesPerTrigger", 8).parquet(sf_dir).withColumn("origin", F.coalesce("role", F.lit("unknown")))
+    files = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/[c]onversations.parquet")
+    return files.withColumn("origin", F.coalesce("role", F.lit("unknown")))

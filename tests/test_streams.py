@@ -82,3 +82,19 @@ def test_recurrences_and_windows(spark, tmp_path):
     got = {(r.start, r.event_type): r.n for r in found.collect()}
     want = {(r.start, r.event_type): r.n for r in df.groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_a_table_of_many_files_is_streamed_whole(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(i, 0, "user" if i % 2 else None, f"text {i % 30}" if i % 5 else None) for i in range(200)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.repartition(20).write.parquet(f"{tmp_path}/many/conversations.parquet")  # three batches
+    table.coalesce(1).write.parquet(f"{tmp_path}/one")
+    os.makedirs(f"{tmp_path}/single")
+    part = next(p for p in os.listdir(f"{tmp_path}/one") if p.endswith(".parquet"))
+    os.rename(f"{tmp_path}/one/{part}", f"{tmp_path}/single/conversations.parquet")
+    wanted = sorted({(r or "unknown", t) for _, _, r, t in rows}, key=str)
+    for name in ("many", "single"):
+        found = __spark_entry__.queries()["stream_observation_upsert"](spark, f"{tmp_path}/{name}").collect()
+        assert sorted(((r.origin, r.body) for r in found), key=str) == wanted  # a null text once for each origin
