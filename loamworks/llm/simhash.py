@@ -167,6 +167,12 @@ def _differ(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _met(df: DataFrame) -> DataFrame:
+    """A side of a join that both sides are shuffled for. Spark sizes keys by the fingerprints that they are made of, some thirty times too
+    low, and tables by their packed files: it would collect and send either side as long as that looks small."""
+    return df.hint("merge")
+
+
 def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Per distinct fingerprint that links to another: fp and component, a fingerprint of its component."""
     if max_bits > 4:
@@ -179,22 +185,22 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     near = [(F.col(x) != F.col(y)) & (_differ(x, y) <= max_bits) for x, y in pairs]
     ends = stash(ends.filter((F.col("n") > 3) | near[0] | near[1] | near[2]))
     few = [ends.filter((F.col("n") <= 3) & c).select(F.col(x).alias("u"), F.col(y).alias("v")) for c, (x, y) in zip(near, pairs)]
-    rows = stash(rows.join(ends.filter("n > 3").select("key", "low", "high"), "key"))
+    rows = stash(rows.join(_met(ends.filter("n > 3").select("key", "low", "high")), "key"))
     first = [rows.filter((F.col("fp") != F.col(p)) & (_differ("fp", p) <= max_bits)).select(F.col("fp").alias("u"), F.col(p).alias("v")) for p in ("low", "high")]
     links = stash(first[0].unionByName(first[1]).unionByName(few[0]).unionByName(few[1]).unionByName(few[2]).distinct())
     comps = stash(components(links))
-    rows = rows.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rows = rows.join(_met(comps.withColumnRenamed("node", "fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     rows = stash(rows.select("key", "fp", "side", "component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min_by("component", "fp").alias("main")).filter("a < b").select("key", "main")
-    rows = stash(rows.join(mixed, "key"))
+    rows = stash(rows.join(_met(mixed), "key"))
     x = rows.filter("component != main").select("key", F.col("fp").alias("fx"), F.col("side").alias("sx"), F.col("component").alias("cx"))
     y = rows.select("key", F.col("fp").alias("fy"), F.col("side").alias("sy"), F.col("component").alias("cy"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("sx") != F.col("sy")) | (F.col("sx") == 3)) & (_differ("fx", "fy") <= max_bits))
+    across = x.join(_met(y), (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("sx") != F.col("sy")) | (F.col("sx") == 3)) & (_differ("fx", "fy") <= max_bits))
     more = stash(across.select(F.col("cx").alias("u"), F.col("cy").alias("v")).distinct())
     top = stash(components(more))
     # labels: a fingerprint's first component, and that one's component
-    nodes = comps.unionByName(top.join(comps, "node", "left_anti").select("node", F.col("node").alias("component")))
-    return nodes.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("node").alias("fp"), F.coalesce("top", "component").alias("component"))
+    nodes = comps.unionByName(top.join(_met(comps), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return nodes.join(_met(top.select(F.col("node").alias("component"), F.col("component").alias("top"))), "component", "left").select(F.col("node").alias("fp"), F.coalesce("top", "component").alias("component"))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -202,10 +208,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     rows = stash(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle=shingle))
     fps = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comps = fingerprint_components(fps, max_bits)
-    named = fps.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = fps.join(_met(comps), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = stash(named)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_met(named.join(_met(ids), "component").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

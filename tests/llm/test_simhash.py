@@ -92,3 +92,15 @@ def test_operator(spark):
     assert S.near_duplicates(df.filter("false")).count() == 0
     twice = spark.createDataFrame([(None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.component_id) for r in S.near_duplicates(twice).collect()) == [(False, 4), (False, 4), (True, 4)]
+
+
+def test_no_side_of_a_join_goes_to_the_driver(spark, monkeypatch):
+    plans, stash = [], S.stash
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(S, "stash", lambda df: (plans.append(plan(df)), stash(df))[1])
+    texts = [" ".join(f"w{j % 7}" for j in range(i % 5 * 9)) for i in range(40)]
+    found = S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plans.append(plan(found))  # as planned: by sizes that Spark guesses
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+    assert found.count() == 40
