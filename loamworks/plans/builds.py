@@ -37,8 +37,10 @@ def q_build(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_dir(spark)
     artifacts.write(made, root)
     artifacts.write(made, root)
-    states = artifacts.artifact_states(spark, root).select("path", "state")
-    return made.join(states, "path").select("path", "kind", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"), "over_budget", "state")
+    # sized by the lock's shards, not by the files: without the hint it may go to the driver
+    states = artifacts.artifact_states(spark, root).select("path", "state").hint("merge")
+    sums = made.select("path", "kind", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"), "over_budget")
+    return sums.join(states, "path").select(*sums.columns, "state")
 
 
 def _build_sql() -> str:

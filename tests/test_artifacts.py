@@ -93,6 +93,33 @@ def test_tasks_that_fail_leave_nothing(spark, tmp_path):
     assert tree(root) == {} and A.load_lock(str(root)) == {}
 
 
+def test_lists_of_files_stay_with_tasks(spark, tmp_path, monkeypatch):
+    root = tmp_path / "out"
+    files = {f"p{i % 40}/{i}.md": f"text {i}" for i in range(1500)}
+    for name in ("load_lock", "unsafe"):  # in the driver only: tasks have modules of their own
+        monkeypatch.setattr(A, name, lambda *_: pytest.fail("the driver reads files"))
+    put(spark, root, files)
+    nodes = {p: os.stat(root / p).st_ino for p in files}
+    put(spark, root, files | {"p1/1.md": "other"})
+    assert [p for p in files if os.stat(root / p).st_ino != nodes[p]] == ["p1/1.md"]  # what is there is not written again
+    assert tree(root) == files | {"p1/1.md": "other"}
+    assert set(states(spark, root).values()) == {"synced"}
+    monkeypatch.undo()
+    assert set(A.load_lock(str(root))) == set(files)
+    assert max(len(A.load_shard(str(root), s)) for s in A.shards(str(root))) < 15
+
+
+def test_the_data_source_does_the_same(spark, tmp_path):
+    root = str(tmp_path / "out")
+    spark.dataSource.register(A.CardArtifacts)
+    rows = spark.createDataFrame([(f"p/{i}.md", f"text {i}", "k") for i in range(30)], FILES)
+    for _ in range(2):
+        rows.write.format("card_artifacts").option("path", root).mode("append").save()
+    assert tree(root) == {f"p/{i}.md": f"text {i}" for i in range(30)} and set(states(spark, root).values()) == {"synced"}
+    put(spark, root, {"p/3.md": "next"})
+    assert tree(root)["p/3.md"] == "next" and len(A.load_lock(root)) == 30
+
+
 def test_render(spark):
     agents = spark.createDataFrame([("one", "ONE.md", ".one/rules", ".one/skills"), ("two", "TWO.md", None, None)], AGENTS)
     cards = [("p", "one", "b", "T b", "body b", "instructions", "b", "b"), ("p", "one", "a", "T a", "body a", "instructions", "a", "a"), ("p", "one", "c", 'T "c"', "body c", "skill", "t-c", "c"), ("q", "two", "d", "T", "x" * 33_000, "instructions", "d", "d"), ("q", "one", "e", "T e", "body", "none", "e", "e"), ("q", "three", "z", "T", "b", "skill", "z", "z")]
