@@ -18,7 +18,9 @@ one. Clearing looks at no record: what counts is whether an agent was cleared af
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,12 +114,29 @@ def step(state: dict, op: dict) -> None:
                     state.pop((op["project"], s), None)
 
 
-def _replayed(pdf: pd.DataFrame) -> pd.DataFrame:
+#: States that are handed on at once, if no set has more.
+AT_ONCE = 4096
+
+
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of each bound set, of operations that come by set and ``seq``. Sets are many and most are small: nothing is done for
+    a set but its operations, and none waits for the rest of its set."""
+    long = ("created", "updated", "set_at")
+    schema = pa.schema([(n, pa.int64() if n in long else pa.list_(pa.string()) if n == "targets" else pa.string()) for n in (c.split()[0] for c in STATE.split(", "))])
     state: dict = {}
-    for op in pdf.sort_values("seq").drop(columns="block").to_dict("records"):
-        step(state, {k: None if isinstance(v, float) and v != v else v for k, v in op.items()})
-    names = [c.split()[0] for c in STATE.split(", ")]
-    return pd.DataFrame([{"project": p, "id": i} | r for (p, i), r in state.items()], columns=names)
+    done: list[dict] = []
+    block = None
+    for batch in batches:
+        for op in batch.to_pylist():
+            if op["block"] != block:
+                done += [{"project": p, "id": i} | r for (p, i), r in state.items()]
+                state, block = {}, op["block"]
+                if len(done) >= AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(done, schema)
+                    done = []
+            step(state, op)
+    done += [{"project": p, "id": i} | r for (p, i), r in state.items()]
+    yield pa.RecordBatch.from_pylist(done, schema)
 
 
 def replay(ops: DataFrame) -> DataFrame:
@@ -128,7 +147,7 @@ def replay(ops: DataFrame) -> DataFrame:
     before = F.lag(F.struct("op", *FIELDS)).over(Window.partitionBy("node").orderBy("seq"))
     again = (F.col("op") == "approve") & F.coalesce(before == F.struct("op", *FIELDS), F.lit(False))
     bound = marked.filter("block IS NOT NULL").withColumn("again", again).filter("NOT again").drop("again", "node")
-    states = _simple(marked.filter("block IS NULL").drop("block", "node")).unionByName(bound.groupBy("block").applyInPandas(_replayed, STATE))
+    states = _simple(marked.filter("block IS NULL").drop("block", "node")).unionByName(bound.repartition("block").sortWithinPartitions("block", "seq").mapInArrow(_replayed, STATE))
     clears = ops.filter("op = 'clear'").groupBy("project", "agent").agg(F.max("seq").alias("at"))
     clears = clears.groupBy("project").agg(F.max(F.when(F.col("agent").isNull(), F.col("at"))).alias("all_at"), F.collect_list(F.when(F.col("agent").isNotNull(), F.struct("agent", "at"))).alias("each"))
     states = states.join(clears, "project", "left")

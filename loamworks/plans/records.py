@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import replay
+from ..sources.shared import written
 from . import dialect, generate
 
 AGENT = "CASE WHEN value < 20 THEN 'agent-a' WHEN value < 50 THEN 'agent-b' ELSE 'agent-c' END"
@@ -35,7 +36,7 @@ SELECT *, lag(id) OVER (PARTITION BY project, kind ORDER BY n) AS before FROM dr
 
 def card_ops(run, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate is approved; a global one is promoted then; a procedure that follows another one is merged with it."""
-    rows = run(spark, sf_dir, _candidates)
+    rows = written(run(spark, sf_dir, _candidates))  # generators are dear, and each kind of operation reads them
     nothing = F.lit(None).cast("array<string>")
     base = lambda nth, op, card, **more: rows.select(
         (F.col("n") * 3 + nth).alias("seq"), "project", F.lit(op).alias("op"), card.alias("id"), "title", "body", "kind", "scope", more.get("targets", nothing).alias("targets"), F.lit(None).cast("string").alias("agent"), more.get("sources", nothing).alias("sources"), "before",

@@ -81,3 +81,28 @@ def test_cards_of_candidates(spark):
         assert {"approve", "promote"} <= {r[2] for r in rows}
         want = sequential(rows)
         assert got(R.replay(ops)) == want and len(records.q_replay(registry.run, spark, folder).collect()) == len(want)
+
+
+def test_sets_go_on_over_batches():
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in OPS.split(", ")] + ["block"]
+    ops = [("x", "approve", "T", "one"), ("x", "approve", "T", "two"), ("y", "approve", "U", "three"), ("z", "approve", "V", "four"), ("z", "promote", None, None)]
+    rows = [dict(zip(names, (n, "p", op, f"project:{b}", title, body, "rule", "project", None, None, None, b))) for n, (b, op, title, body) in enumerate(ops)]
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 1], pa.Table.from_pylist(rows).schema) for i in range(5)]
+    found = [r for b in R._replayed(iter(batches)) for r in b.to_pylist()]
+    assert [(r["id"], r["body"], r["scope"], r["created"], r["updated"]) for r in found] == [("project:x", "two", "project", 0, 1), ("project:y", "three", "project", 2, 2), ("global:z", "four", "global", 3, 4)]
+    assert [r for b in R._replayed(iter([])) for r in b.to_pylist()] == []
+
+
+def test_candidates_are_made_once(spark, monkeypatch):
+    from loamworks.plans import records
+
+    made, sf = [], "/root/testdata/sf0.001"
+    from loamworks.plans import registry
+
+    written = records.written
+    monkeypatch.setattr(records, "written", lambda df: (made.append(df), written(df))[1])
+    found = registry.queries()["card_replay"](spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1 and "ArrowEvalPython" not in plan and "FlatMapGroups" not in plan and found.count() > 0
