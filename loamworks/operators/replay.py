@@ -50,7 +50,8 @@ def _bound(ops: DataFrame) -> DataFrame:
     promoted = bound.filter("op = 'promote'").select(own.alias("u"), _node(F.col("project"), global_id(F.col("id"))).alias("v"))
     links = written(merged.unionByName(promoted).unionByName(bound.filter("op = 'approve'").select(own.alias("u"), own.alias("v"))).distinct())
     nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
-    return nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("block"))
+    # names pack well, so tables of them look small to Spark: with the hint no side goes to the driver
+    return nodes.join(components(links).hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("block"))
 
 
 def _simple(ops: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def replay(ops: DataFrame) -> DataFrame:
     """The records that are there after all operations."""
     own = _node(F.col("project"), F.col("id"))
     rows = written(ops.filter("op != 'clear'").withColumn("node", own))
-    marked = written(rows.join(_bound(rows), "node", "left"))
+    marked = written(rows.join(_bound(rows).hint("merge"), "node", "left"))
     before = F.lag(F.struct("op", *FIELDS)).over(Window.partitionBy("node").orderBy("seq"))
     again = (F.col("op") == "approve") & F.coalesce(before == F.struct("op", *FIELDS), F.lit(False))
     bound = marked.filter("block IS NOT NULL").withColumn("again", again).filter("NOT again").drop("again", "node")
